@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import decontaminate, html_text, langid, mixing, ogg, preference, unit_dedup
+from tallyspark.llm import decontaminate, html_text, langid, mixing, ogg, preference, suffix_dedup, unit_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,12 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return found.select("doc_id", n_bytes.alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.format_pairs(preference.adjacent_pairs(table(spark, sf_dir, "conversations")))
 
@@ -60,7 +66,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_mix, op3_preference, op5_ogg, op6_decontaminate, op7_lines, op8_main_text, op10_language)
+    found = (op1_mix, op2_suffixes, op3_preference, op5_ogg, op6_decontaminate, op7_lines, op8_main_text, op10_language)
     return {f.__name__: f for f in found}
 
 

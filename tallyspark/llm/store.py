@@ -27,6 +27,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.tables: dict[str, str] = {}
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it back."""
@@ -34,10 +35,21 @@ class Workspace:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def save_bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
+        """Write ``df`` in buckets of ``key``: later joins and groupings by ``key`` read it without a shuffle."""
+        table = f"t{uuid.uuid4().hex}"
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        writer = df.write.format("parquet").option("compression", "zstd").option("path", f"{self.root}/{name}")
+        writer.bucketBy(n, key).sortBy(key).saveAsTable(table)
+        self.tables[name] = table
+        return self.spark.table(table)
+
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
+            if name in self.tables:
+                self.spark.sql(f"drop table if exists {self.tables.pop(name)}")
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(conf).delete(path, True)
