@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import decontaminate, html_text, langid, mixing, ogg, preference, suffix_dedup, unit_dedup
+from tallyspark.llm import decontaminate, html_text, langid, mixing, near_dup, ogg, preference, suffix_dedup, unit_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,6 +58,10 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op9_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "class_size")
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     profiles = langid.learn(docs.where(langid.fold() != 2))
@@ -66,7 +70,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_mix, op2_suffixes, op3_preference, op5_ogg, op6_decontaminate, op7_lines, op8_main_text, op10_language)
+    found = (op1_mix, op2_suffixes, op3_preference, op5_ogg, op6_decontaminate, op7_lines, op8_main_text, op9_near_dups, op10_language)
     return {f.__name__: f for f in found}
 
 
