@@ -35,11 +35,14 @@ class Workspace:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def save_bucketed(self, df: DataFrame, name: str, key: str) -> DataFrame:
-        """Write ``df`` in buckets of ``key``: later joins and groupings by ``key`` read it without a shuffle."""
+    def save_bucketed(self, df: DataFrame, name: str, key: str, dealt: bool = False) -> DataFrame:
+        """Write ``df`` in buckets of ``key``: later joins and groupings by ``key`` read it without a shuffle.
+
+        Without ``dealt`` (``df`` is dealt out by ``key`` already) rows are dealt out first, so that a bucket is one file.
+        """
         table = f"t{uuid.uuid4().hex}"
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        writer = df.write.format("parquet").option("compression", "zstd").option("path", f"{self.root}/{name}")
+        writer = (df if dealt else df.repartition(n, key)).write.format("parquet").option("compression", "zstd").option("path", f"{self.root}/{name}")
         writer.bucketBy(n, key).sortBy(key).saveAsTable(table)
         self.tables[name] = table
         return self.spark.table(table)

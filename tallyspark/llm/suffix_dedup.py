@@ -266,7 +266,7 @@ def removals(docs: DataFrame, text: str = "text", length: int = LENGTH, batches:
     """(digest, n_removed, spans, kept): for each different text that loses something, the removed (start, end) and the rest."""
     spark: SparkSession = docs.sparkSession
     work = Workspace(spark, "suffixes")
-    texts = work.save_bucketed(distinct_texts(docs, text, length), "texts", "digest")
+    texts = work.save_bucketed(distinct_texts(docs, text, length), "texts", "digest", dealt=True)
     index = SuffixIndex(work, length)
     batch = F.pmod(F.xxhash64("digest"), F.lit(batches))
     for i in range(batches):
