@@ -6,8 +6,8 @@ with the smallest hashes and keeps them in text order: texts share a sketch if t
 is sensitive to edit similarity.
 
 Texts that share a sketch are candidates. Each is compared with one text of the bucket, its centre; where a bucket still holds
-texts of different groups, its other texts are compared as well, so that no link between groups that the sketches
-offer is lost. A comparison aligns the labelled shingles of both texts inside the band that the threshold allows: with m
+texts of different groups, all pairs between these groups are compared as well, but for those that can't be alike: shingles
+that no other text has bound the similarity from above. So no link between groups that the sketches offer is lost. A comparison aligns the labelled shingles of both texts inside the band that the threshold allows: with m
 aligned, the similarity is m / (n1 + n2 - m), at least ``SIMILARITY`` for a link. Groups are the connected components.
 
 Two texts of similarity s share a sketch with probability about 1 - (1 - s ** TAKE) ** BANDS: 0.9999 at 0.8.
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm import rolling
@@ -34,7 +34,8 @@ from tallyspark.llm.store import Workspace
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, TAKE = 18, 4
-ROUNDS = 2  # of centres, before all pairs between groups of a bucket
+LARGE = 32  # texts of a bucket beyond which rare shingles are looked at before pairs are made
+RARE = 8  # texts that have a rare shingle at most
 SMALL = 200_000  # digests (16 bytes) that are broadcast at most
 _CHUNK = 1 << 19
 _U = np.uint64
@@ -184,6 +185,52 @@ def _shingles_of(wanted: DataFrame, keyed: DataFrame) -> DataFrame:
     return shingle_table(texts.select("digest", "text"))
 
 
+def _rare(shingles: DataFrame, texts: DataFrame) -> DataFrame:
+    """(digest, shingle, texts): the shingles that at most ``RARE`` of ``texts`` (digest) have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for d, x in zip(b.column(0), b.column(1), strict=True):
+                h = np.frombuffer(x.as_py(), np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([d.as_py()] * len(h), pa.binary()), pa.array(h)], names=["digest", "shingle"])
+
+    each = shingles.join(texts, "digest", "left_semi").mapInArrow(run, "digest binary, shingle int")
+    few = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts")).where(F.col("texts") <= RARE)
+    return each.join(few, "shingle").select("digest", "shingle", "texts")
+
+
+def _can_link(n1: Column, rare1: Column, n2: Column, rare2: Column, least: float) -> Column:
+    """Whether texts of n1 and n2 shingles that share none of their rare1 and rare2 can be alike."""
+    most = F.least(n1 - rare1, n2 - rare2)
+    return most >= least * (n1 + n2 - most)
+
+
+def _other_pairs(rows: DataFrame, shingles: DataFrame, least: float, work: Workspace) -> DataFrame:
+    """(a, b): all pairs of a bucket in ``rows`` (bucket, digest, n, label, main) whose labels differ and that can be alike.
+
+    Most texts of a large bucket with a label of their own owe it to shingles that few others have. Such texts can be alike
+    only if they share one of these: those pairs are found by the rare shingle. Without a rare shingle in common, what is left
+    of each bounds the similarity; texts that can reach nobody go before pairs are made by the bucket.
+    """
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("shortest"))
+    sized = rows.join(sizes, "bucket")
+    large = sized.where(F.col("size") > LARGE)
+    rare = work.save(_rare(shingles, large.select("digest").distinct()), "rare")
+    counts = rare.groupBy("digest").agg(F.count(F.lit(1)).cast("int").alias("rare"))
+    counted = sized.join(counts, "digest", "left").withColumn("rare", F.when(F.col("size") > LARGE, F.coalesce("rare", F.lit(0))).otherwise(0))
+    shared = F.col("n") - F.col("rare")
+    hopeful = work.save(counted.where(shared >= least * (F.col("n") + F.greatest("shortest", shared) - shared)).select("bucket", "digest", "n", "label", "main", "rare"), "hopeful")
+    x = hopeful.where("label <> main").select("bucket", F.col("digest").alias("d2"), F.col("n").alias("n2"), F.col("label").alias("l2"), F.col("rare").alias("r2"))
+    meet = (F.col("label") != F.col("l2")) & _can_link(F.col("n"), F.col("rare"), F.col("n2"), F.col("r2"), least)
+    by_bucket = hopeful.join(x, "bucket").where(meet)
+
+    known = large.select("digest", "n", "label").distinct()
+    own = rare.where("texts > 1").join(known, "digest")
+    other = own.select("shingle", F.col("digest").alias("d2"), F.col("n").alias("n2"), F.col("label").alias("l2"))
+    by_shingle = own.join(other, "shingle").where((F.col("digest") > F.col("d2")) & (F.col("label") != F.col("l2")) & _can_link(F.col("n"), F.lit(0), F.col("n2"), F.lit(0), least))
+    return by_bucket.select("digest", "d2").unionByName(by_shingle.select("digest", "d2")).select(F.greatest("digest", "d2").alias("a"), F.least("digest", "d2").alias("b")).distinct()
+
+
 def text_groups(docs: DataFrame, text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """(node, label) for the texts (by MD5) that belong to a group of several: label is the group's smallest digest."""
     work = Workspace(docs.sparkSession, "near")
@@ -191,41 +238,37 @@ def text_groups(docs: DataFrame, text: str = "text", least: float = SIMILARITY)
     sketched = work.save(sketch_table(keyed), "sketches")
     members = sketched.select("digest", "n", F.posexplode("bands").alias("band", "sketch")).select(F.xxhash64("band", "sketch").alias("bucket"), "digest", "n")
     # buckets of one text offer nothing
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("texts"), F.min(F.struct("digest", "n")).alias("centre")).where("texts > 1")
-    rows = work.save(members.join(shared, "bucket").select("bucket", "digest", "n", "centre"), "members")
-    fits = F.least("n", "centre.n") >= least * F.greatest("n", "centre.n")
-    pairs = work.save(rows.where(fits & (F.col("digest") != F.col("centre.digest"))).select(F.col("digest").alias("a"), F.col("centre.digest").alias("b")).distinct(), "pairs0")
+    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    rows = work.save(members.join(shared, "bucket"), "shared")
+    # the text of which most buckets are full, such as the one that others were derived from, is the best centre
+    fame = rows.groupBy("digest").agg(F.sum("texts").alias("fame"))
+    rows = work.save(rows.join(fame, "digest").select("bucket", "digest", "n", "fame"), "members")
+    work.drop("sketches", "shared")
     shingles = work.save(_shingles_of(rows.select("digest").distinct(), keyed), "shingles")
-    links = work.save(_linked(pairs, shingles, least), "links0")
+
+    def to_centres(rows: DataFrame) -> DataFrame:
+        """(a, b) of every text and the centre of its bucket."""
+        centres = rows.groupBy("bucket").agg(F.max(F.struct("fame", "digest", "n")).alias("centre"))
+        fits = F.least("n", "centre.n") >= least * F.greatest("n", "centre.n")
+        met = rows.join(centres, "bucket").where(fits & (F.col("digest") != F.col("centre.digest")))
+        return met.select(F.greatest("digest", "centre.digest").alias("a"), F.least("digest", "centre.digest").alias("b")).distinct()
+
+    tried = work.save(to_centres(rows), "pairs0")
+    links = work.save(_linked(tried, shingles, least), "links0")
     labels = connected_components(links, work, "round0_")
-    tried = pairs
-
-    def grouped() -> DataFrame:
-        label = labels.select(F.col("node"), F.col("label"))
-        return rows.select("bucket", "digest", "n").join(label, F.col("digest") == F.col("node"), "left").select("bucket", "digest", "n", F.coalesce("label", "digest").alias("label"))
-
-    for i in range(1, ROUNDS + 1):
-        own = grouped()
-        mixed = own.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        left = work.save(own.join(mixed, "bucket").select("bucket", "digest", "n", "label", "low"), f"mixed{i}")
-        if i < ROUNDS:
-            # the texts outside the bucket's first group get a centre of their own
-            others = left.where("label <> low")
-            centres = others.groupBy("bucket").agg(F.min(F.struct("digest", "n")).alias("centre"))
-            new = others.join(centres, "bucket").where(fits & (F.col("digest") != F.col("centre.digest"))).select(F.col("digest").alias("a"), F.col("centre.digest").alias("b"))
-        else:
-            # what is left: all pairs between groups that a bucket holds together
-            x = left.select("bucket", F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-            apart = (F.col("label") < F.col("lb")) & (F.least("n", "nb") >= least * F.greatest("n", "nb"))
-            new = left.join(x, "bucket").where(apart).select(F.greatest("digest", "b").alias("a"), F.least("digest", "b").alias("b"))
-        fresh = work.save(new.distinct().join(tried, ["a", "b"], "left_anti"), f"pairs{i}")
+    for i in (1, 2):
+        own = rows.join(labels, F.col("digest") == F.col("node"), "left").select("bucket", "digest", "n", "fame", F.coalesce("label", "digest").alias("label"))
+        mixed = own.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.struct("fame", "label")).alias("main")).where("low <> high")
+        left = work.save(own.join(mixed, "bucket").select("bucket", "digest", "n", "fame", "label", F.col("main.label").alias("main")), f"mixed{i}")
+        # first the texts outside the main group get a centre of their own, then all pairs between groups meet
+        new = to_centres(left.where("label <> main")) if i == 1 else _other_pairs(left, shingles, least, work)
+        fresh = work.save(new.join(tried, ["a", "b"], "left_anti"), f"pairs{i}")
         more = work.save(_linked(fresh, shingles, least), f"links{i}")
         links, tried = links.unionByName(more), tried.unionByName(fresh)
-        work.drop(f"mixed{i}")
         if not more.isEmpty():
             labels = connected_components(links, work, f"round{i}_")
     out = work.save(labels, "groups")
-    work.drop("sketches", "members", "shingles", *(f"{n}{i}" for n in ("pairs", "links") for i in range(ROUNDS + 1)))
+    work.drop("members", "shingles", "rare", "hopeful", *(f"{n}{i}" for n in ("pairs", "links", "mixed") for i in range(3)))
     return out
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import decontaminate, html_text, langid, mixing, near_dup, ogg, preference, suffix_dedup, unit_dedup
+from tallyspark.llm import decontaminate, html_text, langid, mixing, near_dup, ogg, preference, quality, suffix_dedup, unit_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +31,10 @@ def op3_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.format_pairs(preference.adjacent_pairs(table(spark, sf_dir, "conversations")))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"))
+
+
 def op5_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.round_trip(table(spark, sf_dir, "documents"))
 
@@ -70,7 +74,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_mix, op2_suffixes, op3_preference, op5_ogg, op6_decontaminate, op7_lines, op8_main_text, op9_near_dups, op10_language)
+    found = (op1_mix, op2_suffixes, op3_preference, op4_quality, op5_ogg, op6_decontaminate, op7_lines, op8_main_text, op9_near_dups, op10_language)
     return {f.__name__: f for f in found}
 
 
