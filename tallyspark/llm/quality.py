@@ -2,7 +2,7 @@
 
 Eight heuristics vote good, bad or nothing on every document. Expectation-maximisation over the counts of vote patterns (at
 most 3 ** 8, counted over all documents) estimates how often each labeller casts each vote on good and on bad
-documents, with no labelled row. The posterior of a document's pattern is its weak label. On these labels a linear
+documents, from what is expected of any labeller and with no labelled row. The posterior of a document's pattern is its weak label. On these labels a linear
 scorer over hashed byte trigrams is fitted, from a sample of about ``SAMPLE`` documents drawn by hash; it scores all.
 
 Defined results: a null or blank text has posterior and score 0 and isn't kept; repeated rows get equal results and count
@@ -26,6 +26,11 @@ LABELLERS = ("symbols", "marks", "capitals", "bars", "variety", "word_length", "
 SAMPLE = 3000  # documents that the scorer is fitted on
 BUCKETS = 2048
 KEEP = 0.5
+# What a labeller is expected to do before any document is seen, as none, bad, good, on bad and on good documents. STRENGTH is the
+# weight beside that of all documents, 1. MOST_FALSE bounds the share of good documents that a labeller may blame: it tells the
+# classes apart and keeps a fault that only one labeller sees from counting as its error.
+EXPECTED, STRENGTH = ((0.45, 0.2, 0.35), (0.498, 0.002, 0.5)), 0.1
+MOST_FALSE = 0.001
 _ROUNDS = 100
 _STEPS = 300
 _CHUNK = 1 << 19
@@ -73,13 +78,14 @@ def votes(raw: list[bytes]) -> np.ndarray:
     repeats = n_words / np.maximum(distinct, 1)
     closed = ended / np.maximum(lines, 1)
     per_line = n_words / np.maximum(lines, 1)
+    none = np.zeros(len(raw), bool)
     table = [
-        _vote(symbols, symbols < 0.01, symbols > 0.06),
-        _vote(marks, marks < 0.1, marks > 0.6),
-        _vote(capitals, capitals < 0.2, capitals > 0.5),
-        _vote(bars, np.zeros(len(raw), bool), bars > 0.3),
-        _vote(variety, variety > 2.5, (repeats > 8) & (n_words > 30) & (variety < 1.5)),
-        _vote(length, (length > 2.5) & (length < 12), (length < 1.8) | (length > 16)),
+        _vote(symbols, none, symbols > 0.06),
+        _vote(marks, none, marks > 0.6),
+        _vote(capitals, none, capitals > 0.5),
+        _vote(bars, none, bars > 0.3),
+        _vote(variety, none, (repeats > 8) & (n_words > 30) & (variety < 1.5)),
+        _vote(length, none, (length < 1.8) | (length > 16)),
         _vote(closed, closed > 0.6, (closed < 0.2) & (n_words > 30)),
         _vote(per_line, (per_line > 5) & (n_words > 20), (per_line < 2) & (n_words > 20)),
     ]
@@ -90,15 +96,19 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray) -> tuple[
     """(posterior of good for each pattern, P(vote | class) as labellers x classes x votes, prior of good)."""
     weight = counts / counts.sum()
     good, bad = (patterns == _GOOD).sum(1), (patterns == _BAD).sum(1)
-    q = (good + 1.0) / (good + 2.0 * bad + 2.0)  # a vote against weighs double: labellers see one fault each
+    q = (good + 1.0) / (good + 30.0 * bad + 2.0)  # one vote against is enough to begin with: labellers see one fault each
     table = np.zeros((patterns.shape[1], 2, 3))
     prior = 0.5
     for _ in range(_ROUNDS):
         prior = float(np.clip((weight * q).sum(), 0.02, 0.98))
         for j in range(patterns.shape[1]):
             for c, w in enumerate((1 - q, q)):
-                n = np.bincount(patterns[:, j], weight * w, minlength=3) + 1e-4
+                n = np.bincount(patterns[:, j], weight * w, minlength=3) + STRENGTH * np.array(EXPECTED[c])
                 table[j, c] = n / n.sum()
+            false = table[j, 1, _BAD]
+            if false > MOST_FALSE:
+                table[j, 1] *= (1 - MOST_FALSE) / (1 - false)
+                table[j, 1, _BAD] = MOST_FALSE
         log = np.log(table)
         each = [sum(log[j, c][patterns[:, j]] for j in range(patterns.shape[1])) for c in (0, 1)]
         odds = each[1] - each[0] + np.log(prior) - np.log(1 - prior)
