@@ -1 +1 @@
-"""."""
+"""Column expressions: text, dates, amounts, periods."""

@@ -1 +1 @@
-"""."""
+"""Relational operators over statements, transactions, files and messages."""

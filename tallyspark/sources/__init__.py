@@ -1 +1 @@
-"""."""
+"""Readers that Spark lacks, and the layouts of those it has."""

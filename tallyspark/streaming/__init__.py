@@ -1 +1 @@
-"""."""
+"""Incremental intake."""
