@@ -3,8 +3,8 @@ r"""Benchmark decontamination by winnowing, in DataFrame operations only.
 Texts become words (``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing A-Z). Every window of ``WINDOW`` words holds
 ``WINDOW - GRAM + 1`` word k-grams; the smallest of their hashes is the window's fingerprint, so equal windows have
 equal fingerprints and no shared span of ``WINDOW`` words is missed. Neighbouring windows mostly share their
-fingerprint, hence a document sends one row per run of windows. Runs that meet an item's fingerprint are extended: each of their
-windows is compared, word by word, with the items' windows.
+fingerprint, hence a document sends few rows for many windows. Those that meet an item's fingerprint are extended: each
+window that they stand for is compared, word by word, with the items' windows.
 
 Items shorter than a window are one window of their own length; documents are searched for them by the hash of each
 such length, which costs nothing where no item is short.
@@ -22,8 +22,9 @@ from tallyspark.llm.store import Workspace
 
 WINDOW = 10
 GRAM = 5
+STEP = WINDOW - GRAM + 1  # grams in a window
 SMALL = 200_000  # tables of up to this many rows of at most some hundred bytes are broadcast, larger ones shuffled
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -33,20 +34,7 @@ def words(text: Column, exact: bool = True) -> Column:
     No letter's lower case changes between word and separator, so positions and counts are the same either way.
     """
     low = F.translate(text, _UPPER, _LOWER) if exact else F.lower(text)
-    return F.coalesce(F.regexp_extract_all(low, F.lit(_WORD), F.lit(0)), F.array().cast("array<string>"))
-
-
-def _shift(a: Column, n: int) -> Column:
-    return F.slice(a, n + 1, F.greatest(F.size(a) - n, F.lit(0)))
-
-
-def _pairs(a: Column, b: Column, f) -> Column:
-    """f over neighbours; ``b`` is shorter and what ``a`` has beyond it goes."""
-    return F.zip_with(F.slice(a, 1, F.size(b)), b, f)
-
-
-def _least(a: Column, b: Column) -> Column:
-    return F.least(a, b)
+    return F.coalesce(F.array_remove(F.split(low, _OTHER), ""), F.array().cast("array<string>"))
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -54,25 +42,23 @@ def _bounded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
-def _fingerprints(rows: DataFrame) -> DataFrame:
-    """``rows`` (.., w) of at least ``WINDOW`` words with fp: the fingerprint of each window, in order."""
-    h = rows.withColumn("h1", F.transform("w", lambda x: F.xxhash64(x)))
-    h = h.withColumn("h2", _pairs(F.col("h1"), _shift(F.col("h1"), 1), lambda a, b: F.xxhash64(a, b)))
-    h = h.withColumn("h4", _pairs(F.col("h2"), _shift(F.col("h2"), 2), lambda a, b: F.xxhash64(a, b)))
-    h = h.withColumn("h5", _pairs(F.col("h4"), _shift(F.col("h1"), 4), lambda a, b: F.xxhash64(a, b)))
-    h = h.withColumn("m2", _pairs(F.col("h5"), _shift(F.col("h5"), 1), _least))
-    h = h.withColumn("m4", _pairs(F.col("m2"), _shift(F.col("m2"), 2), _least))
-    return h.withColumn("fp", _pairs(F.col("m4"), _shift(F.col("m2"), 4), _least)).drop("w", "h1", "h2", "h4", "h5", "m2", "m4")
+def _windows(rows: DataFrame) -> DataFrame:
+    """One row per word of ``rows`` (key, w): (key, n_words, pos from 0, fp, sent).
 
-
-def _runs(prints: DataFrame) -> DataFrame:
-    """One row per run of equal fingerprints: (.., start, n, fp); start counts from 1."""
-    fp = F.col("fp")
-    firsts = F.filter(F.transform(fp, lambda x, i: F.when((i == 0) | (x != F.get(fp, i - 1)), i)), lambda i: i.isNotNull())
-    ends = F.concat(_shift(F.col("at"), 1), F.array(F.size("fp")))
-    rows = prints.withColumn("at", firsts)
-    runs = F.zip_with("at", ends, lambda i, e: F.struct((i + 1).alias("start"), (e - i).alias("n"), F.get(fp, i).alias("fp")))
-    return rows.select("key", F.explode(runs).alias("r")).select("key", "r.start", "r.n", "r.fp")
+    fp is the fingerprint of the window that begins at pos, null where none does. sent is fp where a run of windows with
+    one fingerprint begins and at every STEP-th position, so that each window is one of the STEP from some sent one on.
+    Hashes of words and grams are arrays; the minimum runs in generated code over the exploded rows, which is kept short
+    enough for the JVM to compile.
+    """
+    hashed = rows.select("key", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    # near the end a gram takes fewer words; no window reaches it. The outer explode keeps Spark from adding a filter on the
+    # array's size, which would compute it twice
+    gram = F.transform("h", lambda x, i: F.xxhash64(x, *(F.get("h", i + k) for k in range(1, GRAM))))
+    each = hashed.select("key", gram.alias("g")).select("key", "g", F.posexplode_outer("g").alias("pos", "own"))
+    around = [F.get("g", F.col("pos") + k) for k in range(-1, STEP)]
+    fp = F.when(F.col("pos") + WINDOW <= F.size("g"), F.least(*around[1:]))
+    each = each.select("key", F.size("g").alias("n_words"), "pos", fp.alias("fp"), F.least(*around[:-1]).alias("last"))
+    return each.select("key", "n_words", "pos", "fp", F.when((F.col("fp") != F.col("last")) | (F.col("pos") % STEP == 0), F.col("fp")).alias("sent"))
 
 
 def _phrase(w: Column, at: Column, n: Column | int) -> Column:
@@ -84,45 +70,52 @@ def item_windows(bench: DataFrame, item: str = "item_id", text: str = "text") ->
     w = bench.select(F.col(item).cast("string").alias("item"), words(F.col(text)).alias("w")).withColumn("len", F.size("w")).where("len > 0")
     size = F.least("len", F.lit(WINDOW))
     starts = F.sequence(F.lit(1), F.greatest(F.col("len") - WINDOW + 1, F.lit(1)))
-    return w.select("item", "w", size.alias("n"), F.explode(starts).alias("i")).select("item", "n", _phrase(F.col("w"), F.col("i"), F.col("n")).alias("phrase")).distinct()
-
+    each = w.select("item", "w", size.alias("n"), F.explode(starts).alias("i"))
+    return each.select("item", "n", _phrase(F.col("w"), F.col("i"), F.col("n")).alias("phrase")).distinct()
 
-def hits(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(key, start, n, item): the words start .. start + n - 1 (from 1) of the text with this key are a window of the item.
 
-    key is the MD5 of the text; each different text is searched, whatever its row.
-    """
+def hits(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(key, n_words) of each different text with words, and (key, start, n, item): the words start .. start + n - 1 (from 1)
+    of the text with this key are a window of the item. key is the MD5 of the text."""
     work = Workspace(docs.sparkSession, "decontaminate")
     items = work.save(item_windows(bench, item, item_text), "items")
-    # texts in any case; equal texts give equal rows, which the distinct before the join of phrases removes
-    keyed = docs.where(F.col(text).isNotNull()).select(F.md5(F.col(text)).alias("key"), F.col(text).alias("t"))
+    keyed = docs.where(F.col(text).isNotNull()).select(F.unhex(F.md5(F.col(text))).alias("key"), F.col(text).alias("t"))
     loose = keyed.select("key", words(F.col("t"), exact=False).alias("w"))
 
-    full = items.where(F.col("n") == WINDOW)
-    as_words = full.select(F.split(F.lower("phrase"), " ").alias("w"))
-    wanted = _bounded(work.save(_fingerprints(as_words).select(F.explode("fp").alias("fp")).distinct(), "prints"))
-    long_enough = loose.where(F.size("w") >= WINDOW)
-    found = _runs(_fingerprints(long_enough)).join(wanted, "fp", "left_semi").select("key", "start", F.col("n").alias("run"), F.lit(WINDOW).alias("n"))
+    phrases = items.where(F.col("n") == WINDOW).select(F.lit(b"").alias("key"), F.split(F.lower("phrase"), " ").alias("w"))
+    prints = _windows(phrases).where("fp is not null").select(F.col("fp").alias("wanted")).distinct()
+    prints = work.save(prints, "prints")
+    small = prints.limit(SMALL + 1).count() <= SMALL
+    # a filter before the join would have every fingerprint computed twice; where rows are shuffled it is worth that
+    sent = _windows(loose) if small else _windows(loose).where("pos = 0 or sent is not null")
+    met = sent.join(F.broadcast(prints) if small else prints, F.col("sent") == F.col("wanted"), "left").where("pos = 0 or wanted is not null")
+    span = F.when(F.col("wanted").isNotNull(), F.struct((F.col("pos") + 1).alias("start"), F.lit(STEP).alias("run"), F.lit(WINDOW).alias("n")))
+    found = met.select("key", "n_words", span.alias("r"))
 
     lengths = [r["n"] for r in items.where(F.col("n") < WINDOW).select("n").distinct().collect()]  # 9 values at most
     for n in sorted(lengths):
-        short = _bounded(items.where(F.col("n") == n).select(F.xxhash64(F.lower("phrase")).alias("fp")).distinct())
-        starts = F.sequence(F.lit(1), F.size("w") - n + 1)
-        grams = F.transform(starts, lambda i, n=n: F.struct(i.alias("start"), F.xxhash64(_phrase(F.col("w"), i, n)).alias("fp")))
-        rows = loose.where(F.size("w") >= n).select("key", F.explode(grams).alias("r")).select("key", "r.start", "r.fp")
-        found = found.unionByName(rows.join(short, "fp", "left_semi").select("key", "start", F.lit(1).alias("run"), F.lit(n).alias("n")))
-
-    found = work.save(found.groupBy("key").agg(F.collect_set(F.struct("start", "run", "n")).alias("runs")), "found")
-    near = keyed.join(_bounded(found), "key").dropDuplicates(["key"])
-    at = near.select("key", words(F.col("t")).alias("w"), "runs")
+        short = _bounded(items.where(F.col("n") == n).select(F.xxhash64(*(F.xxhash64(F.get(F.split(F.lower("phrase"), " "), i)) for i in range(n))).alias("wanted")).distinct())
+        each = loose.select("key", F.transform("w", lambda x: F.xxhash64(x)).alias("h")).select("key", "h", F.posexplode_outer("h").alias("pos", "own"))
+        gram = F.xxhash64(*(F.get("h", F.col("pos") + i) for i in range(n)))
+        grams = each.where(F.col("pos") + n <= F.size("h")).select("key", "pos", gram.alias("fp"))
+        starts = F.struct((F.col("pos") + 1).alias("start"), F.lit(1).alias("run"), F.lit(n).alias("n"))
+        found = found.unionByName(grams.join(short, F.col("fp") == F.col("wanted"), "left_semi").select("key", F.lit(None).cast("int").alias("n_words"), starts.alias("r")))
+
+    texts = work.save(found.groupBy("key").agg(F.max("n_words").alias("n_words"), F.collect_set("r").alias("runs")), "texts")
+    near = keyed.join(_bounded(texts.where(F.size("runs") > 0).select("key", "runs")), "key")
+    # the grouping also keeps the words from being computed again for every window
+    near = near.select("key", "runs", words(F.col("t")).alias("w")).dropDuplicates(["key"])
     inside = F.transform(
         "runs",
-        lambda r: F.transform(F.sequence(r["start"], r["start"] + r["run"] - 1), lambda i: F.struct(i.alias("start"), r["n"].alias("n"), _phrase(F.col("w"), i, r["n"]).alias("phrase"))),
+        lambda r: F.transform(
+            F.sequence(r["start"], F.least(r["start"] + r["run"] - 1, F.size("w") - r["n"] + 1)),
+            lambda i: F.struct(i.alias("start"), r["n"].alias("n"), _phrase(F.col("w"), i, r["n"]).alias("phrase")),
+        ),
     )
-    phrases = at.select("key", F.explode(F.flatten(inside)).alias("x")).select("key", "x.start", "x.n", "x.phrase")
-    out = work.save(phrases.join(_bounded(items), ["n", "phrase"]).select("key", "start", "n", "item").distinct(), "hits")
-    work.drop("items", "prints", "found")
-    return out
+    each = near.select("key", F.explode(F.flatten(inside)).alias("x")).select("key", "x.start", "x.n", "x.phrase")
+    out = work.save(each.join(_bounded(items), ["n", "phrase"]).select("key", "start", "n", "item").distinct(), "hits")
+    work.drop("items", "prints")
+    return texts.select("key", "n_words"), out
 
 
 def covered(spans: Column) -> Column:
@@ -140,16 +133,17 @@ def covered(spans: Column) -> Column:
 
 def report(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` with n_words, n_hit (words inside any window's occurrence), items (ids, sorted) and contaminated."""
-    found = hits(docs, bench, text, item, item_text).groupBy(F.col("key").alias("__key")).agg(
-        covered(F.collect_set(F.struct("start", "n"))).cast("long").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items")
-    )
-    plain = docs.drop("n_words", "n_hit", "items", "contaminated")
-    n_words = F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0))
-    joined = plain.withColumn("__md5", F.md5(F.col(text))).withColumn("n_words", n_words.cast("long")).join(found, F.col("__md5") == F.col("__key"), "left").drop("__md5", "__key")
-    return joined.withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))}).withColumn("contaminated", F.col("n_hit") > 0)
+    counts, found = hits(docs, bench, text, item, item_text)
+    marks = found.groupBy("key").agg(covered(F.collect_set(F.struct("start", "n"))).cast("long").alias("n_hit"), F.array_sort(F.collect_set("item")).alias("items"))
+    results = counts.join(marks, "key", "left").withColumnRenamed("key", "__key")
+    plain = docs.drop("n_words", "n_hit", "items", "contaminated").withColumn("__md5", F.unhex(F.md5(F.col(text))))
+    joined = plain.join(results, F.col("__md5") == F.col("__key"), "left").drop("__md5", "__key")
+    zero = F.lit(0).cast("long")
+    filled = {"n_words": F.coalesce(F.col("n_words").cast("long"), zero), "n_hit": F.coalesce("n_hit", zero), "items": F.coalesce("items", F.array().cast("array<string>"))}
+    return joined.withColumns(filled).withColumn("contaminated", F.col("n_hit") > 0)
 
 
 def clean(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text holds no window of any item, with the columns of ``docs``."""
-    dirty = hits(docs, bench, text, item, item_text).select("key").distinct()
-    return docs.withColumn("__md5", F.md5(F.col(text))).join(dirty, F.col("__md5") == F.col("key"), "left_anti").drop("__md5")
+    dirty = hits(docs, bench, text, item, item_text)[1].select("key").distinct()
+    return docs.withColumn("__md5", F.unhex(F.md5(F.col(text)))).join(dirty, F.col("__md5") == F.col("key"), "left_anti").drop("__md5")
