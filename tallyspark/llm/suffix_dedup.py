@@ -11,8 +11,8 @@ that occur elsewhere. Before a batch is added, levels of equal size merge, so th
 is rewritten that often.
 
 Anchors whose gram repeats are then extended. Anchors with equal contexts repeat in all their windows. The others are compared
-window by window within their gram: groups of up to ``GROUP`` contexts in one task, larger ones as rows of window hashes
-that are counted by a shuffle. As the windows of one anchor all contain it, what they cover is one span.
+window by window within their gram: groups of up to ``GROUP`` contexts in one task, larger ones by hashes of blocks of
+windows, which are counted by a shuffle and split where they agree in part. As the windows of one anchor all contain it, what they cover is one span.
 
 Defined results: a null text counts as empty; texts shorter than ``LENGTH`` lose nothing; equal texts are indexed once
 and, if long enough, lose everything; texts are identified by their MD5, whatever the rows' other columns; empty
@@ -36,6 +36,7 @@ LENGTH = 400
 _DOUBLINGS = 6
 _GRAM = 1 << _DOUBLINGS
 GROUP = 1000  # contexts of one gram that are compared in one task
+STEPS = (64, 8, 1)  # windows in a block where there are more
 _CHUNK = 1 << 19  # bytes of text that are hashed at once
 _SLICES = 8 << 20  # bytes of contexts that are compared at once
 _LOW = np.uint64(0xFFFFFFFF)
@@ -132,7 +133,7 @@ class SuffixIndex:
 
 
 def _slices(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(fp, digest, low, lone, slice) for ``wanted`` (digest, fp, pos, back, more, lone): the bytes of all windows."""
+    """(fp, digest, low, back, lone, slice) for ``wanted`` (digest, fp, pos, back, more, lone): the bytes of all windows."""
     lists = wanted.groupBy("digest").agg(F.collect_list(F.struct("fp", "pos", "back", "more", "lone")).alias("w"))
     rows = texts.join(lists, "digest").select("digest", F.col("text").cast("binary").alias("raw"), "w")
 
@@ -140,12 +141,13 @@ def _slices(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
         for b in batches:
             for d, t, w in zip(b.column(0), b.column(1), b.column(2), strict=True):
                 raw, own = t.as_py(), w.values
-                low = np.asarray(own.field("pos")).astype(np.int64) - np.asarray(own.field("back"))
+                back = np.asarray(own.field("back")).astype(np.int64)
+                low = np.asarray(own.field("pos")).astype(np.int64) - back
                 high = low + np.asarray(own.field("more")) + length
                 parts = [raw[i:j] for i, j in zip(low.tolist(), high.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([own.field("fp"), pa.array([d.as_py()] * len(low), pa.binary()), pa.array(low), own.field("lone"), pa.array(parts, pa.binary())], names=["fp", "digest", "low", "lone", "slice"])
+                yield pa.RecordBatch.from_arrays([own.field("fp"), pa.array([d.as_py()] * len(low), pa.binary()), pa.array(low), pa.array(back), own.field("lone"), pa.array(parts, pa.binary())], names=["fp", "digest", "low", "back", "lone", "slice"])
 
-    return rows.mapInArrow(run, "fp long, digest binary, low long, lone boolean, slice binary")
+    return rows.mapInArrow(run, "fp long, digest binary, low long, back long, lone boolean, slice binary")
 
 
 def _window_hashes(fp: np.ndarray, parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -189,7 +191,7 @@ def _compared(rows: DataFrame, length: int) -> DataFrame:
                 continue
             fp = b.column(0).to_numpy()
             begins = [0, *(np.flatnonzero(fp[1:] != fp[:-1]) + 1).tolist()]  # of the groups
-            sizes = np.concatenate(([0], np.cumsum(pc.binary_length(b.column(4)).to_numpy())))
+            sizes = np.concatenate(([0], np.cumsum(pc.binary_length(b.column(5)).to_numpy())))
             done = 0
             for i in begins:
                 group_goes_on = i == 0 and held and held[-1].column(0)[-1].as_py() == fp[0]
@@ -208,22 +210,72 @@ def _compared(rows: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, "digest binary, start long, end long")
 
 
-def _counted(rows: DataFrame, length: int) -> DataFrame:
-    """The same for contexts of any number: every window is a row, equal ones are counted by a shuffle."""
+def _blocks(rows: DataFrame, size: int, length: int) -> DataFrame:
+    """The blocks of ``size`` windows of every context in ``rows`` (fp, digest, low, back, lone, slice, of).
+
+    Windows are numbered by how far before the anchor they start; a block holds those from ``block`` * ``size`` on. ``of``
+    lists the larger blocks that are still of interest, or is null for all. core is a hash of the bytes that all windows of the
+    block have, whole one of the bytes of all windows, null if the context hasn't all of them.
+    """
+    larger = dict(zip(STEPS[1:], STEPS, strict=False)).get(size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 2000):
                 part = b.slice(at, 2000)
-                h, number, offset = _window_hashes(part.column(0).to_numpy(), part.column(4).to_pylist(), length)
-                take = pa.array(number, pa.int64())
-                low = part.column(2).to_numpy()[number]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), part.column(1).take(take), pa.array(low), pa.array(offset.astype(np.int64)), part.column(3).take(take)], names=["h", "digest", "low", "offset", "lone"])
-
-    windows = rows.mapInArrow(run, "h long, digest binary, low long, offset long, lone boolean")
-    twice = windows.groupBy("h").count().where("count > 1").select("h")
-    found = windows.where("lone").join(twice, "h", "left_semi").groupBy("digest", "low").agg(F.min("offset").alias("first"), F.max("offset").alias("last"))
-    return found.select("digest", (F.col("low") + F.col("first")).alias("start"), (F.col("low") + F.col("last") + length).alias("end"))
+                fp, back = part.column(0).to_numpy().view(np.uint64), part.column(3).to_numpy().astype(np.int64)
+                data, bounds = rolling.joined(part.column(5).to_pylist())
+                least = back - (np.diff(bounds) - length)  # windows least .. back
+                if larger is None:
+                    first, last = least // size, back // size
+                    own = np.repeat(np.arange(part.num_rows), last - first + 1)
+                    block = np.arange(len(own)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1) + first[own]
+                else:
+                    lists = part.column(6)
+                    own = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
+                    each = larger // size
+                    block = (lists.flatten().to_numpy().astype(np.int64)[:, None] * each + np.arange(each)).ravel()
+                    own = np.repeat(own, each)
+                    inside = (block * size <= back[own]) & (block * size + size > least[own])
+                    own, block = own[inside], block[inside]
+                near, far = block * size, block * size + size - 1
+                spans = rolling.Spans(data, 11)
+                tag = rolling.mix(rolling.mix(fp[own]) + block.astype(np.uint64))
+                origin = bounds[own] + back[own]
+                core = spans.hash(origin - near, origin - far + length) ^ tag
+                full = (near >= least[own]) & (far <= back[own])
+                span = [np.where(full, x, 0) for x in (origin - far, origin - near + length)]
+                whole = pa.array((spans.hash(*span) ^ rolling.mix(tag)).view(np.int64), mask=~full)
+                take = pa.array(own, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64)), whole, pa.array(block.astype(np.int32)), *(part.column(i).take(take) for i in (1, 2, 3, 4))], names=["core", "whole", "block", "digest", "low", "back", "lone"])
+
+    return rows.mapInArrow(run, "core long, whole long, block int, digest binary, low long, back long, lone boolean")
+
+
+def _counted(rows: DataFrame, length: int, work: Workspace) -> DataFrame:
+    """The same for contexts of any number, by counting hashes of blocks of windows.
+
+    A block whose core no other context has holds no repeat. One that another context has as a whole repeats in all its windows; of
+    equal ones one goes on, so that others can still meet it. What remains is split into smaller blocks, down to windows.
+    """
+    found = []
+    todo = rows.withColumn("of", F.lit(None).cast("array<int>"))
+    for size in STEPS:
+        blocks = work.save(_blocks(todo, size, length), f"blocks{size}")
+        shared = blocks.groupBy("core").count().where("count > 1").select("core")
+        wholes = blocks.groupBy("whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("digest", "low")).alias("one")).where("n > 1")
+        live = blocks.join(shared, "core", "left_semi").join(wholes, "whole", "left")
+        marked = work.save(live.select("digest", "low", "back", "block", "lone", F.col("n").isNotNull().alias("repeats"), (F.col("one") == F.struct("digest", "low")).alias("stays")), f"live{size}")
+        near = F.col("block") * size
+        start = F.col("low") + F.col("back")
+        found.append(marked.where("lone and repeats").select("digest", (start - near - size + 1).alias("start"), (start - near + length).alias("end")))
+        going = marked.where("not repeats or stays").groupBy("digest", "low", "back").agg(F.collect_list("block").alias("of"))
+        todo = rows.join(going, ["digest", "low", "back"]).select("fp", "digest", "low", "back", "lone", "slice", "of")
+        work.drop(f"blocks{size}")
+    spans = found[0]
+    for more in found[1:]:
+        spans = spans.unionByName(more)
+    return spans
 
 
 def long_matches(index: SuffixIndex, texts: DataFrame) -> DataFrame:
@@ -240,7 +292,7 @@ def long_matches(index: SuffixIndex, texts: DataFrame) -> DataFrame:
     parts = [whole, small]
     if not wanted.where("large").isEmpty():
         large = work.save(_slices(texts, wanted.where("large"), length), "large")
-        parts.append(_counted(large, length))
+        parts.append(_counted(large, length, work))
     spans = parts[0]
     for p in parts[1:]:
         spans = spans.unionByName(p)
@@ -289,15 +341,47 @@ def removals(docs: DataFrame, text: str = "text", length: int = LENGTH, batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(removed, pa.int64()), pa.array(found, kind), pa.array(kept, pa.binary())], names=["digest", "n_removed", "spans", "kept"])
 
     out = work.save(rows.mapInArrow(run, "digest binary, n_removed long, spans array<struct<start:bigint,end:bigint>>, kept binary"), "removals")
-    work.drop("texts", "repeated", "contexts", "large", "spans", *(name for _, name, _ in index.levels), *(f"repeats{i}" for i in range(batches)))
+    work.drop("texts", "repeated", "contexts", "large", "spans", *(f"live{n}" for n in STEPS), *(name for _, name, _ in index.levels), *(f"repeats{i}" for i in range(batches)))
     return out
 
 
 def dedup(docs: DataFrame, text: str = "text", length: int = LENGTH, batches: int = 3) -> DataFrame:
     """``docs`` with n_removed, spans (start, end of each removed run of bytes) and kept (the remaining bytes)."""
-    found = removals(docs, text, length, batches)
+    found = removals(docs, text, length, batches).withColumnRenamed("digest", "__found")
     plain = docs.drop("n_removed", "spans", "kept")
     keyed = plain.withColumn("__digest", F.unhex(F.md5(F.col(text))))
-    joined = keyed.join(found, F.col("__digest") == F.col("digest"), "left")
-    kept = F.when(F.col("digest").isNull(), F.coalesce(F.col(text), F.lit("")).cast("binary")).otherwise(F.col("kept"))
-    return joined.withColumns({"n_removed": F.coalesce("n_removed", F.lit(0).cast("long")), "spans": F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")), "kept": kept}).drop("digest", "__digest")
+    joined = keyed.join(found, F.col("__digest") == F.col("__found"), "left")
+    kept = F.when(F.col("__found").isNull(), F.coalesce(F.col(text), F.lit("")).cast("binary")).otherwise(F.col("kept"))
+    return joined.withColumns({"n_removed": F.coalesce("n_removed", F.lit(0).cast("long")), "spans": F.coalesce("spans", F.array().cast("array<struct<start:bigint,end:bigint>>")), "kept": kept}).drop("__found", "__digest")
+
+
+def strip(docs: DataFrame, text: str = "text", length: int = LENGTH, batches: int = 3, n_chars: str = "n_chars") -> DataFrame:
+    """``docs`` with the removed runs cut from the text, in the same columns; ``n_chars`` is counted anew if it is there.
+
+    A character is cut only if all its bytes are removed, so texts stay valid UTF-8. Null texts stay null.
+    """
+    found = removals(docs, text, length, batches).select(F.col("digest").alias("__found"), F.col("spans").alias("__spans"))
+    keyed = docs.withColumn("__digest", F.unhex(F.md5(F.col(text))))
+    joined = keyed.join(found, F.col("__digest") == F.col("__found"), "left")
+
+    @F.pandas_udf("string")
+    def rest(texts, spans):
+        return texts.combine(spans, lambda raw, s: None if raw is None else _without(raw, [(x["start"], x["end"]) for x in s]))
+
+    cut = joined.withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(rest(F.col(text).cast("binary"), F.coalesce("__spans", F.array().cast("array<struct<start:bigint,end:bigint>>")))))
+    if n_chars in docs.columns:
+        cut = cut.withColumn(n_chars, F.coalesce(F.length(text), F.lit(0)).cast(dict(docs.dtypes)[n_chars]))
+    return cut.select(*docs.columns)
+
+
+def _without(raw: bytes, spans: list[tuple[int, int]]) -> str:
+    parts, at = [], 0
+    for start, end in spans:
+        while start < end and raw[start] & 0xC0 == 0x80:  # the first character begins before the run
+            start += 1
+        while end < len(raw) and end > start and raw[end] & 0xC0 == 0x80:  # the last one goes on after it
+            end -= 1
+        parts.append(raw[at:start])
+        at = end
+    parts.append(raw[at:])
+    return b"".join(parts).decode("utf-8", "replace")
