@@ -131,9 +131,9 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", keys: tuple
     Documents of which the mix takes nothing stay with 0 copies; ``where("copies > 0")`` leaves the mix.
     """
     found, n = plan(docs, source, text, keys)
-    found = found.select(F.col("source").alias("__s"), "source_size", "target", F.col("copies").alias("__whole"), "limit")
+    found = found.select(F.col("source").alias("__s"), "source_size", "target", F.col("copies").alias("__whole"), F.col("limit").alias("__limit"))
     plain = docs.drop("size", "source_size", "target", "copies", "taken")
     marked = plain.withColumns({"size": word_count(F.col(text)), "__hash": unit_hash(*(F.col(k) for k in keys))})
     joined = marked.join(_with(found, n), F.col(source).eqNullSafe(F.col("__s")), "left")
-    copies = F.col("__whole") + F.when(F.col("__hash") <= F.col("limit"), 1).otherwise(0)
-    return joined.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop("__s", "__whole", "__hash", "limit")
+    copies = F.col("__whole") + F.when(F.col("__hash") <= F.col("__limit"), 1).otherwise(0)
+    return joined.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop("__s", "__whole", "__hash", "__limit")

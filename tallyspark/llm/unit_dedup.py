@@ -25,10 +25,6 @@ LINE, PARAGRAPH = b"\n", b"\n\n"
 _FLUSH = 50_000  # rows of an output batch
 
 
-def _same_document():
-    return F.col("k").eqNullSafe(F.col("d_k")) & (F.col("md5") == F.col("d_md5"))
-
-
 def unit_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", separator: bytes = LINE, min_words: int = MIN_WORDS) -> DataFrame:
     """(k, md5, at, start, n_bytes, digest): the units of at least ``min_words`` words; start and n_bytes count the
     bytes of the unit with the separator that follows it."""
@@ -64,14 +60,14 @@ def unit_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", separato
 
 
 def repeated_units(docs: DataFrame, key: str = "doc_id", text: str = "text", separator: bytes = LINE, min_words: int = MIN_WORDS) -> DataFrame:
-    """(d_k, d_md5, removed): per document the (start, n_bytes) of its units that occur earlier, in order."""
+    """(__d_k, __d_md5, removed): per document the (start, n_bytes) of its units that occur earlier, in order."""
     work = Workspace(docs.sparkSession, "units")
     # rows that are equal in key and text would otherwise count as repeats of each other
     units = work.save(unit_rows(docs, key, text, separator, min_words), "units")
     rank = F.struct(F.col("k").isNull().alias("none"), F.col("k"), F.col("md5"), F.col("at"))
     firsts = units.groupBy("digest").agg(F.min(rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("f"), "first")
     later = units.join(firsts, F.col("digest") == F.col("f")).where(rank > F.col("first"))
-    found = later.groupBy(F.col("k").alias("d_k"), F.col("md5").alias("d_md5")).agg(F.array_sort(F.collect_set(F.struct("start", "n_bytes"))).alias("removed"))
+    found = later.groupBy(F.col("k").alias("__d_k"), F.col("md5").alias("__d_md5")).agg(F.array_sort(F.collect_set(F.struct("start", "n_bytes"))).alias("removed"))
     out = work.save(found, "removed")
     work.drop("units")
     return out
@@ -91,8 +87,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", separator: b
     """``docs`` with removed (array of start, n_bytes in the original text) and kept (what remains, as binary)."""
     found = repeated_units(docs, key, text, separator, min_words)
     plain = docs.drop("removed", "kept")
-    keyed = plain.withColumn("k", F.col(key).cast("long")).withColumn("md5", F.unhex(F.md5(F.col(text))))
-    joined = keyed.join(found, _same_document(), "left").drop("k", "md5", "d_k", "d_md5")
+    keyed = plain.withColumn("__k", F.col(key).cast("long")).withColumn("__md5", F.unhex(F.md5(F.col(text))))
+    same = F.col("__k").eqNullSafe(F.col("__d_k")) & (F.col("__md5") == F.col("__d_md5"))
+    joined = keyed.join(found, same, "left").drop("__k", "__md5", "__d_k", "__d_md5")
     joined = joined.withColumn("removed", F.coalesce("removed", F.array().cast("array<struct<start:bigint,n_bytes:bigint>>")))
 
     @F.pandas_udf("binary")
