@@ -1,0 +1,339 @@
+"""Operators against brute force on small tables: nulls, empty and long texts, ties, repeated rows, clashing columns."""
+
+import hashlib
+import random
+import re
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from tallyspark.llm import decontaminate, html_text, langid, mixing, near_dup, ogg, preference, quality, suffix_dedup, unit_dedup
+
+RNG = random.Random(11)
+VOCABULARY = ["".join(RNG.choice("abcdefghijklmnop") for _ in range(RNG.randint(2, 8))) for _ in range(900)]
+
+
+def prose(n, rng=RNG):
+    return " ".join(rng.choice(VOCABULARY) for _ in range(n))
+
+
+# mixing
+
+
+def brute_mix(rows):
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sources = sorted({s for *_, s in rows}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(size(t) for _, t, _, x in rows if x == s) for s in sources}
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(sources)}
+    full = set()
+    while True:
+        pool = 1.5 * sum(total.values()) - sum(2 * total[s] for s in full)
+        left = sum(weight[s] for s in sources if s not in full)
+        over = {s for s in sources if s not in full and weight[s] * pool / left > 2 * total[s]} if left else set()
+        if not over:
+            break
+        full |= over
+    return total, {s: 2.0 * total[s] if s in full else weight[s] * pool / left for s in sources}
+
+
+def test_mixing(docs):
+    rows = [(i, prose(RNG.randint(0, 60)), None, f"s{i % 5}" if i % 11 else None) for i in range(300)]
+    rows += [(1000, None, None, "s1"), (1001, "", None, "empty"), (None, "a b", None, "s2"), (None, "a b", None, "s2"), (7, "one two\tthree\x0bfour", None, "é")]
+    out = mixing.mix(docs(rows)).select("doc_id", "text", "source", "size", "source_size", "target", "taken").collect()
+    total, target = brute_mix(rows)
+    assert len(out) == len(rows)
+    taken, largest = Counter(), Counter()
+    for r in out:
+        assert r["source_size"] == total[r["source"]] and r["target"] == pytest.approx(target[r["source"]])
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        taken[r["source"]] += r["taken"]
+        largest[r["source"]] = max(largest[r["source"]], r["size"])
+    for s in total:
+        assert abs(taken[s] - target[s]) <= max(largest[s], 1)
+    again = mixing.mix(docs(list(reversed(rows)))).select("doc_id", "text", "taken").collect()
+    assert Counter((r["doc_id"], r["text"], r["taken"]) for r in out) == Counter((r["doc_id"], r["text"], r["taken"]) for r in again)
+
+
+def test_mixing_of_nothing(docs, spark):
+    assert mixing.mix(docs([(1, "a", None, "s")]).where("false")).count() == 0
+    r = mixing.mix(docs([(1, None, None, "s"), (2, "", None, "s")])).collect()
+    assert [(x["taken"], x["target"]) for x in r] == [(0, 0.0), (0, 0.0)]
+
+
+# suffix arrays
+
+
+def brute_suffix(texts, length):
+    raw = [(t or "").encode() for t in texts]
+    seen = Counter(b[i : i + length] for b in raw for i in range(len(b) - length + 1))
+    out = []
+    for b in raw:
+        gone = [False] * len(b)
+        for i in range(len(b) - length + 1):
+            if seen[b[i : i + length]] > 1:
+                gone[i : i + length] = [True] * length
+        spans = sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone))
+        out.append((sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(b, gone, strict=True) if not g)).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize(("group", "batches"), [(1000, 1), (1000, 5), (2, 3)])
+def test_suffix_dedup(docs, monkeypatch, group, batches):
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
+    rng = random.Random(3)
+    passage, other = prose(110, rng), prose(70, rng)
+    texts = [prose(rng.randint(0, 200), rng) for _ in range(25)]
+    texts += [f"{prose(rng.randint(0, 60), rng)} {passage} {prose(rng.randint(0, 60), rng)}" for _ in range(12)]
+    texts += [f"{prose(30, rng)}{passage[k:]}{prose(9, rng)}" for k in (0, 1, 100, 200)]
+    texts += [other * 3, "é" * 900, "ab" * 500, None, "", "x", passage[:399], texts[0], texts[0], "ü" + passage + "ü"]
+    found = suffix_dedup.dedup(docs([(i, t) for i, t in enumerate(texts)]), batches=batches).collect()
+    got = {r["doc_id"]: (r["n_removed"], len(r["spans"]), hashlib.sha256(r["kept"]).hexdigest()) for r in found}
+    assert [got[i] for i in range(len(texts))] == brute_suffix(texts, 400)
+
+
+def test_suffix_index_levels(docs, spark):
+    from tallyspark.llm.store import Workspace
+
+    texts = docs([(i, prose(120)) for i in range(60)], extra=False).select(F.unhex(F.md5("text")).alias("digest"), "text").cache()
+    index = suffix_dedup.SuffixIndex(Workspace(spark, "test"))
+    ranks = []
+    for i in range(8):
+        index.add(texts.where(F.pmod(F.xxhash64("digest"), F.lit(8)) == i))
+        ranks.append([r for r, _, _ in index.levels])
+    assert ranks[:4] == [[0], [0, 0], [1, 0], [1, 0, 0]] and len(ranks[-1]) <= 4
+    assert sum(level.count() for _, _, level in index.levels) == suffix_dedup.entries(texts).count()
+
+
+def test_suffix_strip_keeps_characters(docs):
+    shared = "é" * 300
+    rows = [(1, "a" + shared + "b", "en", "s"), (2, "xyz" + shared + "ü", "en", "s"), (3, None, "en", "s")]
+    out = {r["doc_id"]: r for r in suffix_dedup.strip(docs(rows)).collect()}
+    assert out[1]["text"] == "ab" and out[1]["n_chars"] == 2 and out[2]["text"] == "xyzü" and out[3]["text"] is None
+    assert suffix_dedup.strip(docs(rows).where("false")).count() == 0
+
+
+# preference pairs
+
+
+def test_preference(spark):
+    rows = [
+        (0, 0, "user", "hi"), (0, 1, "assistant", "a"), (0, 2, "user", "x"), (0, 3, "assistant", "b"),
+        (1, 0, "user", "hi"), (1, 1, "assistant", "a"), (1, 2, "user", "y"),
+        (2, 0, "user", "alone"), (4, 0, None, None), (5, 0, None, None), (None, 0, "user", "lost"), (6, 0, "user", "p"), (6, 0, "user", "p"), (7, 0, "user", "p"),
+    ]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("pair_id", F.lit("clash"))
+    out = preference.format_pairs(preference.adjacent_pairs(turns))
+    got = {(r["pair_id"], r["turn"]): r for r in out.collect()}
+    assert got[0, 0]["prompt"] == "<|im_start|>user\nhi<|im_end|>\n" and got[0, 1]["part"] == "prompt"
+    assert got[0, 2]["chosen"].endswith("x<|im_end|>\n") and got[0, 2]["rejected"].endswith("y<|im_end|>\n") and got[0, 2]["chosen_loss"] == 0
+    assert got[0, 3]["rejected"] is None and got[0, 3]["chosen_loss"] == len("b<|im_end|>")
+    assert got[1, 0]["part"] == "completion" and got[2, 0]["part"] == "prompt" and got[2, 0]["prompt"].startswith("<|im_start|>unknown\n<|im_end|>")
+    assert got[3, 0]["part"] == "completion" and len(got) == 7
+    whole = {r["pair_id"]: r for r in preference.assemble(out).collect()}
+    span = whole[0]["chosen_spans"][0]
+    assert whole[0]["chosen"][span["start"] : span["start"] + span["n"]] == "b<|im_end|>" and whole[0]["rejected_spans"] == []
+    assert preference.format_pairs(preference.adjacent_pairs(turns.where("false"))).count() == 0
+
+
+# weak labels
+
+
+def test_quality(docs, spark):
+    rng = random.Random(2)
+    good = [(i, ". ".join(prose(12, rng) for _ in range(6)) + ".") for i in range(300)]
+    shout = [(1000 + i, " ".join(w.upper() + "!!" for w in prose(50, rng).split())) for i in range(40)]
+    noise = [(2000 + i, " ".join(w + "***" for w in prose(50, rng).split())) for i in range(40)]
+    rows = [*good, *shout, *noise, (3000, None), (3001, " \n"), (None, good[0][1])]
+    out = quality.classify(docs(rows)).collect()
+    assert len(out) == len(rows)
+    score = {r["doc_id"]: r for r in out}
+    kept = {k for k, r in score.items() if r["keep"]}
+    assert len(kept & {i for i, _ in good}) >= 295 and not kept & {i for i, _ in [*shout, *noise]} and None in kept
+    assert score[3000]["score"] == 0 and not score[3000]["keep"] and not score[3001]["keep"]
+    assert quality.classify(docs(rows).where("false")).count() == 0
+
+
+# Ogg
+
+
+def test_ogg_columns(docs):
+    rows = [(1, None), (2, ""), (3, "é" * 96), (4, "x" * 193), (4, "x" * 193), (None, "y" * 70_000)]
+    out = ogg.round_trip(docs(rows)).collect()
+    by = {(r["doc_id"], r["n_bytes"]): r for r in out}
+    assert len(out) == 6 and by[1, 0]["payload_sha256"] == hashlib.sha256(b" " * 192).hexdigest() == by[2, 0]["payload_sha256"]
+    assert by[3, 192]["payload_bytes"] == 192 and by[4, 193]["payload_bytes"] == 384
+    media = ogg.media_column(docs(rows))
+    assert {hashlib.sha256(r["media"]).hexdigest() for r in media.collect()} == {r["media_sha256"] for r in out}
+    packets = ogg.packet_table(media.where("doc_id is null")).where(F.col("serial") == ogg.SAMPLES).orderBy("packet").collect()
+    assert b"".join(p["data"] for p in packets[1:]).rstrip() == b"y" * 70_000 and packets[-1]["seconds"] == pytest.approx(70_080 / ogg.RATE)
+    assert ogg.round_trip(docs(rows).where("false")).count() == 0
+
+
+# decontamination
+
+
+def brute_hits(texts, items):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    out = []
+    for t in texts:
+        w, hit, ids = words(t), set(), set()
+        for k, item in items:
+            x = words(item)
+            n = min(10, len(x))
+            windows = {tuple(x[i : i + n]) for i in range(len(x) - n + 1)} if n else set()
+            for i in range(len(w) - n + 1) if n else ():
+                if tuple(w[i : i + n]) in windows:
+                    hit |= set(range(i, i + n))
+                    ids.add(str(k))
+        out.append((len(w), len(hit), sorted(ids)))
+    return out
+
+
+@pytest.mark.parametrize("small", [200_000, 0])
+def test_decontamination(docs, spark, monkeypatch, small):
+    monkeypatch.setattr(decontaminate, "SMALL", small)
+    rng = random.Random(9)
+    items = [(i, prose(n, rng)) for i, n in enumerate((30, 10, 11, 9, 3, 1, 0, 40))] + [(20, None), (21, "Éa ÉB c D e f g h i j k"), (22, "z " * 30)]
+    base = prose(50, rng)
+    texts = [f"{prose(20, rng)}, {t.title() if t and i % 2 else t} - {prose(5, rng)}" for i, (_, t) in enumerate(items)]
+    texts += ["éa éb c d e f g h i j k", "ÉA ÉB C d e f g h i j k", None, "", "!!", base, base, items[0][1][20:120], "z " * 500, "z " * 9]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(0))
+    out = {r["doc_id"]: r for r in decontaminate.report(docs(list(enumerate(texts))), bench).collect()}
+    got = [(out[i]["n_words"], out[i]["n_hit"], out[i]["items"]) for i in range(len(texts))]
+    assert got == brute_hits(texts, items)
+    kept = {r["doc_id"] for r in decontaminate.clean(docs(list(enumerate(texts))), bench).collect()}
+    assert kept == {i for i, (_, n, _) in enumerate(got) if not n}
+    assert decontaminate.report(docs([(1, base)]), bench.where("false")).first()["n_hit"] == 0
+    assert decontaminate.report(docs([(1, base)]).where("false"), bench).count() == 0
+
+
+# lines
+
+
+def test_unit_dedup(docs):
+    a, b = "one two three four five six", "Seven  eight nine ten eleven"
+    rows = [(2, f"{a}\n{b}\nshort"), (1, f"x y\n{b.lower()}\n{a.upper()} tail"), (3, f"{a}\n{a}\né {a}"), (None, a), (5, None), (6, ""), (3, f"{a}\n{a}\né {a}")]
+    out = unit_dedup.dedup(docs(rows)).collect()
+    kept = {(r["doc_id"], r["text"]): bytes(r["kept"] or b"").decode() for r in out}
+    assert len(out) == 7
+    assert kept[1, rows[1][1]] == rows[1][1]  # document 1 ranks first for the second line
+    assert kept[2, rows[0][1]] == f"{a}\nshort" and kept[3, rows[2][1]] == f"é {a}" and kept[None, a] == "" and kept[6, ""] == ""
+    spans = {r["doc_id"]: [(s["start"], s["n_bytes"]) for s in r["removed"]] for r in out}
+    assert spans[2] == [(len(a) + 1, len(b) + 1)] and spans[3] == [(0, len(a) + 1), (len(a) + 1, len(a) + 1)]
+    assert unit_dedup.dedup(docs(rows).where("false")).count() == 0
+
+
+# main text
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
+<div class="site-menu"><ul><li><a href=/a>Home</a></li><li><a href=/b>About</a></li></ul></div><div id=cookie-notice>We use cookies to make this site work for you.</div>
+<article><header><h1>Title &amp; more</h1><span>by someone</span></header><p>First   paragraph of the
+ article, <b>long</b> enough to count.</p><p>Ok.</p><aside>Read also this other very long and interesting article here.</aside>
+<form><label>Mail</label><input></form><p>Last paragraph&nbsp;of the article, long enough too.</p>
+<section class="comments"><article><p>Great article, I read it twice and sent it to all my friends.</p></article></section></article>
+<footer>&copy; nobody</footer></body></html>"""
+
+
+def test_main_text():
+    assert html_text.main_text(PAGE) == "Title & more\n\nFirst paragraph of the article, long enough to count.\n\nOk.\n\nLast paragraph of the article, long enough too."
+    assert html_text.main_text(None) == html_text.main_text("") == html_text.main_text("<script>x</script>") == ""
+    assert html_text.main_text("just text") == "just text"
+    assert html_text.main_text("<article><h1>A</h1><p><b>One two.<br><p>Three four.</p></article><footer>f") == "A\n\nOne two.\n\nThree four."
+    assert html_text.main_text("<nav><a>x</a><article><p>unclosed menu before the text</p></article>") == "unclosed menu before the text"
+
+
+def test_extract(spark):
+    pages = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (None, None, None)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    out = html_text.extract(pages).collect()
+    assert sorted(len(r["text"]) for r in out) == [0, len(html_text.main_text(PAGE)), len(html_text.main_text(PAGE))]
+    assert html_text.extract(pages.where("false")).count() == 0
+
+
+# near duplicates
+
+
+def brute_groups(texts, least=0.8):
+    shingles = []
+    for t in texts:
+        w = re.findall(r"[^\W_]+", (t or "").lower())
+        s = [tuple(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)] if w else []
+        seen = Counter()
+        labelled = []
+        for x in s:
+            labelled.append((x, seen[x]))
+            seen[x] += 1
+        shingles.append(labelled)
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if texts[i] is None or texts[j] is None:
+                continue
+            a, b = shingles[i], shingles[j]
+            at = {x: k for k, x in enumerate(b)}
+            path = [at[x] for x in a if x in at]
+            tails = []
+            import bisect
+
+            for x in path:
+                k = bisect.bisect_left(tails, x)
+                tails[k : k + 1] = [x]
+            m = len(tails)
+            if texts[i] == texts[j] or m and m / (len(a) + len(b) - m) >= least:
+                x, y = root(i), root(j)
+                parent[max(x, y)] = min(x, y)
+    return [root(i) for i in range(len(texts))]
+
+
+def test_near_dup(docs):
+    rng = random.Random(21)
+
+    def edited(t, k):
+        w = t.split()
+        for i in rng.sample(range(len(w)), k):
+            w[i] = rng.choice(VOCABULARY)
+        return " ".join(w)
+
+    base, second = prose(150, rng), prose(300, rng)
+    texts = [prose(rng.randint(1, 120), rng) for _ in range(30)]
+    texts += [base, *(edited(base, k) for k in (1, 1, 2, 2, 3, 3, 8, 8) for _ in range(6))]
+    texts += [second, second.upper(), second.replace(" ", ", "), edited(second, 4), f"{base} {second}", base, base, "a b c", "a b c d", "A b; c", "", "", "!!", None, None]
+    texts += [prose(40, rng) + " " + base for _ in range(6)]
+    ids = list(range(len(texts)))
+    rng.shuffle(ids)
+    rows = [(i, texts[i]) for i in ids]
+    out = {r["doc_id"]: r for r in near_dup.classes(docs(rows)).collect()}
+    assert [out[i]["class_id"] for i in range(len(texts))] == brute_groups(texts)
+    kept = sorted(r["doc_id"] for r in near_dup.dedup(docs([*rows, rows[0], rows[-1]])).collect())
+    assert sorted(set(kept)) == sorted(set(brute_groups(texts)))
+    nulls = [i for i in (ids[0], ids[-1]) if texts[i] is None]
+    assert len(kept) == len(set(kept)) + len(nulls)
+    assert near_dup.classes(docs(rows).where("false")).count() == 0 and near_dup.dedup(docs(rows).where("false")).count() == 0
+    lost = near_dup.classes(docs([(None, base), (4, base), (None, None)])).collect()
+    assert sorted((r["doc_id"] is None, r["class_id"], r["class_size"]) for r in lost if r["text"]) == [(False, 4, 2), (True, 4, 2)]
+
+
+# language
+
+
+def test_language(docs):
+    rng = random.Random(4)
+    alphabets = {"aa": "abcde", "bb": "fghij", "éé": "éèàçù"}
+    rows = [(i, " ".join("".join(rng.choice(alphabets[k]) for _ in range(4)) for _ in range(40)), k) for i, k in enumerate(list(alphabets) * 30)]
+    rows += [(500, None, "aa"), (501, "123 !!", "aa"), (502, "", None), (None, rows[0][1], None), (503, rows[1][1].upper(), None)]
+    table = docs(rows)
+    held = langid.fold() == 2
+    out = langid.predict(table.withColumn("held", held), langid.learn(table.where(~held))).collect()
+    by = {r["doc_id"]: r for r in out}
+    assert all(by[i]["lang_pred"] == k for i, _, k in rows[:90]) and all(0 <= r["score"] <= 1 for r in out)
+    assert [by[i]["lang_pred"] for i in (500, 501, 502, None, 503)] == ["und", "und", "und", "aa", "bb"]
+    empty = langid.learn(table.where("false"))
+    assert empty.count() == 0 and {r["lang_pred"] for r in langid.predict(table, empty).collect()} == {"und"}
+    assert langid.predict(table.where("false"), langid.learn(table)).count() == 0
