@@ -50,28 +50,36 @@ RULES = {
 }
 
 
+def _before(rows: Column, stop: str) -> Column:
+    ends = F.filter(F.transform(rows, lambda x, i: F.when(F.contains(x, F.lit(stop)), i)), lambda i: i.isNotNull())
+    return F.slice(rows, 1, F.coalesce(F.get(ends, F.lit(0)), F.size(rows)))
+
+
 def read_lines(statements: DataFrame, text: str = "text", stop: str | None = None) -> DataFrame:
     """``statements`` with a row per line: (pos from 0, line); with ``stop``, only the lines before the first that holds it."""
     rows = F.split(F.regexp_replace(F.col(text), r"\r\n?|\f", "\n"), "\n")
     if stop:
-        ends = F.filter(F.transform(rows, lambda x, i: F.when(F.contains(x, F.lit(stop)), i)), lambda i: i.isNotNull())
-        rows = F.slice(rows, 1, F.coalesce(F.get(ends, F.lit(0)), F.size(rows)))
+        rows = _before(rows, stop)
     return statements.select("*", F.posexplode(rows).alias("pos", "line"))
 
 
-def transactions(statements: DataFrame, rule: LineRule, text: str = "text") -> DataFrame:
-    """``statements`` with date, description, ref_no, credited and debited per line that the rule matches; text goes."""
+def parsed(line: Column, rule: LineRule) -> Column:
+    """(date, description, ref_no, credited, debited) of a line by a rule; null if it is no transaction."""
 
     def group(n: int) -> Column:
-        return F.nullif(F.regexp_extract("line", rule.pattern, n), F.lit("")) if n else F.lit(None).cast("string")
+        return F.nullif(F.regexp_extract(line, rule.pattern, n), F.lit("")) if n else F.lit(None).cast("string")
 
-    found = read_lines(statements, text, rule.stop).drop(text).where(F.col("line").rlike(rule.pattern))
-    if rule.skip:
-        found = found.where(~F.col("line").rlike(rule.skip))
     mark = F.coalesce(F.upper(group(rule.mark)), F.lit(rule.default_mark))
     credited, debited = split_direction(parse_amount(group(rule.amount)), mark)
-    out = found.select("*", parse_date(group(rule.date)).alias("date"), F.trim(group(rule.description)).alias("description"), group(rule.ref).alias("ref_no"), credited.alias("credited"), debited.alias("debited"))
-    return out.where(F.col("date").isNotNull()).drop("line")
+    parts = (parse_date(group(rule.date)).alias("date"), F.trim(group(rule.description)).alias("description"), group(rule.ref).alias("ref_no"))
+    fits = line.rlike(rule.pattern) & ~line.rlike(rule.skip) if rule.skip else line.rlike(rule.pattern)
+    return F.when(fits, F.struct(*parts, credited.alias("credited"), debited.alias("debited")))
+
+
+def transactions(statements: DataFrame, rule: LineRule, text: str = "text") -> DataFrame:
+    """``statements`` with date, description, ref_no, credited and debited per line that the rule matches; text goes."""
+    found = read_lines(statements, text, rule.stop).drop(text).where(F.col("line").rlike(rule.pattern))
+    return found.withColumn("t", parsed(F.col("line"), rule)).where("t.date is not null").select("*", "t.*").drop("line", "t")
 
 
 def transactions_of_text(statements: DataFrame, pattern: str, text: str = "text") -> DataFrame:
@@ -89,10 +97,12 @@ def first_of_each(rows: DataFrame, within: list[str], by: list[str], order: list
 
 
 def apply_rules(statements: DataFrame, rule: str = "rule", text: str = "text") -> DataFrame:
-    """Every statement by the rule that its ``rule`` column names: one branch per rule, no shuffle."""
-    names = sorted(RULES)
-    parts = [transactions(statements.where(F.col(rule) == n), RULES[n], text) for n in names]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Every statement by the rule that its ``rule`` column names, all in one scan: the rules are branches of a CASE."""
+    rows = F.split(F.regexp_replace(F.col(text), r"\r\n?|\f", "\n"), "\n")
+    kept = rows
+    for r in RULES.values():
+        if r.stop:
+            kept = F.when(F.col(rule) == r.name, _before(rows, r.stop)).otherwise(kept)
+    each = statements.select("*", F.posexplode(kept).alias("pos", "line")).drop(text)
+    one = F.coalesce(*(F.when(F.col(rule) == r.name, parsed(F.col("line"), r)) for r in RULES.values()))
+    return each.withColumn("t", one).where("t.date is not null").select("*", "t.*").drop("line", "t")

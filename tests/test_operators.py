@@ -157,3 +157,34 @@ def test_sinks(spark, tmp_path):
     for part, v in (("a", "1"), ("b", "2"), ("a", "3")):
         sinks.upsert_statements(spark.createDataFrame([(part, v)], "account string, sha256 string"), str(tmp_path / "up"), ["account"])
     assert sorted((r["account"], r["sha256"]) for r in spark.read.parquet(str(tmp_path / "up")).collect()) == [("a", "3"), ("b", "2")]
+
+
+def test_registry(spark):
+    from tallyspark.operators import registry
+
+    rows = [
+        ("bob", "easy", "05/01/2024 R1 TEA 1.00 CR"), ("federal", "signet", "05-01-2024 TEA 2.00 Dr"), ("idfc", "wow", "5 Jan 24 TEA 3.00"), ("idfc", "other", "5 Jan 24 TEA 3.00"),
+        ("csb", "edge", "05 Jan 24 TEA Rs. 4.00 Cr\n** End of Statement **\n06 Jan 24 TEA Rs. 4.00 Cr"), ("indusind", "x", "TOTAL\n05/01/2024 TEA 12 5.00 DR"), ("icici", None, "05/01/2024 123456789 TEA 7 6.00 CR"),
+    ]
+    found, unread = registry.read_statements(spark.createDataFrame(rows, "bank string, variant string, text string"))
+    assert sorted((r["bank"], r["credited"] - r["debited"]) for r in found.collect()) == [
+        ("bob", Decimal(1)), ("csb", Decimal(4)), ("federal", Decimal(-2)), ("icici", Decimal(6)), ("idfc", Decimal(-3)), ("indusind", Decimal(-5)),
+    ]
+    assert [(r["bank"], r["variant"]) for r in unread.collect()] == [("idfc", "other")]
+
+
+def test_extractors(spark):
+    from tallyspark.operators import extract
+
+    def value(column):
+        return spark.range(1).select(column.alias("v")).first()["v"]
+
+    t = F.lit("Total Due\n05/01/2024\n1,200.50 Cr\nSummary\n1 2\n10.00 20.00 30.00\n11.00 21.00 31.00\n05 Jan 2024 Rs. 7.00 Dr\nAmount 5.00")
+    assert value(extract.amount_beside_label(t, "Total Due")) == Decimal("-1200.50")
+    assert value(extract.nth_row_after(t, "Summary", 2, 3)) == Decimal("31.00")
+    assert value(extract.nth_row_after(t, "Summary", 2, 3, last=False)) == Decimal("11.00")
+    assert value(extract.nth_row_after(t, "Absent")) is None
+    assert value(extract.lone_amount_after(t, "Total Due")) == Decimal("-1200.50")
+    assert value(extract.unlabelled_opening(t)) == Decimal("7.00")
+    assert value(extract.reference(F.lit("AAN : X1 ABC1234"), "AAN")) == "ABC1234"
+    assert value(extract.amount_below_label(F.lit(None).cast("string"), "x")) is None
