@@ -127,3 +127,30 @@ def distinct_words(items: Column) -> Column:
     clean = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != "")
     lower = F.transform(clean, lambda x: F.lower(x))
     return F.filter(clean, lambda x, i: F.array_position(lower, F.lower(x)) == i + 1)
+
+
+def join_detached_marks(text: Column | str) -> Column:
+    """A line that only says CR or DR goes to the end of the line before it."""
+    rows = lines(text)
+    alone = r"(?i)^\s*(CR|DR)\s*$"
+    glued = F.transform(rows, lambda x, i: F.when(F.coalesce(F.get(rows, i + 1).rlike(alone), F.lit(False)) & ~x.rlike(alone), F.concat_ws(" ", F.rtrim(x), F.trim(F.get(rows, i + 1)))).otherwise(x))
+    return unlines(F.filter(glued, lambda x, i: ~x.rlike(alone) | (i == 0)))
+
+
+def drop_block(text: Column | str, header: str, until: str) -> Column:
+    """From the line that is the header to the one before the first that matches ``until``, or to the end."""
+    rows = lines(text)
+    begin = F.array_position(F.transform(rows, lambda x: F.trim(x)), F.lit(header)).cast("int")
+    rest = F.slice(rows, begin + 1, F.size(rows))
+    stop = F.get(F.filter(F.transform(rest, lambda x, i: F.when(x.rlike(until), i)), lambda i: i.isNotNull()), F.lit(0))
+    tail = F.when(stop.isNull(), F.array().cast("array<string>")).otherwise(F.slice(rest, stop + 1, F.size(rest)))
+    return F.when(begin == 0, _col(text)).otherwise(unlines(F.concat(F.slice(rows, 1, F.greatest(begin - 1, F.lit(0))), tail)))
+
+
+def is_green(color: Column) -> Column:
+    """Whether a glyph's colour (gray, RGB or CMYK parts from 0 to 1) is green, as credits are printed."""
+    part = lambda i: F.get(color, F.lit(i))
+    cmyk = F.array(*((1 - part(i)) * (1 - part(3)) for i in range(3)))
+    rgb = F.when(F.size(color) == 4, cmyk).when(F.size(color) == 3, color).otherwise(F.array(part(0), part(0), part(0)))
+    r, g, b = (F.get(rgb, F.lit(i)) for i in range(3))
+    return F.coalesce((g > r + 0.1) & (g > b + 0.1), F.lit(False))
