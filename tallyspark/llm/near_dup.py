@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.llm import rolling
@@ -34,8 +34,8 @@ from tallyspark.llm.store import Workspace
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, TAKE = 18, 4
-LARGE = 32  # texts of a bucket beyond which rare shingles are looked at before pairs are made
-RARE = 8  # texts that have a rare shingle at most
+LARGE = 4  # texts of a bucket beyond which rare shingles are looked at before pairs are made
+RARE = 16  # texts that have a rare shingle at most
 SMALL = 200_000  # digests (16 bytes) that are broadcast at most
 _CHUNK = 1 << 19
 _U = np.uint64
@@ -209,7 +209,7 @@ def _other_pairs(rows: DataFrame, shingles: DataFrame, least: float, work: Works
     """(a, b): all pairs of a bucket in ``rows`` (bucket, digest, n, label, main) whose labels differ and that can be alike.
 
     Most texts of a large bucket with a label of their own owe it to shingles that few others have. Such texts can be alike
-    only if they share one of these: those pairs are found by the rare shingle. Without a rare shingle in common, what is left
+    only if they share some of these: those pairs are found by the rarest shingles. Without a rare shingle in common, what is left
     of each bounds the similarity; texts that can reach nobody go before pairs are made by the bucket.
     """
     sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("n").alias("shortest"))
@@ -220,12 +220,20 @@ def _other_pairs(rows: DataFrame, shingles: DataFrame, least: float, work: Works
     counted = sized.join(counts, "digest", "left").withColumn("rare", F.when(F.col("size") > LARGE, F.coalesce("rare", F.lit(0))).otherwise(0))
     shared = F.col("n") - F.col("rare")
     hopeful = work.save(counted.where(shared >= least * (F.col("n") + F.greatest("shortest", shared) - shared)).select("bucket", "digest", "n", "label", "main", "rare"), "hopeful")
-    x = hopeful.where("label <> main").select("bucket", F.col("digest").alias("d2"), F.col("n").alias("n2"), F.col("label").alias("l2"), F.col("rare").alias("r2"))
-    meet = (F.col("label") != F.col("l2")) & _can_link(F.col("n"), F.col("rare"), F.col("n2"), F.col("r2"), least)
-    by_bucket = hopeful.join(x, "bucket").where(meet)
-
-    known = large.select("digest", "n", "label").distinct()
-    own = rare.where("texts > 1").join(known, "digest")
+    # a pair that shares several buckets meets in the first of them only
+    lists = hopeful.groupBy("digest").agg(F.collect_set("bucket").alias("own"))
+    listed = hopeful.join(lists, "digest")
+    x = listed.where("label <> main").select("bucket", F.col("digest").alias("d2"), F.col("n").alias("n2"), F.col("label").alias("l2"), F.col("rare").alias("r2"), F.col("own").alias("o2"))
+    once = F.col("bucket") == F.array_min(F.array_intersect("own", "o2"))
+    meet = (F.col("label") != F.col("l2")) & _can_link(F.col("n"), F.col("rare"), F.col("n2"), F.col("r2"), least) & once
+    by_bucket = listed.join(x, "bucket").where(meet)
+
+    # texts that are alike share at least ``need`` of their rare shingles, so one of the first so many in order of rarity
+    known = large.select("digest", "n", "label").distinct().join(counts, "digest")
+    need = F.greatest(F.ceil(least * F.col("n") - (F.col("n") - F.col("rare"))), F.lit(1))
+    order = Window.partitionBy("digest").orderBy("texts", "shingle")
+    prefix = rare.join(known, "digest").withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("rare") - need + 1)
+    own = prefix.where("texts > 1").select("shingle", "digest", "n", "label")
     other = own.select("shingle", F.col("digest").alias("d2"), F.col("n").alias("n2"), F.col("label").alias("l2"))
     by_shingle = own.join(other, "shingle").where((F.col("digest") > F.col("d2")) & (F.col("label") != F.col("l2")) & _can_link(F.col("n"), F.lit(0), F.col("n2"), F.lit(0), least))
     return by_bucket.select("digest", "d2").unionByName(by_shingle.select("digest", "d2")).select(F.greatest("digest", "d2").alias("a"), F.least("digest", "d2").alias("b")).distinct()
@@ -274,31 +282,31 @@ def text_groups(docs: DataFrame, text: str = "text", least: float = SIMILARITY)
 
 def _ranked(docs: DataFrame, key: str, text: str, least: float) -> tuple[DataFrame, DataFrame]:
     """``docs`` with __label (null for a null text), and per label (first: the row that stays, size, twins)."""
-    groups = text_groups(docs, text, least)
+    groups = text_groups(docs, text, least).toDF("__node", "__root")
     marked = docs.withColumn("__digest", F.unhex(F.md5(F.col(text))))
-    labelled = marked.join(groups, F.col("__digest") == F.col("node"), "left").withColumn("__label", F.coalesce("label", "__digest")).drop("node", "label")
+    labelled = marked.join(groups, F.col("__digest") == F.col("__node"), "left").withColumn("__label", F.coalesce("__root", "__digest")).drop("__node", "__root")
     rank = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("__digest").alias("digest"))
-    rows = labelled.where(F.col("__label").isNotNull()).groupBy("__label", rank.alias("rank")).count()
-    first = rows.groupBy(F.col("__label").alias("l")).agg(F.min(F.struct("rank", "count")).alias("first"), F.sum("count").alias("size"))
+    rows = labelled.where(F.col("__label").isNotNull()).groupBy("__label", rank.alias("__rank")).agg(F.count(F.lit(1)).alias("__n"))
+    first = rows.groupBy(F.col("__label").alias("l")).agg(F.min(F.struct(F.col("__rank").alias("rank"), F.col("__n").alias("count"))).alias("first"), F.sum("__n").alias("size"))
     return labelled, first.select("l", "first.rank.key", "first.rank.digest", (F.col("first.count") > 1).alias("twins"), "size")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """``docs`` with class_id (the smallest key of the row's group) and class_size (rows in it)."""
     labelled, first = _ranked(docs.drop("class_id", "class_size"), key, text, least)
-    joined = labelled.join(first.select("l", F.col("key").alias("class_id"), F.col("size").alias("class_size")), F.col("__label") == F.col("l"), "left")
+    joined = labelled.join(first.select(F.col("l").alias("__l"), F.col("key").alias("class_id"), F.col("size").alias("class_size")), F.col("__label") == F.col("__l"), "left")
     null = F.col("__label").isNull()
     out = joined.withColumns({"class_id": F.when(null, F.col(key)).otherwise(F.col("class_id")), "class_size": F.when(null, 1).otherwise(F.col("class_size"))})
-    return out.drop("__digest", "__label", "l")
+    return out.drop("__digest", "__label", "__l")
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
     """One row of each group, with the columns of ``docs``."""
     work = Workspace(docs.sparkSession, "stays")
     _, first = _ranked(docs, key, text, least)
-    stays = work.save(first.select(F.col("key").alias("__k"), F.col("digest").alias("__d"), "twins"), "first")
+    stays = work.save(first.select(F.col("key").alias("__k"), F.col("digest").alias("__d"), F.col("twins").alias("__twins")), "first")
     marked = docs.withColumn("__digest", F.unhex(F.md5(F.col(text))))
     kept = marked.join(stays, F.col(key).eqNullSafe(F.col("__k")) & (F.col("__digest") == F.col("__d")))
-    single = kept.where("not twins").drop("__k", "__d", "twins", "__digest")
-    double = kept.where("twins").dropDuplicates(["__digest"]).drop("__k", "__d", "twins", "__digest")
+    single = kept.where("not __twins").drop("__k", "__d", "__twins", "__digest")
+    double = kept.where("__twins").dropDuplicates(["__digest"]).drop("__k", "__d", "__twins", "__digest")
     return single.unionByName(double).unionByName(docs.where(F.col(text).isNull()))
