@@ -146,4 +146,4 @@ def report(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "i
 def clean(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text holds no window of any item, with the columns of ``docs``."""
     dirty = hits(docs, bench, text, item, item_text)[1].select(F.col("key").alias("__key")).distinct()
-    return docs.withColumn("__md5", F.unhex(F.md5(F.col(text)))).join(dirty, F.col("__md5") == F.col("__key"), "left_anti").drop("__md5")
+    return docs.withColumn("__md5", F.unhex(F.md5(F.col(text)))).join(_bounded(dirty), F.col("__md5") == F.col("__key"), "left_anti").drop("__md5")
