@@ -34,8 +34,17 @@ class Spans:
     BASE = 0x5851F42D4C957F2D
 
     def __init__(self, data: np.ndarray, seed: int):
-        n = len(data)
-        terms = byte_codes(seed)[data]
+        self._add_up(byte_codes(seed)[data])
+
+    @classmethod
+    def of(cls, codes: np.ndarray) -> Spans:
+        """The same over an array of 64-bit codes, such as words' hashes."""
+        out = cls.__new__(cls)
+        out._add_up(codes.copy())
+        return out
+
+    def _add_up(self, terms: np.ndarray) -> None:
+        n = len(terms)
         terms *= powers(self.BASE, n)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(terms, out=self.sums[1:])

@@ -360,7 +360,12 @@ def strip(docs: DataFrame, text: str = "text", length: int = LENGTH, batches: in
 
     A character is cut only if all its bytes are removed, so texts stay valid UTF-8. Null texts stay null.
     """
-    found = removals(docs, text, length, batches).select(F.col("digest").alias("__found"), F.col("spans").alias("__spans"))
+    return cut(docs, removals(docs, text, length, batches).select("digest", "spans"), text, n_chars)
+
+
+def cut(docs: DataFrame, found: DataFrame, text: str, n_chars: str) -> DataFrame:
+    """``docs`` without the spans in ``found`` (digest, spans), which are in order and apart."""
+    found = found.select(F.col("digest").alias("__found"), F.col("spans").alias("__spans"))
     keyed = docs.withColumn("__digest", F.unhex(F.md5(F.col(text))))
     joined = keyed.join(found, F.col("__digest") == F.col("__found"), "left")
 
