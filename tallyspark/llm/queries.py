@@ -45,7 +45,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = unit_dedup.dedup(table(spark, sf_dir, "documents"))
+    found = unit_dedup.dedup(table(spark, sf_dir, "documents"), min_words=1)
     n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["n_bytes"])
     return found.select(
         "doc_id",

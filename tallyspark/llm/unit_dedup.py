@@ -4,7 +4,7 @@ Texts are split into units at a separator. Units are normalised (lower case, whi
 and hashed; of each digest the earliest occurrence, by rank of the document and place in it, is kept and every other one
 is removed. Removed units keep the byte offsets that they have in the original text.
 
-Units of fewer than ``min_words`` words stay: short lines repeat by chance. Defined results: a null text has no units
+Units of fewer than ``min_words`` words stay; with 1 every unit that isn't blank is looked at. Defined results: a null text has no units
 and stays null; documents rank by key, then by text digest, a null key last; rows that are equal in key and text are one document to
 this operator and get the same result; a unit that repeats inside a document goes as well; empty tables give empty tables.
 """

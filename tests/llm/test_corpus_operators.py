@@ -337,3 +337,12 @@ def test_language(docs):
     empty = langid.learn(table.where("false"))
     assert empty.count() == 0 and {r["lang_pred"] for r in langid.predict(table, empty).collect()} == {"und"}
     assert langid.predict(table.where("false"), langid.learn(table)).count() == 0
+
+
+def test_unit_dedup_query_takes_short_lines(docs, tmp_path):
+    from tallyspark.llm import queries
+
+    docs([(1, "Yes.\n\none two three four\nx"), (2, "a\n yes. \n\nOne two  three four\nyes.\nb")], extra=False).write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r["doc_id"]: r for r in queries.op7_lines(docs([]).sparkSession, str(tmp_path)).collect()}
+    assert out[1]["n_units_removed"] == 0 and out[2]["removed_spans"] == "2+7,10+20,30+5"
+    assert out[2]["kept_sha256"] == hashlib.sha256(b"a\n\nb").hexdigest() and out[2]["n_removed"] == 32
