@@ -28,7 +28,9 @@ def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return preference.format_pairs(preference.adjacent_pairs(table(spark, sf_dir, "conversations")))
+    found = preference.format_pairs(preference.other_replies(table(spark, sf_dir, "conversations")))
+    spans = {f"{s}_loss": F.array_join(F.transform(f"{s}_spans", lambda x: F.concat_ws("+", x["start"], x["n"])), ",") for s in ("chosen", "rejected")}
+    return found.withColumns(spans).drop("chosen_spans", "rejected_spans")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,28 +122,44 @@ join placed p on p.source is not distinct from s.source and p.hash = s.hash
 """
 
 _OP3 = """
-with sided as (
-  select conv_id // 2 as pair_id, conv_id % 2 = 0 as chosen_side, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text
+with messages as (
+  select conv_id, turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text
   from conversations where conv_id is not null and turn is not null
+), lasts as (
+  select conv_id, turn as reply_turn, max(text) as text
+  from (select *, max(turn) over (partition by conv_id) as last from messages where role = 'assistant')
+  where turn = last group by conv_id, turn
+), sided as (
+  select conv_id, 'chosen' as side, turn, role, text from messages
+  union all
+  select m.conv_id, 'rejected', m.turn, m.role, case when m.turn = l.reply_turn and m.role = 'assistant' then d.text else m.text end
+  from messages m join lasts l on m.conv_id = l.conv_id join lasts d on d.conv_id = xor(l.conv_id, 1)
+  where m.turn <= l.reply_turn
 ), turns as (
-  select pair_id, turn,
-         list({'role': role, 'text': text} order by role, text) filter (chosen_side) as c,
-         list({'role': role, 'text': text} order by role, text) filter (not chosen_side) as r,
-         string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' order by role, text) filter (chosen_side) as chosen,
-         string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' order by role, text) filter (not chosen_side) as rejected,
-         sum(case when role = 'assistant' then length(text) + 10 else 0 end) filter (chosen_side) as chosen_loss,
-         sum(case when role = 'assistant' then length(text) + 10 else 0 end) filter (not chosen_side) as rejected_loss
+  select conv_id, turn,
+         list({'role': role, 'text': text} order by role, text) filter (side = 'chosen') as c,
+         list({'role': role, 'text': text} order by role, text) filter (side = 'rejected') as r
   from sided group by all
 ), cut as (
-  select *, turn < coalesce(min(turn) filter (c is distinct from r) over (partition by pair_id), turn + 1) as shared from turns
+  select conv_id, min(turn) filter (c is distinct from r) as first_other from turns group by conv_id
+), rendered as (
+  select s.*, floor(turn / 64)::bigint as segment, coalesce(turn < first_other, true) as shared,
+         '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) as line
+  from sided s join cut using (conv_id)
+), placed as (
+  select *, coalesce(sum(length(line)) over (partition by conv_id, segment, side, shared order by turn, role, text
+                                             rows between unbounded preceding and 1 preceding), 0)::bigint as start
+  from rendered
 )
-select pair_id, turn, case when shared then 'prompt' else 'completion' end as part,
-       case when shared then chosen end as prompt,
-       case when not shared then chosen end as chosen,
-       case when not shared then chosen_loss::bigint end as chosen_loss,
-       case when not shared then rejected end as rejected,
-       case when not shared then rejected_loss::bigint end as rejected_loss
-from cut
+select conv_id as pair_id, segment,
+       coalesce(string_agg(line, '' order by turn, role, text) filter (shared and side = 'chosen'), '') as prompt,
+       coalesce(string_agg(line, '' order by turn, role, text) filter (not shared and side = 'chosen'), '') as chosen,
+       coalesce(string_agg((start + length(role) + 13)::varchar || '+' || (length(text) + 10)::varchar, ',' order by start)
+                filter (not shared and side = 'chosen' and role = 'assistant'), '') as chosen_loss,
+       coalesce(string_agg(line, '' order by turn, role, text) filter (not shared and side = 'rejected'), '') as rejected,
+       coalesce(string_agg((start + length(role) + 13)::varchar || '+' || (length(text) + 10)::varchar, ',' order by start)
+                filter (not shared and side = 'rejected' and role = 'assistant'), '') as rejected_loss
+from placed group by conv_id, segment
 """
 
 _OP6 = r"""

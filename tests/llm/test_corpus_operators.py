@@ -118,22 +118,45 @@ def test_suffix_strip_keeps_characters(docs):
 
 def test_preference(spark):
     rows = [
-        (0, 0, "user", "hi"), (0, 1, "assistant", "a"), (0, 2, "user", "x"), (0, 3, "assistant", "b"),
-        (1, 0, "user", "hi"), (1, 1, "assistant", "a"), (1, 2, "user", "y"),
-        (2, 0, "user", "alone"), (4, 0, None, None), (5, 0, None, None), (None, 0, "user", "lost"), (6, 0, "user", "p"), (6, 0, "user", "p"), (7, 0, "user", "p"),
+        (0, 0, "user", "hi"), (0, 1, "assistant", "a"), (0, 2, "user", "x"), (0, 3, "assistant", "b"), (0, 4, "user", "bye"),
+        (1, 0, "system", "é"), (1, 1, "user", "hi"), (1, 2, "assistant", "c"),
+        (2, 0, "user", "alone"), (2, 1, "assistant", "z"), (4, 0, None, None), (4, 1, "assistant", "same"), (5, 1, "assistant", "same"),
+        (None, 0, "user", "lost"), (6, None, "user", "lost"), (6, 0, "user", "p"), (6, 0, "user", "p"), (7, 0, "user", "p"),
     ]
-    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("pair_id", F.lit("clash"))
-    out = preference.format_pairs(preference.adjacent_pairs(turns))
-    got = {(r["pair_id"], r["turn"]): r for r in out.collect()}
-    assert got[0, 0]["prompt"] == "<|im_start|>user\nhi<|im_end|>\n" and got[0, 1]["part"] == "prompt"
-    assert got[0, 2]["chosen"].endswith("x<|im_end|>\n") and got[0, 2]["rejected"].endswith("y<|im_end|>\n") and got[0, 2]["chosen_loss"] == 0
-    assert got[0, 3]["rejected"] is None and got[0, 3]["chosen_loss"] == len("b<|im_end|>")
-    assert got[1, 0]["part"] == "completion" and got[2, 0]["part"] == "prompt" and got[2, 0]["prompt"].startswith("<|im_start|>unknown\n<|im_end|>")
-    assert got[3, 0]["part"] == "completion" and len(got) == 7
-    whole = {r["pair_id"]: r for r in preference.assemble(out).collect()}
-    span = whole[0]["chosen_spans"][0]
-    assert whole[0]["chosen"][span["start"] : span["start"] + span["n"]] == "b<|im_end|>" and whole[0]["rejected_spans"] == []
-    assert preference.format_pairs(preference.adjacent_pairs(turns.where("false"))).count() == 0
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("pair_id", F.lit("clash")).withColumn("side", F.lit("x"))
+    out = preference.format_pairs(preference.other_replies(table))
+    got = {r["pair_id"]: r for r in out.collect()}
+    say = lambda role, text: f"<|im_start|>{role}\n{text}<|im_end|>\n"
+    assert len(got) == 7 and {r["segment"] for r in got.values()} == {0}
+    assert got[0]["prompt"] == say("user", "hi") + say("assistant", "a") + say("user", "x")
+    assert got[0]["chosen"] == say("assistant", "b") + say("user", "bye") and got[0]["rejected"] == say("assistant", "c")
+    marked = lambda r, s: [r[s][x["start"] : x["start"] + x["n"]] for x in r[f"{s}_spans"]]
+    assert marked(got[0], "chosen") == ["b<|im_end|>"] and marked(got[0], "rejected") == ["c<|im_end|>"]
+    assert got[1]["prompt"] == say("system", "é") + say("user", "hi") and got[1]["rejected"] == say("assistant", "b")
+    assert got[2]["prompt"] == got[2]["rejected"] == "" and marked(got[2], "chosen") == ["z<|im_end|>"]  # nobody to take a reply from
+    assert got[4]["prompt"] == say("unknown", "") + say("assistant", "same") and got[4]["chosen"] == got[4]["rejected"] == ""
+    assert got[6]["chosen"] == say("user", "p") * 2 and got[6]["chosen_spans"] == []
+    assert preference.format_pairs(preference.other_replies(table.where("false"))).count() == 0
+
+
+def test_preference_against_brute_force(spark):
+    rng = random.Random(12)
+    rows = [(p, s, t, rng.choice(["user", "assistant", None]), rng.choice(["a", "b", "", None, "long " * 3000 if t == 5 else "c"])) for p in range(40) for t in range(rng.randint(1, 30)) for s in ("chosen", "rejected") if rng.random() < 0.97]
+    twin = {(p, t): (r, x) for p, s, t, r, x in rows if s == "chosen"}
+    rows = [(p, s, t, *(twin.get((p, t), (r, x)) if t < p % 23 else (r, x))) for p, s, t, r, x in rows]
+    sides = {}
+    for p, s, t, r, x in rows:
+        sides.setdefault(p, {"chosen": [], "rejected": []})[s].append((t, r or "unknown", x or ""))
+    out = {}
+    for r in preference.format_pairs(spark.createDataFrame(rows, "pair_id long, side string, turn long, role string, text string"), 7).orderBy("pair_id", "segment").collect():
+        for k in ("prompt", "chosen", "rejected"):
+            out.setdefault(r["pair_id"], {}).setdefault(k, []).append(r[k])
+    for p, both in sides.items():
+        c, r = sorted(both["chosen"]), sorted(both["rejected"])
+        first = next((t for t in range(40) if [m for m in c if m[0] == t] != [m for m in r if m[0] == t]), 99)
+        said = lambda ms: "".join(f"<|im_start|>{role}\n{x}<|im_end|>\n" for _, role, x in ms)
+        assert "".join(out[p]["prompt"]) == said(m for m in c if m[0] < first)
+        assert "".join(out[p]["chosen"]) == said(m for m in c if m[0] >= first) and "".join(out[p]["rejected"]) == said(m for m in r if m[0] >= first)
 
 
 # weak labels
