@@ -47,15 +47,17 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = unit_dedup.dedup(table(spark, sf_dir, "documents"), min_words=1)
-    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["n_bytes"])
+    found = unit_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1)
+    total = lambda spans: F.aggregate(spans, F.lit(0).cast("long"), lambda n, x: n + x["n_bytes"])
+    listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws("+", x["start"], x["n_bytes"])), ",")
     return found.select(
         "doc_id",
-        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
-        n_removed.alias("n_removed"),
-        F.size("removed").cast("long").alias("n_units_removed"),
+        total("passages").alias("passage_bytes"),
+        total("removed").alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
         F.sha2(F.coalesce("kept", F.lit(b"")), 256).alias("kept_sha256"),
-        F.array_join(F.transform("removed", lambda x: F.concat_ws("+", x["start"], x["n_bytes"])), ",").alias("removed_spans"),
+        listed("removed").alias("removed_spans"),
+        listed("passages").alias("passage_spans"),
     )
 
 

@@ -243,7 +243,7 @@ def test_unit_dedup(docs):
     assert kept[1, rows[1][1]] == rows[1][1]  # document 1 ranks first for the second line
     assert kept[2, rows[0][1]] == f"{a}\nshort" and kept[3, rows[2][1]] == f"é {a}" and kept[None, a] == "" and kept[6, ""] == ""
     spans = {r["doc_id"]: [(s["start"], s["n_bytes"]) for s in r["removed"]] for r in out}
-    assert spans[2] == [(len(a) + 1, len(b) + 1)] and spans[3] == [(0, len(a) + 1), (len(a) + 1, len(a) + 1)]
+    assert spans[2] == [(len(a) + 1, len(b) + 1)] and spans[3] == [(0, 2 * len(a) + 2)]
     assert unit_dedup.dedup(docs(rows).where("false")).count() == 0
 
 
@@ -362,10 +362,79 @@ def test_language(docs):
     assert langid.predict(table.where("false"), langid.learn(table)).count() == 0
 
 
+def brute_units(rows, run=20):
+    """Removed and passage bytes of (key, text) rows, in strings and lists only."""
+    ranked = sorted({(k is None, k or 0, hashlib.md5(t.encode()).digest(), t) for k, t in rows if t is not None})
+
+    def split(t):
+        out, at = [], 0
+        for line in t.split("\n"):
+            whole = (at, min(at + len(line) + 1, len(t)))
+            cuts = [at, *(at + m.end() for m in re.finditer(r"[.!?]+[ \t]+", line) if m.end() < len(line)), whole[1]]
+            out.append((whole, list(zip(cuts, cuts[1:])) if len(cuts) > 2 else []))
+            at = whole[1]
+        return out
+
+    norm = lambda t, s: " ".join(t[s[0] : s[1]].lower().split())
+    seen, times = {}, Counter()
+    for i, (*_, t) in enumerate(ranked):
+        for whole, inner in split(t):
+            for j, s in enumerate([whole, *inner]):
+                if norm(t, s):
+                    times[norm(t, s)] += 1
+                    seen.setdefault(norm(t, s), (i, whole[0], j))
+    result = {}
+    for i, (_, _, _, t) in enumerate(ranked):
+        later = lambda s, at, j: norm(t, s) in seen and seen[norm(t, s)] != (i, at, j)
+        pieces = []
+        for whole, inner in split(t):
+            if later(whole, whole[0], 0) or not inner:
+                pieces.append((whole, True, later(whole, whole[0], 0)))
+            else:
+                pieces += [(s, False, later(s, whole[0], j)) for j, s in enumerate(inner, 1)]
+        pieces = [p for p in pieces if norm(t, p[0])]
+        gone, marked = set(), set()
+        for into, want in ((gone, lambda p: p[2]), (marked, lambda p: times[norm(t, p[0])] > 1)):
+            k = 0
+            while k < len(pieces):
+                e = k
+                while e < len(pieces) and want(pieces[e]):
+                    e += 1
+                long = sum(len(norm(t, p[0]).split()) for p in pieces[k:e]) >= run
+                if long:
+                    into |= set(range(pieces[k][0][0], pieces[e - 1][0][1]))
+                elif into is gone:
+                    into |= {x for p in pieces[k:e] if p[1] for x in range(*p[0])}
+                k = e + 1
+        result[t] = len(gone), len(marked), "".join(c for x, c in enumerate(t) if x not in gone)
+    return result
+
+
+def test_unit_dedup_against_brute_force(docs):
+    rng = random.Random(17)
+    sentence = lambda n: prose(n, rng).capitalize() + rng.choice([".", "!", ". ", "?"])
+    pool = [sentence(rng.randint(1, 9)) for _ in range(60)]
+    passage = " ".join(sentence(9).strip() for _ in range(6))
+    rows = [(i, "\n".join(" ".join(rng.choice(pool) if rng.random() < 0.4 else sentence(rng.randint(1, 12)) for _ in range(rng.randint(0, 6))) for _ in range(rng.randint(1, 6)))) for i in range(60)]
+    rows += [(100 + i, f"{prose(9, rng)} {passage} {prose(7, rng)}\n\n{prose(4, rng)}") for i in range(4)]
+    rows += [(None, passage), (None, "Yes.\nYes."), (7, rows[3][1]), (200, ""), (201, "\n \n"), rows[5], (300, f"{prose(9000, rng)}. {passage}")]
+    expected = brute_units(rows)
+    out = unit_dedup.dedup(docs(rows), min_words=1).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        gone, marked = (sum(x["n_bytes"] for x in r[c]) for c in ("removed", "passages"))
+        if sum(t == r["text"] for _, t in rows) == 1:  # of equal texts each has a rank of its own
+            assert (gone, marked, bytes(r["kept"]).decode()) == expected[r["text"]]
+    long = {r["doc_id"]: sum(x["n_bytes"] for x in r["passages"]) for r in out}
+    assert all(long[100 + i] > 250 for i in range(4)) and long[300] > 250
+    keyed = unit_dedup.dedup(docs([(1, "a b"), (2, "a b")]).withColumn("doc_id", F.concat(F.lit("k"), "doc_id")), min_words=1).collect()
+    assert sorted((r["doc_id"], bytes(r["kept"])) for r in keyed) == [("k1", b"a b"), ("k2", b"")]
+
+
 def test_unit_dedup_query_takes_short_lines(docs, tmp_path):
     from tallyspark.llm import queries
 
     docs([(1, "Yes.\n\none two three four\nx"), (2, "a\n yes. \n\nOne two  three four\nyes.\nb")], extra=False).write.parquet(str(tmp_path / "documents.parquet"))
     out = {r["doc_id"]: r for r in queries.op7_lines(docs([]).sparkSession, str(tmp_path)).collect()}
-    assert out[1]["n_units_removed"] == 0 and out[2]["removed_spans"] == "2+7,10+20,30+5"
+    assert out[1]["n_removed"] == 0 and out[2]["removed_spans"] == "2+7,10+25"
     assert out[2]["kept_sha256"] == hashlib.sha256(b"a\n\nb").hexdigest() and out[2]["n_removed"] == 32
