@@ -2,18 +2,25 @@
 
 The standard library's streaming parser turns a page into lines, one per block element, each with its text, the tags
 seen in it and the elements around it. The text-to-tag ratios are smoothed by a Gaussian and split by a threshold (their standard
-deviation) into content and the rest. The content's weight picks the element that holds the article; of it, lines
-stay unless an element around them marks them as furniture: navigation, header, footer, sidebar, notice, advert, form,
-script, style or reader comment.
-
-Defined results: a null page counts as empty; a page without text gives an empty string. Pages are handled one by one, so
-repeated rows and extra columns have no influence; an empty table gives an empty table.
+deviation) into content and the rest. The content's weight picks the region: the ``article`` or ``main`` that holds more than half of it, else
+the innermost element that holds all of it. In an ``article`` or ``main`` every line stays, in another region every line from the first content line
+to the last, and of what is outside these the lines that aren't mostly links, where the region is an element of its own or they share the container of those two.
+
+Names decide only on what no ratio can tell from an article: scripts, forms and styles; the elements ``nav``, ``header``,
+``footer``, ``aside``, ``menu`` and ``dialog`` and their ARIA roles; classes and ids that name a menu, header, footer, sidebar, notice,
+advert or reader comment (``_SURE``). Other suspicious names (``_UNSURE``) drop a line only if its own ratio is below the threshold, and below ``DENSE``,
+or most of it is links.
+
+Defined results: a null page counts as empty; a page without text gives an empty string; equal pages get equal texts. Pages are handled one by
+one, in time linear in their length, however many elements stay open, so repeated rows have no influence; a column of ``pages`` named as
+the result is replaced, other columns stay; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -23,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIGMA, RADIUS = 1.0, 2
+DENSE = 40  # characters for a tag from which a line under an unsure name is text in any case
 
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6"
@@ -32,52 +40,63 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _SILENT = frozenset("button canvas datalist head iframe math noscript object option script select style svg template textarea title".split())
 _FURNITURE = frozenset("nav header footer aside form dialog menu".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
-_MARKS = (
-    "ad ads adslot advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion nav navbar navigation menu submenu breadcrumb"
-    " breadcrumbs header masthead topbar footer sidebar aside rail cookie cookies consent gdpr notice notices popup modal overlay newsletter"
-    " subscribe subscription signup login search share sharing social related recommended widget comment comments disqus discussion replies"
-    " respond pagination pager toolbar copyright disclaimer skip"
+_SURE = (
+    "ad ads adslot advert adverts advertisement advertising adbox sponsor sponsored nav navbar navigation menu submenu breadcrumb breadcrumbs"
+    " header masthead topbar footer sidebar aside cookie cookies consent gdpr notice notices popup modal overlay newsletter"
+    " subscribe subscription signup login comment comments disqus pagination pager"
 )
-_MARKED = re.compile(rf"(?:^|[-_])(?:{'|'.join(_MARKS.split())})(?:$|[-_])")
+_UNSURE = "banner promo promotion rail search share sharing social related recommended widget discussion replies respond toolbar copyright disclaimer skip"
+_MARKED = re.compile(rf"(?:^|[-_])({'|'.join(f'{_SURE} {_UNSURE}'.split())})(?=$|[-_])")
 _LAYOUT = re.compile(r"^(?:has|no|with|without|hide|show)[-_]")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+_SURE_NAMES = frozenset(_SURE.split())
+_ITEMS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",)}  # what the start of an item ends
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _SPACE = re.compile(r"\s+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class _Line:
-    __slots__ = ("text", "tags", "linked", "chain", "kind", "furniture")
+    __slots__ = ("text", "tags", "linked", "node", "furniture")
+
+    def __init__(self, text, tags, linked, node, furniture):
+        self.text, self.tags, self.linked, self.node, self.furniture = text, tags, linked, node, furniture
+
 
-    def __init__(self, text, tags, linked, chain, kind, furniture):
-        self.text, self.tags, self.linked, self.chain, self.kind, self.furniture = text, tags, linked, chain, kind, furniture
+class _Open:
+    """An open element: its mark, the container it stands in (or is), the nearest block and the open elements of each tag in that block."""
+
+    __slots__ = ("tag", "mark", "node", "block", "inner")
+
+    def __init__(self, tag, mark, node, block, inner):
+        self.tag, self.mark, self.node, self.block, self.inner = tag, mark, node, block, inner
 
 
 class _Lines(HTMLParser):
-    """Collects the lines of a page."""
+    """Collects the lines of a page and the tree of its containers; every step costs the same, however many elements are open."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[_Line] = []
-        self.open: list[tuple[str, int, str]] = []  # tag, number, "" or "silent" or "furniture" or "header"
-        self.kinds: dict[int, str] = {0: "page"}
+        self.root = _Open("", "", 0, "page", Counter())
+        self.open: list[_Open] = []
+        self.kinds, self.parents = ["page"], [0]  # of containers
+        self.counts: Counter[str] = Counter()  # open elements by tag, and by mark as "mark:..."
         self.parts: list[str] = []
-        self.tags = self.linked = self.links = self.silent = 0
+        self.tags = self.linked = 0
 
     def updatepos(self, i, j):  # line numbers aren't needed
         return j
 
+    @property
+    def top(self) -> _Open:
+        return self.open[-1] if self.open else self.root
+
     def flush(self) -> None:
-        if not self.parts:
-            self.tags = self.linked = 0
-            return
-        text = _SPACE.sub(" ", "".join(self.parts)).strip()
+        text = _SPACE.sub(" ", "".join(self.parts)).strip() if self.parts else ""
         if text:
-            block = next((t for t, _, _ in reversed(self.open) if t in _BLOCK), "page")
-            marks = {m for _, _, m in self.open}
-            furniture = "furniture" in marks or "header" in marks and block not in _HEADINGS
-            chain = (0, *(n for t, n, _ in self.open if t in _BLOCK and t not in ("p", "li") and t not in _HEADINGS))
-            self.lines.append(_Line(text, self.tags, self.linked, chain, block, furniture))
+            sure = self.counts["mark:sure"] or self.counts["mark:header"] and self.top.block not in _HEADINGS
+            self.lines.append(_Line(text, self.tags, self.linked, self.top.node, "sure" if sure else "unsure" if self.counts["mark:unsure"] else ""))
         self.parts.clear()
         self.tags = self.linked = 0
 
@@ -86,57 +105,83 @@ class _Lines(HTMLParser):
             return "silent"
         if not attrs and tag not in _FURNITURE:
             return ""
-        inside = any(t in ("article", "main") for t, _, _ in self.open)
+        inside = self.counts["article"] or self.counts["main"]
         given = dict(attrs)
         if "hidden" in given or given.get("aria-hidden") == "true" or _HIDDEN.search((given.get("style") or "").lower()):
             return "silent" if tag not in ("html", "body") else ""
         if tag in _FURNITURE:
-            return "header" if tag == "header" and inside else "furniture"
+            return "header" if tag == "header" and inside else "sure"
         if tag in ("html", "body", "main"):
             return ""
         if (given.get("role") or "").lower() in _ROLES:
-            return "furniture"
+            return "sure"
         names = _CAMEL.sub("-", f"{given.get('class') or ''} {given.get('id') or ''}").lower().split()
-        found = {m.group().strip("-_") for n in names if not _LAYOUT.match(n) and (m := _MARKED.search(n))}
+        found = {m for n in names if not _LAYOUT.match(n) for m in _MARKED.findall(n)}
         if not found:
             return ""
-        return "header" if found == {"header"} and inside else "furniture"
+        if found == {"header"} and inside:
+            return "header"
+        return "sure" if found & _SURE_NAMES else "unsure"
 
     def handle_starttag(self, tag, attrs):
-        if self.silent and tag not in ("body", "article", "main"):
+        if self.counts["mark:silent"] and tag not in ("body", "article", "main"):
             if tag not in _VOID:
                 self.push(tag, "")
             return
         if tag in _BLOCK:
             self.flush()
+            self.end_implied(tag)
         self.tags += 1
         if tag in ("body", "article", "main"):  # ends what was left open before
-            while self.open and self.open[-1][2] in ("silent", "furniture", "header") and not self.commented():
+            while self.top.mark and not self.counts["mark:named"]:
                 self.pop()
-            while tag == "body" and self.open and self.open[-1][0] != "html":
+            while tag == "body" and self.open and self.top.tag != "html":
                 self.pop()
         if tag in ("br", "td", "th", "dt", "dd", "img"):
             self.parts.append(" ")
-        if tag in _VOID:
-            return
-        if tag == "a":
-            self.links += 1
-        self.push(tag, self.mark(tag, attrs) if tag in _BLOCK or tag in _SILENT or attrs else "")
-
-    def commented(self) -> bool:
-        return any(m == "furniture" and t not in _FURNITURE for t, _, m in self.open)
+        if tag not in _VOID:
+            self.push(tag, self.mark(tag, attrs) if tag in _BLOCK or tag in _SILENT or attrs else "")
+
+    def end_implied(self, tag: str) -> None:
+        """End the paragraph that a block can't be part of, and the item before an item."""
+        if self.top.inner["p"]:
+            while self.pop() != "p":
+                pass
+        if tag in _ITEMS:
+            at = len(self.open) - 1
+            while at >= 0 and (self.open[at].tag == "div" or self.open[at].tag not in _BLOCK):
+                at -= 1
+            if at >= 0 and self.open[at].tag in _ITEMS[tag]:
+                while len(self.open) > at:
+                    self.pop()
 
     def push(self, tag: str, mark: str) -> None:
-        number = len(self.kinds)
-        self.kinds[number] = tag
-        self.open.append((tag, number, mark))
-        self.silent += mark == "silent"
-
-    def pop(self) -> None:
-        tag, _, mark = self.open.pop()
-        self.silent -= mark == "silent"
-        if tag == "a":
-            self.links = max(0, self.links - 1)
+        top = self.top
+        block = tag in _BLOCK
+        node, inner = top.node, top.inner
+        if block and tag not in ("p", "li") and tag not in _HEADINGS:
+            node = len(self.kinds)
+            self.kinds.append(tag)
+            self.parents.append(top.node)
+        if block and tag != "p":
+            inner = Counter()
+        else:
+            inner[tag] += 1
+        self.open.append(_Open(tag, mark, node, tag if block else top.block, inner))
+        self.counts[tag] += 1
+        if mark:
+            self.counts[f"mark:{mark}"] += 1
+            self.counts["mark:named"] += mark in ("sure", "unsure") and tag not in _FURNITURE
+
+    def pop(self) -> str:
+        x = self.open.pop()
+        self.counts[x.tag] -= 1
+        if x.tag == "p" or x.tag not in _BLOCK:
+            x.inner[x.tag] -= 1
+        if x.mark:
+            self.counts[f"mark:{x.mark}"] -= 1
+            self.counts["mark:named"] -= x.mark in ("sure", "unsure") and x.tag not in _FURNITURE
+        return x.tag
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -144,22 +189,21 @@ class _Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if not self.silent:
+        if not self.counts["mark:silent"]:
             self.tags += 1
             if tag in _BLOCK:
                 self.flush()
             elif tag in ("td", "th"):
                 self.parts.append(" ")
-        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), -1)
-        if at < 0 or tag not in _BLOCK and any(t in _BLOCK and t != "p" for t, _, _ in self.open[at + 1 :]):
-            return
-        while len(self.open) > at:
-            self.pop()
+        # what isn't a block ends inside its block only
+        if self.counts[tag] and (tag in _BLOCK or self.top.inner[tag]):
+            while self.pop() != tag:
+                pass
 
     def handle_data(self, data):
-        if not self.silent:
+        if not self.counts["mark:silent"]:
             self.parts.append(data)
-            if self.links:
+            if self.counts["a"]:
                 self.linked += len(data.strip())
 
     def end(self) -> None:
@@ -182,32 +226,38 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    ratios = smooth(np.array([len(x.text) / max(1, x.tags) for x in lines], float))
+    own = np.array([len(x.text) / max(1, x.tags) for x in lines], float)
+    ratios = smooth(own)
     least = min(ratios.std(), ratios.max())
-    content = [not x.furniture and r >= least and 2 * x.linked <= len(x.text) for x, r in zip(lines, ratios.tolist(), strict=True)]
+    dense = [2 * x.linked <= len(x.text) for x in lines]
+    rich = (own >= min(least, DENSE)).tolist()
+    stays = [x.furniture == "" or x.furniture == "unsure" and r and d for x, r, d in zip(lines, rich, dense, strict=True)]
+    content = [s and d and r >= least for s, d, r in zip(stays, dense, ratios.tolist(), strict=True)]
     if not any(content):
-        content = [not x.furniture for x in lines]
-    weight: dict[int, int] = {}
+        content = stays
+    weight = [0] * len(parser.kinds)
     for x, c in zip(lines, content, strict=True):
-        if c:
-            for n in x.chain:
-                weight[n] = weight.get(n, 0) + len(x.text)
-    total = weight.get(0, 0)
+        weight[x.node] += c * len(x.text)
+    for n in range(len(weight) - 1, 0, -1):  # parents have smaller numbers
+        weight[parser.parents[n]] += weight[n]
+    total = weight[0]
     if not total:
         return ""
     home, semantic = 0, False
-    for n in sorted(weight):  # outer elements have smaller numbers
-        if parser.kinds[n] in ("article", "main") and 2 * weight[n] > total:
+    for n, w in enumerate(weight):
+        if parser.kinds[n] in ("article", "main") and 2 * w > total:
             home, semantic = n, True
-        elif not semantic and weight[n] == total:
+        elif not semantic and w == total:
             home = n
-    inside = [i for i, x in enumerate(lines) if home in x.chain and not x.furniture]
+    under = [False] * len(weight)
+    for n in range(home, len(weight)):
+        under[n] = n == home or under[parser.parents[n]]
+    inside = [i for i, x in enumerate(lines) if under[x.node] and stays[i]]
     if not semantic:
         core = [i for i in inside if content[i]]
-        first, last = core[0], core[-1]
-        near = {lines[first].chain, lines[last].chain}
-        plain = [i for i in inside if 2 * lines[i].linked <= len(lines[i].text)]
-        inside = [i for i in plain if first <= i <= last or lines[i].chain in near]
+        near = {lines[core[0]].node, lines[core[-1]].node}
+        whole = parser.kinds[home] not in ("page", "html", "body")
+        inside = [i for i in inside if core[0] <= i <= core[-1] or dense[i] and (whole or lines[i].node in near)]
     return "\n\n".join(lines[i].text for i in inside)
 
 

@@ -267,6 +267,36 @@ def test_main_text():
     assert html_text.main_text("<nav><a>x</a><article><p>unclosed menu before the text</p></article>") == "unclosed menu before the text"
 
 
+def test_main_text_of_planted_articles():
+    rng = random.Random(31)
+    esc = lambda t: t.replace("&", "&amp;")
+    for k in range(60):
+        blocks = [prose(rng.randint(3, 9), rng).title(), *(prose(rng.choice((2, 30, 60, 200)), rng) + " & more." for _ in range(rng.randint(3, 12)))]
+        inner = [f"<h1>{esc(blocks[0])}</h1>", *(f"<p>{esc(b)}" + rng.choice(["</p>", ""]) if i % 4 else f'<section class="related-work"><p>{esc(b)}</p></section>' if len(b) > 150 else f"<p>{esc(b)}</p>" for i, b in enumerate(blocks[1:]))]
+        junk = lambda: rng.choice(['<div class="ad">Buy {}</div>', "<aside>{}</aside>", "<form><label>{}</label><input></form>", '<div class="cookie-notice"><p>{}</p></div>', "<script>var x='{}'</script>", "<nav><a href=x>{}</a></nav>"]).format(prose(rng.randint(1, 30), rng))
+        for _ in range(rng.randint(0, 3)):
+            inner.insert(rng.randint(1, len(inner)), junk())
+        menu = "<nav><ul>" + "".join(f"<li><a href=/{w}>{w}</a>" + rng.choice(["</li>", ""]) for w in prose(8, rng).split()) + "</ul></nav>"
+        comments = "".join(f"<div class=comment><p>{prose(40, rng)}</p></div>" for _ in range(rng.randint(0, 3)))
+        body = rng.choice(["<article>{}</article>", "<main>{}</main>", '<div id="content">{}</div>']).format("\n".join(inner))
+        page = f"<html><head><title>x</title></head><body>{menu}{junk()}{body}<section id=comments>{comments}</section><footer>{prose(20, rng)}</footer></body></html>"
+        assert html_text.main_text(page) == "\n\n".join(blocks), k
+
+
+def test_main_text_is_linear_and_drops_no_article_text():
+    import time
+
+    long = prose(80)
+    kept = html_text.main_text(f'<article><h1>T</h1><p>{long}</p><div class="promo"><p>{long} x</p></div><p class="share">Share</p><ul><li><a href=x>{long}</a><li>b</ul></article>')
+    assert kept == f"T\n\n{long}\n\n{long} x\n\n{long}\n\nb"
+    linked = html_text.main_text(f"<div><p>{long}</p><p>{long}</p><p><a href=x>a linked line</a></p><p>{long}</p></div><p><a href=y>elsewhere</a>")
+    assert "a linked line" in linked and "elsewhere" not in linked
+    for broken in ("<div><span>word", "<li>word ", "<ul><li>x", "<u><div><b>x", "<p><b>x"):
+        began = time.process_time()
+        assert "x" in html_text.main_text(broken * 8000 + "</u>" * 8000 + "x")
+        assert time.process_time() - began < 2
+
+
 def test_extract(spark):
     pages = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (None, None, None)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     out = html_text.extract(pages).collect()
