@@ -10,17 +10,21 @@ texts of different groups, all pairs between these groups are compared as well,
 that no other text has bound the similarity from above. So no link between groups that the sketches offer is lost. A comparison aligns the labelled shingles of both texts inside the band that the threshold allows: with m
 aligned, the similarity is m / (n1 + n2 - m), at least ``SIMILARITY`` for a link. Groups are the connected components.
 
-Two texts of similarity s share a sketch with probability about 1 - (1 - s ** TAKE) ** BANDS: 0.9999 at 0.8.
+Two texts of similarity s share a sketch with probability about 1 - (1 - s ** TAKE) ** BANDS: 0.9999 at 0.8. That holds for long texts;
+short ones have few shingles to draw from. So texts of up to ``SHORT`` shingles are offered exactly as well: of two that are alike each has
+one in common among its first n - ceil(0.8 n) + 1 shingles in order of hash, and each of these is a bucket of its own.
 
 Defined results: equal texts are one group; a null text is a group of its own row; texts without words link only if equal; a text
-of fewer than ``SHINGLE`` words is one shingle; of a group stays the row with the smallest key (null last; then by
-digest), of rows equal in key and text one; empty tables give empty tables.
+of fewer than ``SHINGLE`` words is one shingle; long texts are sketched whole; of a group stays the row with the smallest key (null last; then by
+digest), of rows equal in key and text one; columns of ``docs`` named class_id or class_size are replaced by :func:`classes`, all others stay; empty tables
+give empty tables. Words and sketches are compared by 64-bit hashes, shingles in an alignment by 32 bits of theirs.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +38,12 @@ from tallyspark.llm.store import Workspace
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, TAKE = 18, 4
+SHORT = 12  # shingles of the shorter text up to which similar texts always meet
 LARGE = 4  # texts of a bucket beyond which rare shingles are looked at before pairs are made
 RARE = 16  # texts that have a rare shingle at most
 SMALL = 200_000  # digests (16 bytes) that are broadcast at most
 _CHUNK = 1 << 19
+_SLACK = 1e-9  # of comparisons of shares that were rounded
 _U = np.uint64
 _SEEDS = rolling.mix(np.arange(1, BANDS + 1, dtype=np.uint64) * _U(0x9E3779B97F4A7C15))
 _WORD_BYTE = np.array([i >= 128 or chr(i).isalnum() for i in range(256)])
@@ -91,6 +97,12 @@ def sketches(h: np.ndarray) -> np.ndarray:
     return out
 
 
+def prefix(h: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """The shingles one of which a text that is alike has among its own, if this text or that one is short."""
+    n = len(h)
+    return np.sort(h)[: n - ceil(least * n - _SLACK) + 1] if n * least <= SHORT else h[:0]
+
+
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], list[str]]]:
     digests, texts, size = [], [], 0
     for d, t in zip(batch.column(0), batch.column(1), strict=True):
@@ -104,8 +116,8 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], list[str]]]:
         yield digests, texts
 
 
-def sketch_table(keyed: DataFrame) -> DataFrame:
-    """(digest, n, bands) of every text in ``keyed`` (digest, text) that has words."""
+def sketch_table(keyed: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """(digest, n, bands) of every text in ``keyed`` (digest, text) that has words; bands beyond ``BANDS`` are a short text's prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -116,7 +128,7 @@ def sketch_table(keyed: DataFrame) -> DataFrame:
                     if begin[i + 1] > begin[i] and d not in seen:
                         seen.add(d)
                         h = _shingles(words[begin[i] : begin[i + 1]])
-                        rows.append((d, len(h), sketches(h).view(np.int64).tolist()))
+                        rows.append((d, len(h), np.concatenate((sketches(h), prefix(h, least))).view(np.int64).tolist()))
                 columns = list(zip(*rows, strict=True)) or [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.list_(pa.int64()))], names=["digest", "n", "bands"])
 
@@ -143,13 +155,13 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     the diagonal by no more. A value below ``least`` may be an upper bound.
     """
     total = len(a) + len(b)
-    if not total or min(len(a), len(b)) < least * max(len(a), len(b)):
+    if not total or min(len(a), len(b)) < least * max(len(a), len(b)) - _SLACK:
         return 0.0
     _, ia, ib = np.intersect1d(a, b, return_indices=True)
     m = len(ia)
-    if m < least * (total - m):
+    if m < least * (total - m) - _SLACK:
         return m / (total - m)
-    band = np.abs(ia - ib) <= total * (1 - least) / (1 + least)
+    band = np.abs(ia - ib) <= total * (1 - least) / (1 + least) + _SLACK
     ia, ib = ia[band], ib[band]
     path = ib[np.argsort(ia)]
     if not (path[1:] > path[:-1]).all():
@@ -171,7 +183,7 @@ def _linked(pairs: DataFrame, shingles: DataFrame, least: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [similarity(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32), least) >= least for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            good = [similarity(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32), least) >= least - _SLACK for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             keep = pa.array(np.flatnonzero(good), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
 
@@ -202,7 +214,7 @@ def _rare(shingles: DataFrame, texts: DataFrame) -> DataFrame:
 def _can_link(n1: Column, rare1: Column, n2: Column, rare2: Column, least: float) -> Column:
     """Whether texts of n1 and n2 shingles that share none of their rare1 and rare2 can be alike."""
     most = F.least(n1 - rare1, n2 - rare2)
-    return most >= least * (n1 + n2 - most)
+    return most >= least * (n1 + n2 - most) - _SLACK
 
 
 def _other_pairs(rows: DataFrame, shingles: DataFrame, least: float, work: Workspace) -> DataFrame:
@@ -219,7 +231,7 @@ def _other_pairs(rows: DataFrame, shingles: DataFrame, least: float, work: Works
     counts = rare.groupBy("digest").agg(F.count(F.lit(1)).cast("int").alias("rare"))
     counted = sized.join(counts, "digest", "left").withColumn("rare", F.when(F.col("size") > LARGE, F.coalesce("rare", F.lit(0))).otherwise(0))
     shared = F.col("n") - F.col("rare")
-    hopeful = work.save(counted.where(shared >= least * (F.col("n") + F.greatest("shortest", shared) - shared)).select("bucket", "digest", "n", "label", "main", "rare"), "hopeful")
+    hopeful = work.save(counted.where(shared >= least * (F.col("n") + F.greatest("shortest", shared) - shared) - _SLACK).select("bucket", "digest", "n", "label", "main", "rare"), "hopeful")
     # a pair that shares several buckets meets in the first of them only
     lists = hopeful.groupBy("digest").agg(F.collect_set("bucket").alias("own"))
     listed = hopeful.join(lists, "digest")
@@ -230,7 +242,7 @@ def _other_pairs(rows: DataFrame, shingles: DataFrame, least: float, work: Works
 
     # texts that are alike share at least ``need`` of their rare shingles, so one of the first so many in order of rarity
     known = large.select("digest", "n", "label").distinct().join(counts, "digest")
-    need = F.greatest(F.ceil(least * F.col("n") - (F.col("n") - F.col("rare"))), F.lit(1))
+    need = F.greatest(F.ceil(least * F.col("n") - (F.col("n") - F.col("rare")) - _SLACK), F.lit(1))
     order = Window.partitionBy("digest").orderBy("texts", "shingle")
     prefix = rare.join(known, "digest").withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("rare") - need + 1)
     own = prefix.where("texts > 1").select("shingle", "digest", "n", "label")
@@ -243,8 +255,8 @@ def text_groups(docs: DataFrame, text: str = "text", least: float = SIMILARITY)
     """(node, label) for the texts (by MD5) that belong to a group of several: label is the group's smallest digest."""
     work = Workspace(docs.sparkSession, "near")
     keyed = docs.where(F.col(text).isNotNull()).select(F.unhex(F.md5(F.col(text))).alias("digest"), F.col(text).alias("text"))
-    sketched = work.save(sketch_table(keyed), "sketches")
-    members = sketched.select("digest", "n", F.posexplode("bands").alias("band", "sketch")).select(F.xxhash64("band", "sketch").alias("bucket"), "digest", "n")
+    sketched = work.save(sketch_table(keyed, least), "sketches")
+    members = sketched.select("digest", "n", F.posexplode("bands").alias("band", "sketch")).select(F.xxhash64(F.least("band", F.lit(BANDS)), "sketch").alias("bucket"), "digest", "n")
     # buckets of one text offer nothing
     shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
     rows = work.save(members.join(shared, "bucket"), "shared")
@@ -257,7 +269,7 @@ def text_groups(docs: DataFrame, text: str = "text", least: float = SIMILARITY)
     def to_centres(rows: DataFrame) -> DataFrame:
         """(a, b) of every text and the centre of its bucket."""
         centres = rows.groupBy("bucket").agg(F.max(F.struct("fame", "digest", "n")).alias("centre"))
-        fits = F.least("n", "centre.n") >= least * F.greatest("n", "centre.n")
+        fits = F.least("n", "centre.n") >= least * F.greatest("n", "centre.n") - _SLACK
         met = rows.join(centres, "bucket").where(fits & (F.col("digest") != F.col("centre.digest")))
         return met.select(F.greatest("digest", "centre.digest").alias("a"), F.least("digest", "centre.digest").alias("b")).distinct()
 
