@@ -23,23 +23,30 @@ from tallyspark.llm.store import Workspace
 WINDOW = 10
 GRAM = 5
 STEP = WINDOW - GRAM + 1  # grams in a window
-SMALL = 200_000  # tables of up to this many rows of at most some hundred bytes are broadcast, larger ones shuffled
+SMALL = 200_000  # rows up to which a table is broadcast, if it has no more than ``BROADCAST`` bytes
+BROADCAST = 32 << 20
 _OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _loose(text: Column) -> Column:
+    return F.lower(F.replace(text, F.lit("\u03a3"), F.lit("\u03c3")))
+
+
 def words(text: Column, exact: bool = True) -> Column:
     """The words of a text. Without ``exact`` all letters are lowered, which joins some words that differ but is quicker.
 
-    No letter's lower case changes between word and separator, so positions and counts are the same either way.
+    No letter's lower case changes between word and separator, so positions and counts are the same either way. The capital sigma is
+    the one letter whose lower case depends on what follows; it is replaced first, so a word has one form wherever it stands.
     """
-    low = F.translate(text, _UPPER, _LOWER) if exact else F.lower(text)
+    low = F.translate(text, _UPPER, _LOWER) if exact else _loose(text)
     return F.coalesce(F.array_remove(F.split(low, _OTHER), ""), F.array().cast("array<string>"))
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    """``df`` for the small side of a join: broadcast if a count shows that it is small, else left to a shuffle."""
-    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+def _bounded(df: DataFrame, width: Column | int) -> DataFrame:
+    """``df`` for the small side of a join: broadcast if its rows, of ``width`` bytes each, are counted to be few, else left to a shuffle."""
+    size = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.lit(width) if isinstance(width, int) else width).alias("bytes")).first()
+    return F.broadcast(df) if size["n"] <= SMALL and (size["bytes"] or 0) <= BROADCAST else df
 
 
 def _windows(rows: DataFrame) -> DataFrame:
@@ -82,7 +89,7 @@ def hits(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "ite
     keyed = docs.where(F.col(text).isNotNull()).select(F.unhex(F.md5(F.col(text))).alias("key"), F.col(text).alias("t"))
     loose = keyed.select("key", words(F.col("t"), exact=False).alias("w"))
 
-    phrases = items.where(F.col("n") == WINDOW).select(F.lit(b"").alias("key"), F.split(F.lower("phrase"), " ").alias("w"))
+    phrases = items.where(F.col("n") == WINDOW).select(F.lit(b"").alias("key"), F.split(_loose(F.col("phrase")), " ").alias("w"))
     prints = _windows(phrases).where("fp is not null").select(F.col("fp").alias("wanted")).distinct()
     prints = work.save(prints, "prints")
     small = prints.limit(SMALL + 1).count() <= SMALL
@@ -94,7 +101,7 @@ def hits(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "ite
 
     lengths = [r["n"] for r in items.where(F.col("n") < WINDOW).select("n").distinct().collect()]  # 9 values at most
     for n in sorted(lengths):
-        short = _bounded(items.where(F.col("n") == n).select(F.xxhash64(*(F.xxhash64(F.get(F.split(F.lower("phrase"), " "), i)) for i in range(n))).alias("wanted")).distinct())
+        short = _bounded(items.where(F.col("n") == n).select(F.xxhash64(*(F.xxhash64(F.get(F.split(_loose(F.col("phrase")), " "), i)) for i in range(n))).alias("wanted")).distinct(), 40)
         each = loose.select("key", F.transform("w", lambda x: F.xxhash64(x)).alias("h")).select("key", "h", F.posexplode_outer("h").alias("pos", "own"))
         gram = F.xxhash64(*(F.get("h", F.col("pos") + i) for i in range(n)))
         grams = each.where(F.col("pos") + n <= F.size("h")).select("key", "pos", gram.alias("fp"))
@@ -102,7 +109,7 @@ def hits(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "ite
         found = found.unionByName(grams.join(short, F.col("fp") == F.col("wanted"), "left_semi").select("key", F.lit(None).cast("int").alias("n_words"), starts.alias("r")))
 
     texts = work.save(found.groupBy("key").agg(F.max("n_words").alias("n_words"), F.collect_set("r").alias("runs")), "texts")
-    near = keyed.join(_bounded(texts.where(F.size("runs") > 0).select("key", "runs")), "key")
+    near = keyed.join(_bounded(texts.where(F.size("runs") > 0).select("key", "runs"), 80 + 40 * F.size("runs")), "key")
     # the grouping also keeps the words from being computed again for every window
     near = near.select("key", "runs", words(F.col("t")).alias("w")).dropDuplicates(["key"])
     inside = F.transform(
@@ -113,7 +120,7 @@ def hits(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "ite
         ),
     )
     each = near.select("key", F.explode(F.flatten(inside)).alias("x")).select("key", "x.start", "x.n", "x.phrase")
-    out = work.save(each.join(_bounded(items), ["n", "phrase"]).select("key", "start", "n", "item").distinct(), "hits")
+    out = work.save(each.join(_bounded(items, 100 + F.octet_length("phrase") + F.coalesce(F.octet_length("item"), F.lit(0))), ["n", "phrase"]).select("key", "start", "n", "item").distinct(), "hits")
     work.drop("items", "prints")
     return texts.select("key", "n_words"), out
 
@@ -146,4 +153,4 @@ def report(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "i
 def clean(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text holds no window of any item, with the columns of ``docs``."""
     dirty = hits(docs, bench, text, item, item_text)[1].select(F.col("key").alias("__key")).distinct()
-    return docs.withColumn("__md5", F.unhex(F.md5(F.col(text)))).join(_bounded(dirty), F.col("__md5") == F.col("__key"), "left_anti").drop("__md5")
+    return docs.withColumn("__md5", F.unhex(F.md5(F.col(text)))).join(_bounded(dirty, 64), F.col("__md5") == F.col("__key"), "left_anti").drop("__md5")

@@ -220,6 +220,8 @@ def test_decontamination(docs, spark, monkeypatch, small):
     items = [(i, prose(n, rng)) for i, n in enumerate((30, 10, 11, 9, 3, 1, 0, 40))] + [(20, None), (21, "Éa ÉB c D e f g h i j k"), (22, "z " * 30)]
     base = prose(50, rng)
     texts = [f"{prose(20, rng)}, {t.title() if t and i % 2 else t} - {prose(5, rng)}" for i, (_, t) in enumerate(items)]
+    items += [(23, "ΟΔΟΣ ΑΒ Σ δ ΕΣ ζ η θ ΙΣ κ"), (24, "ΣΑΣ β")]
+    texts += ["x ΟΔΟΣ.ΑΒ'Σ δ ΕΣ ζ-η θ ΙΣ'κ y", "οδος ΑΒ Σ δ ΕΣ ζ η θ ΙΣ κ", "ΣΑΣ.β"]
     texts += ["éa éb c d e f g h i j k", "ÉA ÉB C d e f g h i j k", None, "", "!!", base, base, items[0][1][20:120], "z " * 500, "z " * 9]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(0))
     out = {r["doc_id"]: r for r in decontaminate.report(docs(list(enumerate(texts))), bench).collect()}
@@ -367,6 +369,10 @@ def test_near_dup(docs):
     kept = sorted(r["doc_id"] for r in near_dup.dedup(docs([*rows, rows[0], rows[-1]])).collect())
     assert sorted(set(kept)) == sorted(set(brute_groups(texts)))
     nulls = [i for i in (ids[0], ids[-1]) if texts[i] is None]
+    tiny = [prose(n, rng) for n in (8, 9, 10, 12, 14, 16) for _ in range(25)]
+    tiny += [f"{t} {prose(n, rng)}" for t in tiny for n in (1, 2)] + [f"{prose(1, rng)} {t}" for t in tiny]
+    grouped = {r["doc_id"]: r["class_id"] for r in near_dup.classes(docs(list(enumerate(tiny)))).collect()}
+    assert [grouped[i] for i in range(len(tiny))] == brute_groups(tiny)
     assert len(kept) == len(set(kept)) + len(nulls)
     assert near_dup.classes(docs(rows).where("false")).count() == 0 and near_dup.dedup(docs(rows).where("false")).count() == 0
     lost = near_dup.classes(docs([(None, base), (4, base), (None, None)])).collect()
