@@ -367,13 +367,24 @@ def cut(docs: DataFrame, found: DataFrame, text: str, n_chars: str) -> DataFrame
     """``docs`` without the spans in ``found`` (digest, spans), which are in order and apart."""
     found = found.select(F.col("digest").alias("__found"), F.col("spans").alias("__spans"))
     keyed = docs.withColumn("__digest", F.unhex(F.md5(F.col(text))))
-    joined = keyed.join(found, F.col("__digest") == F.col("__found"), "left")
-
-    @F.pandas_udf("string")
-    def rest(texts, spans):
-        return texts.combine(spans, lambda raw, s: None if raw is None else _without(raw, [(x["start"], x["end"]) for x in s]))
+    # the spans grow with the corpus, so the join is the same at every size
+    joined = keyed.join(found.hint("merge"), F.col("__digest") == F.col("__found"), "left")
+    names = [c for c in docs.columns if c != text]
+    rows = joined.select(*(F.col(f"`{c}`") for c in names), F.col(text).alias("__text"), "__spans")
 
-    cut = joined.withColumn(text, F.when(F.col("__spans").isNull(), F.col(text)).otherwise(rest(F.col(text).cast("binary"), F.coalesce("__spans", F.array().cast("array<struct<start:bigint,end:bigint>>")))))
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, spans = b.column(len(names)), b.column(len(names) + 1)
+            hit = np.flatnonzero(np.asarray(spans.is_valid()))
+            if len(hit):
+                shown = texts.to_pylist()
+                for i in hit.tolist():
+                    shown[i] = _without(shown[i].encode(), [(x["start"], x["end"]) for x in spans[i].as_py()])
+                texts = pa.array(shown, pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], texts], names=[*names, text])
+
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2]]
+    cut = rows.mapInArrow(rest, ", ".join([*fields, f"`{text}` string"]))
     if n_chars in docs.columns:
         cut = cut.withColumn(n_chars, F.coalesce(F.length(text), F.lit(0)).cast(dict(docs.dtypes)[n_chars]))
     return cut.select(*docs.columns)
