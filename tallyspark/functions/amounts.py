@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyspark.functions.text import _col
+from tallyspark.functions.text import _col, let
 
 MONEY = "decimal(18,2)"
 TOLERANCE = "0.21"
@@ -20,28 +20,32 @@ def parse_amount(text: Column | str) -> Column:
 
     The mark must stand apart: ``100.00CR`` is positive, ``100.00 CR`` negative.
     """
-    t = F.trim(_col(text))
-    credit, debit = t.rlike(r"(?i)\bCr\b"), t.rlike(r"(?i)\bDr\b")
-    minus = t.rlike(r"^\(.*\)$") | F.contains(t, F.lit("-"))
-    plain = F.regexp_replace(t, r"(?i)Rs\.?|INR|₹|\b(?:Cr|Dr)\b|(?<=\d)(?:CR|DR)$|^[rC](?=\s*\d)|[,()\s-]", "")
-    value = F.when(plain.rlike(r"^\d+(\.\d+)?$"), plain).try_cast("decimal(38,6)").cast(MONEY)
-    return F.when(credit, -F.abs(value)).when(debit, F.abs(value)).when(minus, -value).otherwise(value).cast(MONEY)
+
+    def read(t: Column) -> Column:
+        credit, debit = t.rlike(r"(?i)\bCr\b"), t.rlike(r"(?i)\bDr\b")
+        minus = t.rlike(r"^\(.*\)$") | F.contains(t, F.lit("-"))
+        plain = F.regexp_replace(t, r"(?i)Rs\.?|INR|₹|\b(?:Cr|Dr)\b|(?<=\d)(?:CR|DR)$|^[rC](?=\s*\d)|[,()\s-]", "")
+        value = let(plain, lambda p: F.when(p.rlike(r"^\d+(\.\d+)?$"), p)).try_cast("decimal(38,6)").cast(MONEY)
+        return let(value, lambda v: F.when(credit, -F.abs(v)).when(debit, F.abs(v)).when(minus, -v).otherwise(v).cast(MONEY))
+
+    return let(F.trim(_col(text)), read)
 
 
 def tokens(text: Column | str, decimals: bool = False) -> Column:
     """(pos, raw, amount) of every amount of a line, with its character position from 0; ``(cid:n)`` counts as blank."""
-    t = F.regexp_replace(_col(text), r"\(cid:\d+\)", "")
     pattern = DECIMAL_TOKEN if decimals else TOKEN
-    found = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-    between = F.split(t, pattern)
-    step = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, gap: F.struct(F.length(gap).alias("gap"), F.length(m).alias("size"), m.alias("raw")))
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<pos:int,raw:string>>").alias("out"))
-    placed = F.aggregate(
-        step,
-        empty,
-        lambda acc, x: F.struct((acc["at"] + x["gap"] + x["size"]).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("pos"), x["raw"].alias("raw")))).alias("out")),
-    )["out"]
-    return F.transform(placed, lambda x: F.struct(x["pos"].alias("pos"), x["raw"].alias("raw"), parse_amount(x["raw"]).alias("amount")))
+
+    def placed(t: Column) -> Column:
+        found, between = F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), F.split(t, pattern)
+        step = let(found, lambda f: F.zip_with(f, F.slice(between, 1, F.size(f)), lambda m, gap: F.struct(F.length(gap).alias("gap"), F.length(m).alias("size"), m.alias("raw"))))
+        return F.aggregate(
+            step,
+            empty,
+            lambda acc, x: F.struct((acc["at"] + x["gap"] + x["size"]).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("pos"), x["raw"].alias("raw")))).alias("out")),
+        )["out"]
+
+    return F.transform(let(F.regexp_replace(_col(text), r"\(cid:\d+\)", ""), placed), lambda x: F.struct(x["pos"].alias("pos"), x["raw"].alias("raw"), parse_amount(x["raw"]).alias("amount")))
 
 
 def nearest(items: Column, position: Column) -> Column:

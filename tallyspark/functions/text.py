@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,6 +16,11 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lines(text: Column | str) -> Column:
     return F.split(_col(text), "\n")
 
@@ -43,15 +49,16 @@ def trim_by_markers(text: Column | str, start: list[str], end: list[str]) -> Col
 
     A marker that isn't there trims nothing; an end that only stands before the start leaves nothing.
     """
-    rows = lines(text)
-
-    def at(markers: list[str]) -> Column:
+    def at(rows: Column, markers: list[str]) -> Column:
         hit = F.transform(rows, lambda x, i: F.when(_any(x, markers), i + 1))
         return F.filter(hit, lambda i: i.isNotNull())
 
-    first = F.coalesce(F.get(at(start), F.lit(0)), F.lit(1)) if start else F.lit(1)
-    last = F.coalesce(F.try_element_at(at(end), F.lit(-1)), F.size(rows)) if end else F.size(rows)
-    return unlines(F.slice(rows, first, F.greatest(last - first + 1, F.lit(0))))
+    def cut(rows: Column) -> Column:
+        first = F.coalesce(F.get(at(rows, start), F.lit(0)), F.lit(1)) if start else F.lit(1)
+        last = F.coalesce(F.try_element_at(at(rows, end), F.lit(-1)), F.size(rows)) if end else F.size(rows)
+        return let(F.struct(first.alias("a"), last.alias("b")), lambda p: unlines(F.slice(rows, p["a"], F.greatest(p["b"] - p["a"] + 1, F.lit(0)))))
+
+    return let(lines(text), cut)
 
 
 def _any(text: Column, markers: list[str]) -> Column:
@@ -98,11 +105,24 @@ def label_pattern(label: str) -> str:
 
 def after_label(text: Column | str, label: str, width: int = 400) -> Column:
     """What stands behind the label's first occurrence, at most ``width`` characters; null without the label."""
+    parts = F.split(_col(text), label_pattern(label), 2)
+    return F.left(F.get(parts, F.lit(1)), F.lit(width))
+
+
+def from_label(text: Column | str, label: str, width: int = 400) -> Column:
+    """The same with the label itself."""
     t = _col(text)
-    pattern = label_pattern(label)
-    at = F.regexp_instr(t, F.lit(pattern))
-    skip = F.length(F.regexp_extract(t, pattern, 0))
-    return F.when(at > 0, F.substring(t, at + skip, F.lit(width)))
+    at = F.regexp_instr(t, F.lit(label_pattern(label)))
+    return F.when(at > 0, F.substring(t, at, F.lit(width)))
+
+
+def has_label(text: Column | str, label: str) -> Column:
+    return _col(text).rlike(label_pattern(label))
+
+
+def first_where(items: Column, test) -> Column:
+    """Index from 0 of the first item that passes; null if none does."""
+    return F.get(F.filter(F.transform(items, lambda x, i: F.when(test(x), i)), lambda i: i.isNotNull()), F.lit(0))
 
 
 def direction(text: Column | str) -> Column:
@@ -137,6 +157,64 @@ def join_detached_marks(text: Column | str) -> Column:
     return unlines(F.filter(glued, lambda x, i: ~x.rlike(alone) | (i == 0)))
 
 
+def merge_marks(text: Column | str, reach: int = 80) -> Column:
+    """A line of CR and DR marks without amounts goes into the line above: each mark to the amount nearest to it, ``reach`` characters at most."""
+    amount = r"-?\d[\d,]*\.\d{1,2}"
+    marks = r"(?i)^[^\d]*\b(?:CR|DR)\b[^\d]*$"
+
+    def places(x: Column, pattern: str) -> Column:
+        found = F.regexp_extract_all(x, F.lit(pattern), F.lit(0))
+        gaps = F.split(x, pattern)
+        at = lambda i: F.length(F.array_join(F.slice(gaps, 1, i + 1), "")) + F.length(F.array_join(F.slice(found, 1, i), ""))
+        return F.transform(found, lambda w, i: F.struct(at(i).alias("at"), w.alias("word"), F.get(gaps, i).alias("gap")))
+
+    def glued(x: Column, below: Column) -> Column:
+        apart = lambda m, a: F.abs(m["at"] - a["at"])
+
+        def built(own: Column, near: Column) -> Column:
+            nearest = lambda m: F.array_min(F.transform(own, lambda a: F.struct(apart(m, a).alias("d"), a["at"].alias("at"))))
+            each = F.transform(near, lambda m: F.struct(nearest(m).alias("to"), F.upper(m["word"]).alias("mark")))
+
+            def rebuilt(chosen: Column) -> Column:
+                mark = lambda a: F.get(F.filter(chosen, lambda c: (c["to"]["at"] == a["at"]) & (c["to"]["d"] <= reach)), F.lit(0))["mark"]
+                return F.array_join(F.transform(own, lambda a: F.concat(a["gap"], a["word"], F.coalesce(F.concat(F.lit(" "), mark(a)), F.lit("")))), "")
+
+            return let(each, rebuilt)
+
+        out = let(F.struct(places(x, amount).alias("own"), places(below, r"(?i)\b(?:CR|DR)\b").alias("near")), lambda p: built(p["own"], p["near"]))
+        return F.concat(out, F.element_at(F.split(x, amount), -1))
+
+    def merged(rows: Column) -> Column:
+        joins = F.transform(rows, lambda x, i: F.coalesce(F.get(rows, i + 1).rlike(marks) & (F.regexp_count(x, F.lit(amount)) >= 2), F.lit(False)))
+
+        def kept(at: Column) -> Column:
+            out = F.transform(rows, lambda x, i: F.when(F.get(at, i), glued(x, F.get(rows, i + 1))).otherwise(x))
+            return unlines(F.filter(out, lambda x, i: (i == 0) | ~F.get(at, i - 1)))
+
+        return let(joins, kept)
+
+    return F.when(_col(text).rlike(r"(?im)" + marks.removeprefix("(?i)")), let(lines(text), merged)).otherwise(_col(text))
+
+
+def label_column(text: Column | str, labels: tuple[str, ...]) -> Column:
+    """The unlabelled column of amounts that starts at a dated one gets its labels, if it has one line for each; blank lines don't count."""
+    dated = r"(?i)^\s*(?:\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\s+[A-Z]{3}\s+\d{4})\s+Rs\.?\s*-?[\d,]+(?:\.\d+)?\s*$"
+    either = r"(?i)^\s*(?:(?:\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\s+[A-Z]{3}\s+\d{4})\s+)?Rs\.?\s*-?[\d,]+(?:\.\d+)?\s*$"
+    shown = lambda x: F.trim(x) != ""
+    named = F.array(*(F.lit(x) for x in labels))
+
+    def labelled(rows: Column, start: Column) -> Column:
+        below = F.slice(F.filter(F.slice(rows, start + 1, F.size(rows)), shown), 1, len(labels))
+        fits = F.size(F.filter(below, lambda x: x.rlike(either))) == len(labels)
+        place = lambda i: F.size(F.filter(F.slice(rows, start + 1, i - start + 1), shown))
+        out = F.transform(rows, lambda x, i: F.when((i >= start) & shown(x), F.concat_ws("  ", F.get(named, place(i) - 1), F.trim(x))).otherwise(x))
+        return F.when(fits, unlines(out))
+
+    found = let(lines(text), lambda rows: let(first_where(rows, lambda x: x.rlike(dated)), lambda start: labelled(rows, start)))
+    there = F.contains(_col(text), F.lit(labels[0])) & F.contains(_col(text), F.lit(labels[-1]))
+    return F.when(there, _col(text)).otherwise(F.coalesce(found, _col(text)))
+
+
 def drop_block(text: Column | str, header: str, until: str) -> Column:
     """From the line that is the header to the one before the first that matches ``until``, or to the end."""
     rows = lines(text)

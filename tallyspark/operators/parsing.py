@@ -39,12 +39,14 @@ RULES = {
     r.name: r
     for r in (
         LineRule("ref_marked", rf"(?i)^\s*{_DATE}\s+(\S+)\s+(.+?)\s+{_AMOUNT}\s+(DR|CR)\s*$", 1, 3, 4, 5, 2),
-        LineRule("rupee_marked", rf"(?i)^\s*(\d{{1,2}} [A-Z]{{3}} \d{{2,4}})\s+(.+?)\s+Rs\.?\s*{_AMOUNT}\s*(Dr|Cr)\s*$", 1, 2, 3, 4, stop="End of Statement"),
+        LineRule("rupee_marked", rf"(?i)^\s*(\d{{1,2}} [A-Z]{{3}} \d{{2,4}})\s+(.+?)\s+Rs\.?\s*{_AMOUNT}\s*(Dr|Cr)\s*$", 1, 2, 3, 4, stop="End of Transactions"),
         LineRule("dashed_marked", rf"(?i)^\s*(\d{{2}}-\d{{2}}-\d{{4}})\s+(.+?)\s+{_AMOUNT}\s*(Dr|Cr)\s*$", 1, 2, 3, 4),
         LineRule("serial_points", rf"(?i)^\s*{_DATE}\s+(\d{{6,}})\s+(.+?)(?:\s+-?\d+)?\s+{_AMOUNT}(?:\s+(CR))?\s*$", 1, 3, 4, 5, 2),
         LineRule("slashed_or_month", rf"(?i)^\s*(\d{{2}}/\d{{2}}/\d{{4}}|\d{{1,2}} [A-Z]{{3}} \d{{2}})\s+(.+?)\s+{_AMOUNT}(?:\s+(DR|CR))?\s*$", 1, 2, 3, 4),
         LineRule("points_marked", rf"(?i)^\s*{_DATE}\s+(.+?)\s+\d+\s+{_AMOUNT}\s+(DR|CR)\b.*$", 1, 2, 3, 4, skip=r"(?i)^\s*TOTAL|\sTo\s\d|nil transaction"),
         LineRule("two_dates", rf"(?i)^\s*(\d{{2}}-[A-Z]{{3}}-\d{{4}})\s+\d{{2}}-[A-Z]{{3}}-\d{{4}}\s+(.+?)\s+{_AMOUNT}(?:\s+(Cr))?\s*$", 1, 2, 3, 4, skip=r"(?i)nil transaction"),
+        LineRule("hdfc_annual", rf"(?i)^(\d{{1,2}}-[A-Z]{{3}}-\d{{4}})\s+(.+?)\s+{_AMOUNT}\s+(DR|CR)\b.*$", 1, 2, 3, 4),
+        LineRule("hdfc_monthly", rf"^\s*(\d{{1,2}}/\d{{1,2}}/\d{{4}})(?:\s+\d{{1,2}}:\d{{2}}:\d{{2}})?\s+(.+?)\s+{_AMOUNT}\s*(Cr|CR|Dr|DR)?\s*$", 1, 2, 3, 4),
         LineRule("marked", rf"(?i)^\s*{_DATE}\s+(.+?)\s+{_AMOUNT}\s+(Cr|Dr)\s*$", 1, 2, 3, 4),
     )
 }
@@ -90,6 +92,13 @@ def transactions_of_text(statements: DataFrame, pattern: str, text: str = "text"
     return each.select("*", parse_date(F.col("x.d")).alias("date"), F.trim(F.regexp_replace(F.col("x.t"), r"\s+", " ")).alias("description"), credited.alias("credited"), debited.alias("debited")).drop("x")
 
 
+def distinct_transactions(statements: DataFrame, rules: list[LineRule], text: str = "text") -> DataFrame:
+    """As :func:`transactions` by several rules, the first rule's matches first; what a statement says twice counts once."""
+    rows = F.split(F.regexp_replace(F.col(text), r"\r\n?|\f", "\n"), "\n")
+    found = F.concat(*(F.filter(F.transform(rows, lambda x: parsed(x, r)), lambda t: t["date"].isNotNull() & (t["description"] != "")) for r in rules))  # noqa: B023
+    return statements.select("*", F.posexplode(F.array_distinct(found)).alias("pos", "t")).select("*", "t.*").drop(text, "t")
+
+
 def first_of_each(rows: DataFrame, within: list[str], by: list[str], order: list[str]) -> DataFrame:
     """Inside each statement one row of every (date, description, amount, direction), the first in order."""
     w = Window.partitionBy(*within, *by).orderBy(*order)

@@ -49,7 +49,7 @@ def parse_stop_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat(F.date_format("day", "dd MMM yyyy"), F.lit(" "), F.col("note"), F.lit(" "), F.col("ref"), F.lit(" Rs. "), _money(F.col("amount")), F.lit(" "), F.initcap("mark"))
     plain = render(orders(spark, sf_dir), line)
     rows = F.split("text", "\n")
-    cut = F.concat(F.slice(rows, 1, 2), F.array(F.lit("** End of Statement **")), F.slice(rows, 3, F.greatest(F.size(rows) - 2, F.lit(0))))
+    cut = F.concat(F.slice(rows, 1, 2), F.array(F.lit("** End of Transactions **")), F.slice(rows, 3, F.greatest(F.size(rows) - 2, F.lit(0))))
     found = parsing.transactions(plain.withColumn("text", F.array_join(cut, "\n")), parsing.RULES["rupee_marked"])
     return found.select("account", "month", "date", "description", (F.col("credited") + F.col("debited")).cast("decimal(18,2)").alias("total"))
 

@@ -164,7 +164,7 @@ def test_registry(spark):
 
     rows = [
         ("bob", "easy", "05/01/2024 R1 TEA 1.00 CR"), ("federal", "signet", "05-01-2024 TEA 2.00 Dr"), ("idfc", "wow", "5 Jan 24 TEA 3.00"), ("idfc", "other", "5 Jan 24 TEA 3.00"),
-        ("csb", "edge", "05 Jan 24 TEA Rs. 4.00 Cr\n** End of Statement **\n06 Jan 24 TEA Rs. 4.00 Cr"), ("indusind", "x", "TOTAL\n05/01/2024 TEA 12 5.00 DR"), ("icici", None, "05/01/2024 123456789 TEA 7 6.00 CR"),
+        ("csb", "edge", "05 Jan 24 TEA Rs. 4.00 Cr\n** End of Transactions **\n06 Jan 24 TEA Rs. 4.00 Cr"), ("indusind", "x", "TOTAL\n05/01/2024 TEA 12 5.00 DR"), ("icici", None, "05/01/2024 123456789 TEA 7 6.00 CR"),
     ]
     found, unread = registry.read_statements(spark.createDataFrame(rows, "bank string, variant string, text string"))
     assert sorted((r["bank"], r["credited"] - r["debited"]) for r in found.collect()) == [
