@@ -111,3 +111,26 @@ def filename_mail_date(name: Column | str) -> Column:
 
 def filename_annual(name: Column | str) -> Column:
     return _col(name).rlike(r"__annual[. ]")
+
+
+def folder_of(key: Column) -> Column:
+    """The year folder of a key: its own for years, the fiscal year for months, ``unknown-month`` for others."""
+    return F.when(key_kind(key) == "month", fiscal_key(key_bounds(key)["start"])).when(key_kind(key) == "unknown", F.lit(UNKNOWN)).otherwise(key)
+
+
+def file_stem(key: Column) -> Column:
+    """A statement's file name without suffix: the month, or the year in which a fiscal year ends."""
+    return F.when(key_kind(key) == "fiscal", F.regexp_extract(key, r"-(\d{4})$", 1)).otherwise(key)
+
+
+def key_of_path(path: Column | str) -> Column:
+    """The key that a canonical path says: its month, or the year of its folder where the stem is a year; null for others."""
+    stem = F.regexp_extract(_col(path), r"([^/]*)\.[^./]*$", 1)
+    folder = F.try_element_at(F.split(_col(path), "/"), F.lit(-4))
+    month = F.when(stem.rlike(r"^\d{4}-\d{2}$"), stem)
+    return F.coalesce(month, F.when(stem.rlike(r"^\d{4}$") & folder.rlike(r"^(FY\d{2}-\d{4}|\d{4})$"), folder))
+
+
+def upload_period(name: Column | str) -> Column:
+    """The month in ``manual__yyyy-MM-dd.ext``."""
+    return F.nullif(F.regexp_extract(_col(name), r"^manual__(\d{4}-\d{2})-\d{2}(?: \(\d+\))?\.[A-Za-z]+$", 1), F.lit(""))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.dates import between_months
 
+BLOCK = 5000  # account rules that are broadcast at once
+
 
 def subject_matches(subject: Column, wanted: Column) -> Column:
     """Any wanted string in the subject, case ignored."""
@@ -42,13 +46,19 @@ def attachment_kind(name: Column, content_type: Column, content: Column | None =
     return kind
 
 
-def for_accounts(messages: DataFrame, accounts: DataFrame) -> DataFrame:
+def for_accounts(messages: DataFrame, accounts: DataFrame, block: int = BLOCK) -> DataFrame:
     """Pairs of a message (subject, address, day) and an account (subjects, senders, start, end) whose rules it meets.
 
-    The condition has no equal keys: the accounts' side, whose size Spark checks, is broadcast if it is small.
+    The condition has no equal keys. The rules are a stated set, counted first: up to ``block`` of them go to every task at once, and
+    more are met block by block, so that what is broadcast stays bounded.
     """
     met = subject_matches(F.col("subject"), F.col("subjects")) & sender_matches(F.col("address"), F.col("senders")) & between_months(F.col("day"), F.col("start"), F.col("end"))
-    return messages.join(accounts, met)
+    n = max(1, ceil(accounts.count() / block))
+    key = F.pmod(F.xxhash64(F.to_json(F.struct(*accounts.columns))), F.lit(n))
+    out = messages.join(F.broadcast(accounts.where(key == 0) if n > 1 else accounts), met)
+    for i in range(1, n):
+        out = out.unionByName(messages.join(F.broadcast(accounts.where(key == i)), met))
+    return out
 
 
 def search_window(opening: Column, last_fetch: Column, closing: Column) -> Column:
