@@ -52,7 +52,10 @@ def for_accounts(messages: DataFrame, accounts: DataFrame, block: int = BLOCK) -
     The condition has no equal keys. The rules are a stated set, counted first: up to ``block`` of them go to every task at once, and
     more are met block by block, so that what is broadcast stays bounded.
     """
-    met = subject_matches(F.col("subject"), F.col("subjects")) & sender_matches(F.col("address"), F.col("senders")) & between_months(F.col("day"), F.col("start"), F.col("end"))
+    sender = sender_matches(F.col("address"), F.col("senders"))
+    if "addresses" in messages.columns:  # any of several senders
+        sender = sender | F.exists("addresses", lambda a: sender_matches(a, F.col("senders")))
+    met = subject_matches(F.col("subject"), F.col("subjects")) & sender & between_months(F.col("day"), F.col("start"), F.col("end"))
     n = max(1, ceil(accounts.count() / block))
     key = F.pmod(F.xxhash64(F.to_json(F.struct(*accounts.columns))), F.lit(n))
     out = messages.join(F.broadcast(accounts.where(key == 0) if n > 1 else accounts), met)
@@ -74,3 +77,10 @@ def imap_criteria(subjects: list[str], since: str | None, before: str | None) ->
         tree = f"OR {q} {tree}" if tree else q
     parts = [f"SINCE {since}" if since else "", f"BEFORE {before}" if before else "", tree]
     return " ".join(p for p in parts if p) or "ALL"
+
+
+def gmail_query(subjects: list[str], since: str | None, before: str | None) -> str:
+    """The same for a server that searches like Gmail: any subject, days as yyyy/MM/dd."""
+    terms = [f'subject:"{s.replace(chr(34), "")}"' for s in subjects]
+    any_of = f"({' OR '.join(terms)})" if len(terms) > 1 else "".join(terms)
+    return " ".join(x for x in (any_of, f"after:{since}" if since else "", f"before:{before}" if before else "") if x)

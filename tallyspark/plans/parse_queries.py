@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions import amounts, dates, text
-from tallyspark.operators import parsing
+from tallyspark.operators import extract, parsing
 from tallyspark.plans.catalogue import ORDERS_SQL, orders, query, table
 from tallyspark.sources import sectioned
 
@@ -164,10 +164,7 @@ select account, strftime(day, '%Y-%m') as month, (case when mark = 'CR' then -am
 def nth_row_after_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last amount of the second line with an amount after the anchor."""
     statements = render(orders(spark, sf_dir), _ref_line(), "Balance 1.00\nYour transactions")
-    rows = F.split("text", "\n")
-    after = F.slice(rows, F.array_position(rows, F.lit("Your transactions")).cast("int") + 1, F.size(rows))
-    found = F.filter(F.transform(after, lambda x: amounts.tokens(x, decimals=True)), lambda t: F.size(t) > 0)
-    second = F.try_element_at(F.get(found, F.lit(1)), F.lit(-1))["amount"]
+    second = extract.nth_row_after("text", "Your transactions", 2)
     return statements.select("account", "month", second.alias("second")).where("second is not null")
 
 

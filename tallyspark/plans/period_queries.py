@@ -64,12 +64,12 @@ def account_year_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts(orders(spark, sf_dir).withColumn("fy", periods.fiscal_key(F.col("day"))), "account", "fy")
 
 
-@query(f"""with {ORDERS_SQL}, s as (select account, date_trunc('month', min(day)) as a, date_trunc('month', max(day)) as b from orders_t where ref % 3 = 0 group by account),
+@query(f"""with {ORDERS_SQL}, s as (select account, date_trunc('month', min(day)) as a, date_trunc('month', max(day)) as b from orders_t group by account),
 m as (select account, unnest(generate_series(a, b, interval 1 month)) as day from s),
 n as (select account, {_FY} as fy, count(*) as n from m group by 1, 2)
 select account, arg_max(fy, n * 10000 - right(fy, 4)::int) as fy from n group by account""")
 def fy_majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    span = orders(spark, sf_dir).where("ref % 3 = 0").groupBy("account").agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    span = orders(spark, sf_dir).groupBy("account").agg(F.min("day").alias("a"), F.max("day").alias("b"))
     months = span.select("account", F.explode(periods.months_between(F.col("a"), F.col("b"))).alias("m"))
     votes = months.groupBy("account", periods.fiscal_key(F.col("m")).alias("fy")).count()
     return votes.groupBy("account").agg(F.max_by("fy", F.struct("count", -F.substring("fy", -4, 4).cast("int"))).alias("fy"))
@@ -101,12 +101,12 @@ def calendar_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""with {ORDERS_SQL}
 select account, strftime(date_trunc('month', day) - interval 1 month, '%Y-%m') as month from orders_t where ref % 2 = 0
 union
-select account, strftime(m, '%Y-%m') from (select account, unnest(generate_series(date_trunc('month', min(day)), date_trunc('month', max(day)), interval 1 month)) as m from orders_t where ref % 5 = 0 group by account)""")
+select account, strftime(m, '%Y-%m') from (select account, unnest(generate_series(date_trunc('month', min(day)), date_trunc('month', max(day)), interval 1 month)) as m from orders_t where ref % 2 = 1 group by account)""")
 def covered_months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Months behind monthly keys, united with the months of annual periods."""
+    """Months behind monthly keys, which even orders are, united with the months of annual periods, made of odd ones."""
     o = orders(spark, sf_dir)
     by_month = o.where("ref % 2 = 0").select("account", periods.covered_month(periods.month_key(F.col("day"))).alias("month"))
-    annual = o.where("ref % 5 = 0").groupBy("account").agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    annual = o.where("ref % 2 = 1").groupBy("account").agg(F.min("day").alias("a"), F.max("day").alias("b"))
     by_year = annual.select("account", F.explode(periods.months_between(F.col("a"), F.col("b"))).alias("m")).select("account", periods.month_key(F.col("m")).alias("month"))
     return by_month.union(by_year).distinct()
 
@@ -199,8 +199,9 @@ def monthly_within_annual(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""select user_id, (max(ts)::date - 1) as since, max(ts)::date as last_fetch, count(*) as n from events group by user_id""")
 def last_fetch_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     """High-water mark per user, and where the next fetch starts: a day earlier."""
-    per = table(spark, sf_dir, "events").groupBy("user_id").agg(F.to_date(F.max("ts")).alias("last_fetch"), F.count(F.lit(1)).alias("n"))
-    return per.select("user_id", F.date_sub("last_fetch", 1).alias("since"), "last_fetch", "n")
+    from tallyspark.streaming.incremental import high_water_marks
+
+    return high_water_marks(table(spark, sf_dir, "events").withColumn("day", F.to_date("ts")), "user_id", "day").select("user_id", "since", "last_fetch", "n")
 
 
 @query(f"""with {MONTHLY_SQL}

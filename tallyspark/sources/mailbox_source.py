@@ -9,13 +9,24 @@ from email.message import EmailMessage
 from email.utils import getaddresses
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions.dates import mail_date
+from tallyspark.operators import messages as rules
 
 INDEX = ".msf"
-_SCHEMA = "path string, subject string, address string, date_header string, body string, attachments array<struct<name:string,content_type:string,content:binary>>"
+# Names of charsets in mails that Python knows by others.
+CHARSETS = {"x-unknown": "utf-8", "unknown-8bit": "utf-8", "cp-850": "cp850", "x-sjis": "shift_jis", "ansi_x3.110-1983": "latin-1", "iso-8859-8-i": "iso-8859-8"}
+_SCHEMA = "path string, subject string, address string, addresses array<string>, date_header string, body string, attachments array<struct<name:string,content_type:string,content:binary>>"
+
+
+def _text(content: bytes, charset: str | None) -> str:
+    name = (charset or "utf-8").lower()
+    try:
+        return content.decode(CHARSETS.get(name, name), "replace")
+    except LookupError:  # a charset that nobody knows
+        return content.decode("utf-8", "replace")
 
 
 def _row(raw: bytes) -> tuple:
@@ -28,35 +39,46 @@ def _row(raw: bytes) -> tuple:
         if part.get_content_disposition() == "attachment" or part.get_filename():
             attached.append({"name": part.get_filename(), "content_type": part.get_content_type(), "content": content})
         elif part.get_content_maintype() == "text":
-            try:
-                body.append(content.decode(part.get_content_charset() or "utf-8", "replace"))
-            except LookupError:  # unknown charset
-                body.append(content.decode("utf-8", "replace"))
-    addresses = getaddresses([str(x) for x in m.get_all("from", [])])
-    return (str(m["subject"] or ""), addresses[0][1].lower() if addresses else None, str(m["date"] or ""), "\n".join(body), attached)
+            body.append(_text(content, part.get_content_charset()))
+    addresses = [a.lower() for _, a in getaddresses([str(x) for x in m.get_all("from", [])]) if a]
+    return (str(m["subject"] or ""), addresses[0] if addresses else None, addresses, str(m["date"] or ""), "\n".join(body), attached)
+
+
+def stores(spark: SparkSession, root: str) -> DataFrame:
+    """(path) of the files below ``root`` that have an index beside them; contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    index = files.where(F.endswith("path", F.lit(INDEX))).select(F.regexp_replace("path", r"\.msf$", "").alias("path"))
+    return files.where(~F.endswith("path", F.lit(INDEX))).join(index, "path", "left_semi")
 
 
 def messages(spark: SparkSession, root: str) -> DataFrame:
-    """(path, subject, address, date_header, day, body, attachments) of all messages below ``root``.
+    """(path, subject, address, addresses, date_header, day, body, attachments) of all messages below ``root``; address is the first sender.
 
-    Stores and indexes come from one file listing and meet in a semi-join. A store is split into messages at its ``From `` lines, so the
-    parsing of a large store is spread over tasks.
+    Stores are read by Spark's text source with the line that begins a message as separator: a store of any size is split over tasks, and
+    no task holds more than its messages.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    index = files.where(F.endswith("path", F.lit(INDEX))).select(F.regexp_replace("path", r"\.msf$", "").alias("path"))
-    stores = files.select("path").where(~F.endswith("path", F.lit(INDEX))).join(index, "path", "left_semi")
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for path, raw in zip(b["path"], b["content"], strict=True):
-                parts = (b"\n" + bytes(raw)).split(b"\nFrom ")[1:]
-                yield pd.DataFrame({"path": [path] * len(parts), "raw": [p.partition(b"\n")[2] for p in parts]})
+    raw = spark.read.text(root, lineSep="\nFrom ", recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
+    wanted = stores(spark, root).select(F.regexp_replace("path", "^file:/+", "file:/").alias("__p"))
+    each = raw.join(wanted, F.regexp_replace("path", "^file:/+", "file:/") == F.col("__p"), "left_semi").where(F.trim("raw") != "")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(p, *_row(bytes(r))) for p, r in zip(b["path"], b["raw"], strict=True)]
-            yield pd.DataFrame(rows, columns=["path", "subject", "address", "date_header", "body", "attachments"])
+            rows = [(p, *_row(bytes(r).partition(b"\n")[2])) for p, r in zip(b["path"], b["raw"], strict=True)]
+            yield pd.DataFrame(rows, columns=["path", "subject", "address", "addresses", "date_header", "body", "attachments"])
+
+    return each.select("path", F.col("raw").cast("binary")).mapInPandas(parse, _SCHEMA).withColumn("day", mail_date("date_header"))
+
+
+def scan(spark: SparkSession, root: str, accounts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(found, counts): messages for accounts (account, subjects, senders, body_contains, start, end) with their attachments of a kind
+    that statements have, and the number of messages by account. Headers are matched before bodies are looked at."""
+    met = rules.for_accounts(messages(spark, root), accounts)
+    names = F.transform("attachments", lambda a: a["name"])
+    found = met.where(rules.body_matches(F.col("body"), names, F.col("body_contains")))
+    found = found.withColumn("annual", rules.is_annual(F.col("subject"), F.col("body")))
+
+    def kind(a: Column) -> Column:
+        return rules.attachment_kind(a["name"], a["content_type"], a["content"], F.col("annual"))
 
-    each = content.join(stores, "path", "left_semi").mapInPandas(cut, "path string, raw binary")
-    return each.mapInPandas(parse, _SCHEMA).withColumn("day", mail_date("date_header"))
+    kinds = F.filter(F.transform("attachments", lambda a: F.struct(a["name"].alias("name"), kind(a).alias("kind"), a["content"].alias("content"))), lambda a: a["kind"].isNotNull())
+    return found.withColumn("attachments", kinds), found.groupBy("account").agg(F.count(F.lit(1)).alias("messages"))

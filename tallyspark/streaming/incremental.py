@@ -2,21 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-
-def _shared(spark: SparkSession) -> str:
-    """The cluster's shared folder, or a local one where none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='shared-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+from tallyspark.sources.shared import shared_dir
 
 
 def ingest(spark: SparkSession, source: str, schema: StructType, keys: list[str], target: str, checkpoint: str) -> None:
@@ -31,14 +23,14 @@ def ingest(spark: SparkSession, source: str, schema: StructType, keys: list[str]
 
 def ingest_available(spark: SparkSession, source: str, schema: StructType, keys: list[str]) -> DataFrame:
     """All distinct rows of ``source`` by one run of :func:`ingest` from nothing."""
-    root = f"{_shared(spark)}/intake-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/intake-{uuid.uuid4().hex}"
     ingest(spark, source, schema, keys, f"{root}/data", f"{root}/checkpoint")
     return spark.read.schema(schema).parquet(f"{root}/data")
 
 
 def high_water_marks(rows: DataFrame, account: str, day: str) -> DataFrame:
-    """(account, last_fetch, since): the last day seen and, for overlap, the day before it."""
-    return rows.groupBy(account).agg(F.max(day).alias("last_fetch")).withColumn("since", F.date_sub("last_fetch", 1))
+    """(account, last_fetch, n, since): the last day seen, the rows and, for overlap, the day before the last."""
+    return rows.groupBy(account).agg(F.max(day).alias("last_fetch"), F.count(F.lit(1)).alias("n")).withColumn("since", F.date_sub("last_fetch", 1))
 
 
 def daily_totals(stream: DataFrame, day: str, keys: list[str], amount: str, delay: str = "2 days") -> DataFrame:
