@@ -6,19 +6,11 @@ names in ``spark.checkpoint.dir``: every executor can read them, so a lost execu
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one only where the setting is absent, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='shared-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+from tallyspark.sources.shared import shared_dir
 
 
 class Workspace:
@@ -27,7 +19,6 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-        self.tables: dict[str, str] = {}
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it back."""
@@ -44,15 +35,14 @@ class Workspace:
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         writer = (df if dealt else df.repartition(n, key)).write.format("parquet").option("compression", "zstd").option("path", f"{self.root}/{name}")
         writer.bucketBy(n, key).sortBy(key).saveAsTable(table)
-        self.tables[name] = table
-        return self.spark.table(table)
+        read = self.spark.table(table)
+        self.spark.sql(f"drop table {table}")  # the name only: the files are read by their path, and no scratch name is left behind
+        return read
 
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            if name in self.tables:
-                self.spark.sql(f"drop table if exists {self.tables.pop(name)}")
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(conf).delete(path, True)

@@ -3,12 +3,15 @@
 Every string of ``LENGTH`` bytes that starts more than once in the corpus is to be found. Indexed are not all suffixes
 but those that every such string is sure to contain: in each window of ``LENGTH`` bytes the 64-byte gram with the smallest hash
 is the window's anchor, and equal windows have it at the same place. An entry of a suffix array is an anchor: the hash of the
-gram that the suffix begins with, a hash of its context (all windows that it anchors), text and position. An array is
-kept in buckets of the gram's hash, sorted by it.
+gram that the suffix begins with, a hash of its context (all windows that it anchors), text and position. Beside each array stands its
+directory: every gram once, with the number of its suffixes, so that a gram that most texts have is one row in each comparison.
 
-A new batch of texts gets its array, which is merge-scanned against itself and against each existing level for grams
-that occur elsewhere. Before a batch is added, levels of equal size merge, so that n batches leave at most log2(n) levels and every entry
-is rewritten that often.
+A new batch of texts gets its array and directory, which is merged against itself and against each existing level's for grams
+that occur elsewhere. Before a batch is added, levels of comparable size merge: each is at least twice as large as the next, so levels are
+few and an entry is rewritten a logarithmic number of times. An index stays usable: batches can be added at any time.
+
+This is a sparse suffix index and not a full suffix array: suffixes meet by their first 64 bytes, as a hash, and are not sorted beyond. Sorting
+every suffix (a row for each byte) would shuffle dozens of times the input.
 
 Anchors whose gram repeats are then extended. Anchors with equal contexts repeat in all their windows. The others are compared
 window by window within their gram: groups of up to ``GROUP`` contexts in one task, larger ones by hashes of blocks of
@@ -22,6 +25,7 @@ tables give empty tables.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -89,12 +93,22 @@ def entries(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     return texts.select("digest", F.col("text").cast("binary")).mapInArrow(run, _ENTRY)
 
 
+@dataclass
+class Level:
+    """An array with its directory (fp, n), and how many entries it has."""
+
+    name: str
+    size: int
+    array: DataFrame
+    directory: DataFrame
+
+
 class SuffixIndex:
     """Suffix arrays of the batches so far, in levels of growing size."""
 
     def __init__(self, work: Workspace, length: int = LENGTH):
         self.work, self.length = work, length
-        self.levels: list[tuple[int, str, DataFrame]] = []  # rank, name, array
+        self.levels: list[Level] = []
         self.repeats: list[DataFrame] = []  # (fp) of grams found more than once
         self.batches = 0
 
@@ -102,34 +116,40 @@ class SuffixIndex:
         """Index a batch of ``texts`` (digest, text), none of which has been indexed before."""
         self.merge()
         name = f"array{self.batches}"
-        array = self.work.save_bucketed(entries(texts, self.length), name, "fp")
-        found = array.groupBy("fp").count().where("count > 1").select("fp")
-        for _, _, level in self.levels:
-            found = found.unionByName(array.select("fp").join(level.select("fp"), "fp", "left_semi").distinct())
-        self.repeats.append(self.work.save(found, f"repeats{self.batches}"))
-        self.levels.append((0, name, array))
+        array = self.work.save(entries(texts, self.length), name)
+        directory = self.work.save(array.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), f"{name}_grams")
+        found = directory.where("n > 1").select("fp")
+        for level in self.levels:
+            found = found.unionByName(directory.join(level.directory, "fp", "left_semi").select("fp"))
+        self.repeats.append(self.work.save(found.distinct(), f"repeats{self.batches}"))
+        self.levels.append(Level(name, array.count(), array, directory))
         self.batches += 1
 
     def merge(self) -> None:
-        """Merge the newest levels while they are of equal size."""
-        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (rank, name, a), (_, other, b) = self.levels.pop(), self.levels.pop()
-            joint = f"{other}_{name}"
-            merged = self.work.save_bucketed(b.unionByName(a), joint, "fp")
-            self.work.drop(name, other)
-            self.levels.append((rank + 1, joint, merged))
+        """Merge the newest levels while the older one isn't twice as large."""
+        while len(self.levels) > 1 and self.levels[-2].size < 2 * self.levels[-1].size:
+            b, a = self.levels.pop(), self.levels.pop()
+            name = f"{a.name}_{b.name}"
+            array = self.work.save(a.array.unionByName(b.array), name)
+            directory = self.work.save(a.directory.unionByName(b.directory).groupBy("fp").agg(F.sum("n").alias("n")), f"{name}_grams")
+            self.work.drop(*(x for old in (a, b) for x in (old.name, f"{old.name}_grams")))
+            self.levels.append(Level(name, a.size + b.size, array, directory))
 
     def repeated(self) -> DataFrame:
         """The entries of all levels whose gram occurs more than once."""
         grams = self.repeats[0]
         for more in self.repeats[1:]:
             grams = grams.unionByName(more)
-        grams = grams.distinct()
-        found = [level.join(grams, "fp", "left_semi") for _, _, level in self.levels]
-        rows = found[0]
-        for more in found[1:]:
-            rows = rows.unionByName(more)
-        return rows
+        grams = self.work.save(grams.distinct(), "grams")
+        rows = self.levels[0].array
+        for level in self.levels[1:]:
+            rows = rows.unionByName(level.array)
+        return rows.join(grams, "fp", "left_semi")
+
+    def drop(self) -> None:
+        """Delete the index."""
+        self.work.drop("grams", *(x for level in self.levels for x in (level.name, f"{level.name}_grams")), *(f"repeats{i}" for i in range(self.batches)))
+        self.levels, self.repeats = [], []
 
 
 def _slices(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -341,7 +361,8 @@ def removals(docs: DataFrame, text: str = "text", length: int = LENGTH, batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(removed, pa.int64()), pa.array(found, kind), pa.array(kept, pa.binary())], names=["digest", "n_removed", "spans", "kept"])
 
     out = work.save(rows.mapInArrow(run, "digest binary, n_removed long, spans array<struct<start:bigint,end:bigint>>, kept binary"), "removals")
-    work.drop("texts", "repeated", "contexts", "large", "spans", *(f"live{n}" for n in STEPS), *(name for _, name, _ in index.levels), *(f"repeats{i}" for i in range(batches)))
+    index.drop()
+    work.drop("texts", "repeated", "contexts", "large", "spans", *(f"live{n}" for n in STEPS))
     return out
 
 

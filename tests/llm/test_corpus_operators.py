@@ -95,14 +95,23 @@ def test_suffix_dedup(docs, monkeypatch, group, batches):
 def test_suffix_index_levels(docs, spark):
     from tallyspark.llm.store import Workspace
 
-    texts = docs([(i, prose(120)) for i in range(60)], extra=False).select(F.unhex(F.md5("text")).alias("digest"), "text").cache()
+    shared = prose(90)
+    rows = [(i, prose(120)) for i in range(60)] + [(100, shared + "x"), (101, "y" + shared)]
+    texts = docs(rows, extra=False).select(F.unhex(F.md5("text")).alias("digest"), "text").cache()
+    batches = [texts.where(F.pmod(F.xxhash64("digest"), F.lit(8)) == i) for i in range(8)]
     index = suffix_dedup.SuffixIndex(Workspace(spark, "test"))
-    ranks = []
-    for i in range(8):
-        index.add(texts.where(F.pmod(F.xxhash64("digest"), F.lit(8)) == i))
-        ranks.append([r for r, _, _ in index.levels])
-    assert ranks[:4] == [[0], [0, 0], [1, 0], [1, 0, 0]] and len(ranks[-1]) <= 4
-    assert sum(level.count() for _, _, level in index.levels) == suffix_dedup.entries(texts).count()
+    total = 0
+    for b in batches:
+        index.add(b)
+        total += suffix_dedup.entries(b).count()
+        sizes = [x.size for x in index.levels]
+        assert sum(sizes) == total == sum(x.array.count() for x in index.levels)
+        assert all(older >= 2 * newer for older, newer in zip(sizes, sizes[1:-1], strict=False))  # all but the newest have merged
+        assert all(x.directory.agg(F.sum("n")).first()[0] == x.size for x in index.levels)
+    every = suffix_dedup.entries(texts).groupBy("fp").count().where("count > 1").select("fp")
+    assert {r["fp"] for r in index.repeated().collect()} == {r["fp"] for r in every.collect()} != set()
+    index.drop()
+    assert index.levels == []
 
 
 def test_suffix_strip_keeps_characters(docs):
