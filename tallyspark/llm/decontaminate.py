@@ -10,7 +10,8 @@ Items shorter than a window are one window of their own length; documents are se
 such length, which costs nothing where no item is short.
 
 Defined results: a null text has no words; an item without words matches nothing; a null item_id is left out of the
-list of items but its windows still hit; equal texts share one result; empty tables give no hits.
+list of items but its windows still hit; equal texts share one result; long texts are searched whole; columns of ``docs`` named n_words, n_hit, items or
+contaminated are replaced by :func:`report`, others stay; empty tables give no hits.
 """
 
 from __future__ import annotations

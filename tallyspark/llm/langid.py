@@ -6,7 +6,8 @@ frequent grams of the difference of ranks, ``size`` where the profile lacks the
 first by code point on a tie; ``score`` is 1 - distance / largest possible distance.
 
 Defined results: a null text or one without letters is ``und`` with score 0, as is every text when nothing could be
-learned; rows with a null language or null text teach nothing; repeated rows count as often as they occur.
+learned; rows with a null language or null text teach nothing; repeated rows count as often as they occur; long texts are ranked whole; columns of
+``docs`` named lang_pred or score are replaced, others stay; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -67,7 +68,8 @@ def gram_counts(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     mask = (1 << _BITS) - 1
     inside = ((t >> _BITS) & mask) != _BLANK
     letters = u != _BLANK
-    return np.concatenate((u[letters], b, t[inside])), np.concatenate((nu[letters], nb, n[inside]))
+    word = b != (_BLANK << _BITS | _BLANK)  # where one text ends and the next begins
+    return np.concatenate((u[letters], b[word], t[inside])), np.concatenate((nu[letters], nb[word], n[inside]))
 
 
 def top_grams(points: np.ndarray, size: int) -> np.ndarray:

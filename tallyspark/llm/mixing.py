@@ -7,7 +7,8 @@ fixed, a smaller budget takes a subset of what a larger one takes.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; rows that agree in all
 key columns share a hash and are taken together; a source's last document is taken when that brings it nearer to its
-target; a source without words has target 0; an empty table gives an empty table.
+target; a source without words has target 0; long texts are counted whole; columns of ``docs`` named size, source_size, target, copies or taken
+are replaced, others stay; an empty table gives an empty table.
 """
 
 from __future__ import annotations

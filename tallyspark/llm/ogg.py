@@ -7,7 +7,8 @@ over pages), separates the logical streams and derives time stamps from the gran
 
 Defined results: a null text counts as empty; an empty text gives one padding unit of 192 blanks; a damaged stream
 raises ``ValueError`` in :func:`read_pages`. Rows are handled one by one inside Arrow batches, so repeated rows, ties
-in the key and extra columns have no influence; an empty table gives an empty table.
+in the key and extra columns have no influence; texts of any length are stored whole, one at a time; the key is of any type; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -170,7 +171,7 @@ def media_column(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                 names=["key", "n_bytes", "media"],
             )
 
-    return _keyed(docs, key, text).mapInArrow(run, "key long, n_bytes long, media binary").withColumnRenamed("key", key)
+    return _keyed(docs, key, text).mapInArrow(run, f"key {_kind(docs, key)}, n_bytes long, media binary").withColumnRenamed("key", key)
 
 
 def packet_table(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
@@ -183,7 +184,7 @@ def packet_table(media: DataFrame, key: str = "doc_id", column: str = "media") -
                     n = len(packets)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([k.as_py()] * n, pa.int64()),
+                            pa.array([k.as_py()] * n, k.type),
                             pa.array([serial] * n, pa.int64()),
                             pa.array(range(n), pa.int64()),
                             pa.array([None if g is None else g / RATE for g, _ in packets], pa.float64()),
@@ -192,8 +193,8 @@ def packet_table(media: DataFrame, key: str = "doc_id", column: str = "media") -
                         names=["key", "serial", "packet", "seconds", "data"],
                     )
 
-    rows = media.select(F.col(key).cast("long").alias("key"), F.col(column).alias("media"))
-    schema = "key long, serial long, packet long, seconds double, data binary"
+    rows = media.select(F.col(key).alias("key"), F.col(column).alias("media"))
+    schema = f"key {_kind(media, key)}, serial long, packet long, seconds double, data binary"
     return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
@@ -214,7 +215,7 @@ def round_trip(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=names)
 
     names = ["key", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    schema = "key long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = f"key {_kind(docs, key)}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return _keyed(docs, key, text).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
@@ -223,5 +224,9 @@ def pad(raw: bytes) -> bytes:
     return raw + b" " * (-len(raw) % UNIT if raw else UNIT)
 
 
+def _kind(docs: DataFrame, key: str) -> str:
+    return docs.select(F.col(key).alias("key")).schema["key"].dataType.simpleString()
+
+
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    return docs.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"))
+    return docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("raw"))

@@ -6,8 +6,9 @@ documents, from what is expected of any labeller and with no labelled row. The p
 scorer over hashed byte trigrams is fitted, from a sample of about ``SAMPLE`` documents drawn by hash; it scores all.
 
 Defined results: a null or blank text has posterior and score 0 and isn't kept; repeated rows get equal results and count
-as often as they occur; without any votes against each other the posterior is the labellers' majority; an empty table
-gives an empty table.
+as often as they occur; without any votes against each other the posterior is the labellers' majority; long texts are read whole, by slices of
+rows; the sample's size is bounded by 2 x ``SAMPLE`` in order of hash, so reruns agree; only the key of ``docs`` is returned, other columns have no
+influence; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -183,8 +184,10 @@ def classify(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: i
                 vectors = [(np.bincount(b := trigram_buckets(r), minlength=BUCKETS) / len(b)).astype(np.float32).tobytes() for r in raw]
                 yield pa.RecordBatch.from_arrays([pa.array(labels), pa.array(vectors, pa.binary())], names=["label", "x"])
 
-        drawn = F.pmod(F.xxhash64("key", "raw"), F.lit(1 << 30)) < int(min(1.0, sample / total) * (1 << 30))
-        drawn_rows = rows.where(drawn & (F.trim(F.col("raw").cast("string")) != "")).mapInArrow(features, "label double, x binary").limit(2 * sample).collect()
+        hashed = F.xxhash64("key", "raw")
+        drawn = F.pmod(hashed, F.lit(1 << 30)) < int(min(1.0, sample / total) * (1 << 30))
+        chosen = rows.where(drawn & (F.trim(F.col("raw").cast("string")) != "")).orderBy(hashed).limit(2 * sample)
+        drawn_rows = chosen.mapInArrow(features, "label double, x binary").collect()
         if drawn_rows:
             drawn_rows.sort(key=lambda r: (r["x"], r["label"]))
             x = np.stack([np.frombuffer(r["x"], np.float32) for r in drawn_rows]).astype(float)

@@ -18,8 +18,8 @@ window by window within their gram: groups of up to ``GROUP`` contexts in one ta
 windows, which are counted by a shuffle and split where they agree in part. As the windows of one anchor all contain it, what they cover is one span.
 
 Defined results: a null text counts as empty; texts shorter than ``LENGTH`` lose nothing; equal texts are indexed once
-and, if long enough, lose everything; texts are identified by their MD5, whatever the rows' other columns; empty
-tables give empty tables.
+and, if long enough, lose everything; texts are identified by their MD5, whatever the rows' other columns; columns of ``docs`` named n_removed,
+spans or kept are replaced, others stay; empty tables give empty tables.
 """
 
 from __future__ import annotations
