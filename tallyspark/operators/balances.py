@@ -21,13 +21,13 @@ def balance_gaps(monthly: DataFrame, annual_months: DataFrame | None = None, acc
     known = each.where("next_month is not null and closing is not null and next_opening is not null")
     same = balances_match(F.col("closing"), F.col("next_opening"), tolerance)
     adjacent = F.add_months("month", 1) == F.col("next_month")
-    broken = known.where(adjacent & ~same).select(account, F.explode(F.array("month", "next_month")).alias("m"), F.lit("discontinuity").alias("status"))
-    missing = known.where(~adjacent).select(
-        account,
-        F.explode(months_between(F.add_months("month", 1), F.add_months("next_month", -1))).alias("m"),
-        F.when(same, "matched").otherwise("mismatched").alias("status"),
-    )
+    said = lambda m, status: F.struct(m.alias("m"), F.lit(status).alias("status") if isinstance(status, str) else status.alias("status"))
+    broken = F.array(said(F.col("month"), "discontinuity"), said(F.col("next_month"), "discontinuity"))
+    between = months_between(F.add_months("month", 1), F.add_months("next_month", -1))
+    missing = F.transform(between, lambda m: said(m, F.when(same, "matched").otherwise("mismatched")))
+    # one row of the window says all that it knows, so the chain is sorted once
+    rows = known.select(account, F.explode(F.when(adjacent & ~same, broken).when(~adjacent, missing)).alias("x")).select(account, "x.m", "x.status")
     if annual_months is not None:
         covered = annual_months.select(F.col(account).alias("__a"), F.col("month").alias("__m"))
-        missing = missing.join(covered, (F.col(account) == F.col("__a")) & (F.col("m") == F.col("__m")), "left_anti")
-    return broken.unionByName(missing).select(account, month_key(F.col("m")).alias("month"), "status")
+        rows = rows.join(covered, (F.col(account) == F.col("__a")) & (F.col("m") == F.col("__m")) & (F.col("status") != "discontinuity"), "left_anti")
+    return rows.select(account, month_key(F.col("m")).alias("month"), "status")

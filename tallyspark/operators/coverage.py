@@ -31,17 +31,20 @@ def gap_balances(missing: DataFrame, monthly: DataFrame, account: str = "account
     """``missing`` (account, start, end) with before, after and balances_match.
 
     before is the closing balance of the monthly that ends the day before the gap, after the opening one of the first monthly that
-    starts behind it: a forward as-of match, as a range join on the account and the least start.
+    starts behind it: a forward as-of match. Statements and gaps are sorted together, once per account, from the last day back, and each gap takes what
+    was seen last.
     """
-    m = monthly.select(F.col(account).alias("__a"), F.col("start").alias("__s"), F.col("end").alias("__e"), F.col("opening").alias("__o"), F.col("closing").alias("__c"))
-    keys = [account, "start", "end"]
-    joined = missing.join(m, (F.col(account) == F.col("__a")) & ((F.col("__s") > F.col("end")) | (F.col("__e") == F.date_sub("start", 1))), "left")
-    behind, ahead = F.col("__e") == F.date_sub("start", 1), F.col("__s") > F.col("end")
-    found = joined.groupBy(*keys).agg(
-        F.min_by(F.struct("__c"), F.when(behind, F.struct("__s", "__e", "__c"))).alias("b"),
-        F.min_by(F.struct("__o"), F.when(ahead, F.struct("__s", "__e", "__o"))).alias("a"),
-    )
-    return found.select(*keys, F.col("b.__c").alias("before"), F.col("a.__o").alias("after"), balances_match(F.col("b.__c"), F.col("a.__o"), tolerance).alias("balances_match"))
+    ends = monthly.groupBy(F.col(account).alias("__a"), F.date_add("end", 1).alias("__day")).agg(F.min_by(F.struct("closing"), F.struct("start", "end", "closing")).alias("__b"))
+    found = missing.join(ends, (F.col(account) == F.col("__a")) & (F.col("start") == F.col("__day")), "left").drop("__a", "__day")
+    none = F.lit(None)
+    statements = monthly.select(F.col(account).alias("a"), F.col("start").alias("d"), F.lit(False).alias("gap"), F.col("end").alias("e"), F.struct(F.col("opening").alias("o")).alias("open"), none.alias("g"))
+    gaps_ = found.select(F.col(account).alias("a"), F.col("end").alias("d"), F.lit(True).alias("gap"), none.cast("date").alias("e"), none.cast(statements.schema["open"].dataType).alias("open"), F.struct("start", "end", F.col("__b.closing").alias("before")).alias("g"))
+    both = statements.withColumn("g", none.cast(gaps_.schema["g"].dataType)).unionByName(gaps_)
+    # of statements that start on one day the one with the smallest end, then opening, is seen last; a gap that ends on that day comes before them
+    back = Window.partitionBy("a").orderBy(F.desc("d"), F.desc("gap"), F.desc_nulls_last("e"), F.desc_nulls_last("open.o")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("after", F.last("open", ignorenulls=True).over(back)).where("gap")
+    out = seen.select(F.col("a").alias(account), "g.start", "g.end", "g.before", F.col("after.o").alias("after"))
+    return out.withColumn("balances_match", balances_match(F.col("before"), F.col("after"), tolerance))
 
 
 def roll_up(periods: DataFrame, account: str = "account") -> DataFrame:

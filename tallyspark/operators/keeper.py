@@ -48,10 +48,11 @@ def keep_pdf(files: DataFrame, within: list[str]) -> DataFrame:
     digest, wins; several or weak collapse keys are ambiguous; the richest, then the latest mail, and a tie is ambiguous.
     """
     unique = first_of_digest(files, within)
-    usable = unique.where("manual or not excluded").withColumns({"rank": source_rank(F.col("source")), "rich": richness(unique), "ck": collapse_key(unique)})
+    # files that can't be used stay as rows, so that a period of which every file is excluded is rejected in the same grouping
+    usable = unique.withColumns({"usable": F.col("manual") | ~F.col("excluded"), "rank": source_rank(F.col("source")), "rich": richness(unique), "ck": collapse_key(unique)})
     usable = usable.withColumn("weak", (F.col("ck.kind") == "identity") & F.coalesce("ck.a", "ck.b", "ck.c", "ck.d", "ck.e").isNull())
     w = Window.partitionBy(*within)
-    listed = F.col("included") | ~F.col("has_markers")
+    listed = F.col("usable") & (F.col("included") | ~F.col("has_markers"))
     stepped = usable.withColumn("best", F.min(F.when(listed, F.col("rank"))).over(w))
     finalist = listed & (F.col("rank") == F.col("best"))
     marked = stepped.withColumn("final", finalist)
@@ -62,8 +63,8 @@ def keep_pdf(files: DataFrame, within: list[str]) -> DataFrame:
     latest = at_top & (F.col("mail_date") == F.col("last_mail"))
     sums = per.groupBy(*within).agg(
         F.max(F.when(F.col("manual"), F.col("path"))).alias("manual_path"),
-        F.max("path").alias("last_path"),
-        F.bool_or("has_markers").alias("has_markers"),
+        F.max(F.when(F.col("usable"), F.col("path"))).alias("last_path"),
+        F.bool_or(F.when(F.col("usable"), F.col("has_markers"))).alias("has_markers"),
         F.count_if(F.col("final")).alias("n_final"),
         F.max(F.when(F.col("final"), F.col("path"))).alias("final_path"),
         F.count_distinct(F.when(F.col("final"), F.to_json("ck"))).alias("n_keys"),
@@ -88,10 +89,7 @@ def keep_pdf(files: DataFrame, within: list[str]) -> DataFrame:
         .when(F.col("n_latest") == 1, prepared("latest_path"))
         .otherwise(ambiguous)
     )
-    chosen = sums.select(*within, decided.alias("d")).select(*within, "d.outcome", "d.keeper_path")
-    # periods of which every file is excluded
-    every = files.select(*within).distinct()
-    return every.join(chosen, within, "left").withColumn("outcome", F.coalesce("outcome", F.lit("rejected")))
+    return sums.select(*within, decided.alias("d")).select(*within, "d.outcome", "d.keeper_path")
 
 
 def keep_csv(files: DataFrame, within: list[str]) -> DataFrame:
