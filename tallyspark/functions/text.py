@@ -228,7 +228,31 @@ def drop_block(text: Column | str, header: str, until: str) -> Column:
 def is_green(color: Column) -> Column:
     """Whether a glyph's colour (gray, RGB or CMYK parts from 0 to 1) is green, as credits are printed."""
     part = lambda i: F.get(color, F.lit(i))
-    cmyk = F.array(*((1 - part(i)) * (1 - part(3)) for i in range(3)))
+    cmyk = F.array(*(1 - F.least(F.lit(1.0), part(i) + part(3)) for i in range(3)))
     rgb = F.when(F.size(color) == 4, cmyk).when(F.size(color) == 3, color).otherwise(F.array(part(0), part(0), part(0)))
     r, g, b = (F.get(rgb, F.lit(i)) for i in range(3))
-    return F.coalesce((g > r + 0.1) & (g > b + 0.1), F.lit(False))
+    return F.coalesce((g >= 0.25) & (g > r + 0.08) & (g > b + 0.08), F.lit(False))
+
+
+def mark_amounts(text: Column | str, credits: Column) -> Column:
+    """Amounts in rupees on transaction lines with Cr or Dr behind them, as ``credits`` says of all amounts of the text in reading order.
+
+    Amounts on other lines use up their flag; an amount beyond the flags is a debit, and one that is marked already stays.
+    """
+    amount = r"(?i)Rs\.?\s*-?[\d,]*\d(?:\.\d+)?"
+    begin = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
+
+    def rebuilt(x: Column, n: Column) -> Column:
+        gaps = F.split(x, amount)
+
+        def mark(word: Column, i: Column) -> Column:
+            marked = F.get(gaps, i + 1).rlike(r"(?i)^\s*(?:Cr|Dr)\b")
+            return F.concat(F.get(gaps, i), word, F.when(marked, "").otherwise(F.when(F.coalesce(F.get(credits, n + i), F.lit(False)), " Cr").otherwise(" Dr")))
+
+        return F.concat(F.array_join(F.transform(F.regexp_extract_all(x, F.lit(amount), F.lit(0)), mark), ""), F.element_at(gaps, -1))
+
+    def step(acc: Column, x: Column) -> Column:
+        line = F.when(x.rlike(r"^\s*\d{1,2}\s+[A-Za-z]{3}\s+\d{2,4}\b") & x.rlike(amount), rebuilt(x, acc["n"])).otherwise(x)
+        return F.struct((acc["n"] + F.regexp_count(x, F.lit(amount))).alias("n"), F.concat(acc["out"], F.array(line)).alias("out"))
+
+    return unlines(F.aggregate(lines(text), begin, step)["out"])

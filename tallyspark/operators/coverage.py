@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.amounts import TOLERANCE, balances_match
+from tallyspark.functions.periods import month_key, months_between
 
 
 def segments(periods: DataFrame, account: str = "account") -> DataFrame:
@@ -48,8 +49,10 @@ def gap_balances(missing: DataFrame, monthly: DataFrame, account: str = "account
 
 
 def roll_up(periods: DataFrame, account: str = "account") -> DataFrame:
-    """One row per account: bounds, segments and gaps in order."""
+    """One row per account: bounds, segments and gaps in order, the months that are covered, and how many periods, and approximate ones, there are."""
     s = segments(periods, account)
     inner = s.groupBy(account).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.collect_list(F.struct("start", "end", "approximate"))).alias("segments"), F.sum("periods").alias("count"))
+    months = periods.select(account, "approximate", months_between(F.col("start"), F.col("end")).alias("m")).groupBy(F.col(account).alias("__m"))
+    months = months.agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("m", month_key))))).alias("months"), F.count_if("approximate").alias("n_approximate"))
     g = gaps(s, account).groupBy(F.col(account).alias("__a")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("gaps"))
-    return inner.join(g, F.col(account) == F.col("__a"), "left").drop("__a")
+    return inner.join(months, F.col(account) == F.col("__m"), "left").join(g, F.col(account) == F.col("__a"), "left").drop("__a", "__m")

@@ -47,7 +47,7 @@ RULES = {
         LineRule("two_dates", rf"(?i)^\s*(\d{{2}}-[A-Z]{{3}}-\d{{4}})\s+\d{{2}}-[A-Z]{{3}}-\d{{4}}\s+(.+?)\s+{_AMOUNT}(?:\s+(Cr))?\s*$", 1, 2, 3, 4, skip=r"(?i)nil transaction"),
         LineRule("hdfc_annual", rf"(?i)^(\d{{1,2}}-[A-Z]{{3}}-\d{{4}})\s+(.+?)\s+{_AMOUNT}\s+(DR|CR)\b.*$", 1, 2, 3, 4),
         LineRule("hdfc_monthly", rf"^\s*(\d{{1,2}}/\d{{1,2}}/\d{{4}})(?:\s+\d{{1,2}}:\d{{2}}:\d{{2}})?\s+(.+?)\s+{_AMOUNT}\s*(Cr|CR|Dr|DR)?\s*$", 1, 2, 3, 4),
-        LineRule("marked", rf"(?i)^\s*{_DATE}\s+(.+?)\s+{_AMOUNT}\s+(Cr|Dr)\s*$", 1, 2, 3, 4),
+        LineRule("marked", rf"(?i)^\s*{_DATE}\s+(.+?)\s+{_AMOUNT}\s+(Cr|Dr)\s*$", 1, 2, 3, 4, skip=r"(?i)nil transaction"),
     )
 }
 

@@ -43,3 +43,8 @@ def with_fallback(accounts: DataFrame, rules: DataFrame, bank: str = "bank", var
     default = rules.where("variant = 'default'").select(F.col("bank").alias("__d"), F.col("rule").alias("__default"))
     joined = accounts.join(exact, (F.col(bank) == F.col("__b")) & (F.col(variant) == F.col("__v")), "left").join(default, F.col(bank) == F.col("__d"), "left")
     return joined.withColumn("rule", F.coalesce("__exact", "__default")).drop("__b", "__v", "__exact", "__d", "__default")
+
+
+def all_sources(annual: DataFrame, monthly: DataFrame) -> DataFrame:
+    """Annual sources (account, start, end, ..) and the monthly ones that none of them covers, as one table."""
+    return annual.unionByName(outside_annual(monthly, annual), allowMissingColumns=True)

@@ -148,3 +148,29 @@ def balances_as_printed(spark: SparkSession, sf_dir: str) -> DataFrame:
     right = F.when(kind == 0, F.concat(F.lit("Rs. "), money)).when(kind == 1, F.format_number(F.col("amount") + F.lit("0.21").cast("decimal(18,2)"), 2)).when(kind == 2, "n/a").otherwise(F.format_number(F.col("amount") + 1, 2))
     return orders(spark, sf_dir).select("ref", run.same_balance(left, right).alias("same"))
 
+
+@query(f"""with {ORDERS_SQL} select ref, '05 Jan 2024 A Rs. ' || amount || case when ref % 2 = 0 then ' Cr' else ' Dr' end as first_line, '  05 Jan 24 B Rs. 2.00 Dr' as last_line from orders_t""")
+def amounts_by_colour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts of transaction lines are marked by the colours of all amounts; one on another line uses up its own, one has its mark already."""
+    shown = F.concat(F.lit("Total Rs. 9.00\n05 Jan 2024 A Rs. "), F.col("amount"), F.lit("\n  05 Jan 24 B Rs. 2.00 Dr"))
+    green, red = F.array(F.lit(0.1), F.lit(0.6), F.lit(0.1)), F.array(F.lit(0.0), F.lit(0.9), F.lit(0.9), F.lit(0.2))
+    colours = F.array(green, F.when(F.col("ref") % 2 == 0, green).otherwise(red), green)
+    rows = text.lines(text.mark_amounts(shown, F.transform(colours, text.is_green)))
+    return orders(spark, sf_dir).select("ref", F.get(rows, F.lit(1)).alias("first_line"), F.get(rows, F.lit(2)).alias("last_line"))
+
+
+@query(f"""with {ORDERS_SQL} select ref, 'keep ' || ref || chr(10) || 'Total ' || ref as text from orders_t""")
+def dropped_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a header line to the line before the total."""
+    shown = F.concat(F.lit("keep "), F.col("ref"), F.lit("\nOffers\nx\ny 1\nTotal "), F.col("ref"))
+    return orders(spark, sf_dir).select("ref", text.drop_block(shown, "Offers", "^Total").alias("text"))
+
+
+@query(f"""with {ORDERS_SQL}, p as (select account, date_trunc('month', day)::date as s, last_day(day) as e, ref % 3 = 0 as approximate from orders_t)
+select account, min(s) as "start", max(e) as "end", count(distinct s) as months, count(*) filter (approximate) as n_approximate from p group by account""")
+def coverage_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is covered of each account: bounds, months, and how many periods are estimated."""
+    from tallyspark.operators import coverage
+
+    o = orders(spark, sf_dir).select("account", F.trunc("day", "MM").alias("start"), F.last_day("day").alias("end"), (F.col("ref") % 3 == 0).alias("approximate"))
+    return coverage.roll_up(o).select("account", "start", "end", F.size("months").cast("long").alias("months"), "n_approximate")

@@ -22,6 +22,14 @@ def write_transactions(transactions: DataFrame, path: str, keys: list[str]) -> N
     rows.repartition(*keys).sortWithinPartitions(*keys, "date", "file", "ref", "description").write.mode("overwrite").partitionBy(*keys).option("header", True).csv(path)
 
 
+def keep_fields(metadata: DataFrame, current: DataFrame, key: str, kept: tuple[str, ...] = ("last_fetch_date",)) -> DataFrame:
+    """``metadata`` with the fields of ``current`` that a refresh must not lose."""
+    old = current.select(F.col(key).alias("__k"), *(F.col(c).alias(f"__{c}") for c in kept))
+    joined = metadata.join(old, F.col(key) == F.col("__k"), "left")
+    own = {c: F.coalesce(c, f"__{c}") if c in metadata.columns else F.col(f"__{c}") for c in kept}
+    return joined.withColumns(own).drop("__k", *(f"__{c}" for c in kept))
+
+
 def write_metadata(metadata: DataFrame, path: str) -> None:
     metadata.write.mode("overwrite").json(path)
 
