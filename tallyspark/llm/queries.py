@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import decontaminate, html_text, langid, mixing, near_dup, ogg, preference, quality, suffix_dedup, unit_dedup
+from tallyspark.llm import decontaminate, filter_audit, html_text, importance, langid, mixing, near_dup, ogg, preference, quality, simhash, suffix_dedup, unit_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,8 +77,24 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(rows, profiles).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("key").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.classes(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_mix, op2_suffixes, op3_preference, op4_quality, op5_ogg, op6_decontaminate, op7_lines, op8_main_text, op9_near_dups, op10_language)
+    found = (
+        op1_mix, op2_suffixes, op3_preference, op4_quality, op5_ogg, op6_decontaminate, op7_lines, op8_main_text, op9_near_dups, op10_language,
+        op11_importance, op12_filter_audit, op13_simhash,
+    )
     return {f.__name__: f for f in found}
 
 
@@ -190,6 +206,77 @@ select doc_id, coalesce(len(w), 0)::bigint as n_words, coalesce(n_hit, 0)::bigin
 from dw left join hit using (rid) left join listed using (rid)
 """
 
+_OP11 = r"""
+with recursive crc_bits as (  -- the table of the reflected polynomial 0xEDB88320, from its rule
+  select i, 0 as k, i::bigint as c from range(256) t(i)
+  union all
+  select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from crc_bits where k < 8
+), crc as (select list(c order by i) as tab from crc_bits where k = 8),
+words as (
+  select 'd' as side, rid, w from (select row_number() over () as rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from docs)
+  union all
+  select 'b', 0, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark
+), docs as (select *, row_number() over () as rid from documents),
+features as (
+  select side, rid, f, count(*)::bigint as n from (
+    select side, rid, unnest(w || [w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) as f from words
+  ) group by all
+), vocabulary as (
+  select f, xor(list_reduce([4294967295::bigint] || [('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::bigint for i in range(octet_length(encode(f)))],
+                            (c, b) -> xor(c >> 8, tab[xor(c, b) & 255 + 1])), 4294967295) % 10000 as bucket
+  from (select distinct f from features), crc
+), cells as (
+  select side, rid, bucket, sum(n)::bigint as n from features join vocabulary using (f) group by all
+), sums as (
+  select bucket, coalesce(sum(n) filter (side = 'd'), 0)::bigint as s, coalesce(sum(n) filter (side = 'b'), 0)::bigint as t from cells group by bucket
+), gains as (
+  select bucket, floor(1000 * ln((t + 1)::double * (sum(s) over () + 10000)::double / ((s + 1)::double * (sum(t) over () + 10000)::double)))::bigint as gain from sums
+), means as (
+  select rid, sum(n)::bigint as n_features, (sum(n * gain) // 1)::hugeint as total from cells join gains using (bucket) where side = 'd' group by rid
+), scored as (
+  select d.doc_id, d.rid, coalesce(n_features, 0)::bigint as n_features, len(w) as n_words,
+         coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0)::bigint as weight,
+         floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(d.doc_id::varchar, '')), 1, 8))::bigint + 0.5::double) / 4294967296::double)))::bigint as noise
+  from docs d join (select rid, w from words where side = 'd') using (rid) left join means using (rid)
+), placed as (
+  select *, weight + noise as score, row_number() over (partition by n_words >= 20 order by weight + noise desc, doc_id nulls last, n_features, weight) as place,
+         count(*) filter (n_words >= 20) over () as able
+  from scored
+)
+select doc_id, n_features, weight, score, case when n_words >= 20 and place <= 25 * able // 100 then place::bigint end as rank from placed
+"""
+
+_OP12 = r"""
+with first as (select coalesce(text, '') as text, min(doc_id) as first from documents group by all),
+labelled as (
+  select d.doc_id, coalesce(d.source, '') as part, coalesce(d.text, '') as text,
+         exists (select 1 from labels l where l.doc_id = d.doc_id and l.quality = 1)::bigint as good,
+         exists (select 1 from labels l where l.doc_id = d.doc_id and l.toxic = 1)::bigint as toxic
+  from documents d
+), failing as (
+  select part, good, toxic, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * len(regexp_replace(text, '[^A-Z]+', '', 'g')) > 2 * len(text),
+                             regexp_matches(text, '[#$%&*|]'), coalesce(doc_id > first, false)] as fails
+  from (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w from labelled) join first using (text)
+), counts as (
+  select part, fails, count(*)::bigint as n, sum(good)::bigint as good, sum(toxic)::bigint as toxic from failing group by all
+), letters as (select unnest(range(1, 6)) as i),
+orders as (
+  select [a.i, b.i, c.i, d.i, e.i] as o from letters a, letters b, letters c, letters d, letters e
+  where len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+), steps as (
+  select part, o, step, n, good, toxic, fails[o[step]] as own, len(list_filter(o[1:step - 1], i -> fails[i])) > 0 as early, len(list_filter(fails, f -> f)) = 1 as alone
+  from counts, orders, (select unnest(range(1, 6)) as step)
+), summed as (
+  select part, o, step, coalesce(sum(n) filter (not early and not own), 0)::bigint as kept, coalesce(sum(n) filter (own and not early), 0)::bigint as removed,
+         coalesce(sum(n) filter (own and early), 0)::bigint as redundant, coalesce(sum(n) filter (own and alone), 0)::bigint as unique_fails,
+         coalesce(sum(good) filter (own and not early), 0)::bigint as good_lost, coalesce(sum(toxic) filter (own and not early), 0)::bigint as toxic_lost
+  from steps group by all
+)
+select part, array_to_string([substr('ABCDE', i::bigint, 1) for i in o], '') as filter_order, step::integer as step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) over (partition by part, o[step]))::bigint as shapley
+from summed
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix": _OP1, "op3_preference": _OP3, "op6_decontaminate": _OP6}
+    return {"op1_mix": _OP1, "op3_preference": _OP3, "op6_decontaminate": _OP6, "op11_importance": _OP11, "op12_filter_audit": _OP12}
