@@ -212,18 +212,19 @@ with recursive crc_bits as (  -- the table of the reflected polynomial 0xEDB8832
   union all
   select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from crc_bits where k < 8
 ), crc as (select list(c order by i) as tab from crc_bits where k = 8),
+docs as (select *, row_number() over () as rid from documents),
 words as (
-  select 'd' as side, rid, w from (select row_number() over () as rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from docs)
+  select 'd' as side, rid, w from (select rid, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from docs)
   union all
   select 'b', 0, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark
-), docs as (select *, row_number() over () as rid from documents),
+),
 features as (
   select side, rid, f, count(*)::bigint as n from (
     select side, rid, unnest(w || [w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) as f from words
   ) group by all
 ), vocabulary as (
   select f, xor(list_reduce([4294967295::bigint] || [('0x' || substr(hex(encode(f)), 2 * i + 1, 2))::bigint for i in range(octet_length(encode(f)))],
-                            (c, b) -> xor(c >> 8, tab[xor(c, b) & 255 + 1])), 4294967295) % 10000 as bucket
+                            lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 10000 as bucket
   from (select distinct f from features), crc
 ), cells as (
   select side, rid, bucket, sum(n)::bigint as n from features join vocabulary using (f) group by all
@@ -232,7 +233,7 @@ features as (
 ), gains as (
   select bucket, floor(1000 * ln((t + 1)::double * (sum(s) over () + 10000)::double / ((s + 1)::double * (sum(t) over () + 10000)::double)))::bigint as gain from sums
 ), means as (
-  select rid, sum(n)::bigint as n_features, (sum(n * gain) // 1)::hugeint as total from cells join gains using (bucket) where side = 'd' group by rid
+  select rid, sum(n)::bigint as n_features, sum(n * gain)::hugeint as total from cells join gains using (bucket) where side = 'd' group by rid
 ), scored as (
   select d.doc_id, d.rid, coalesce(n_features, 0)::bigint as n_features, len(w) as n_words,
          coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0)::bigint as weight,
@@ -264,7 +265,7 @@ orders as (
   select [a.i, b.i, c.i, d.i, e.i] as o from letters a, letters b, letters c, letters d, letters e
   where len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
 ), steps as (
-  select part, o, step, n, good, toxic, fails[o[step]] as own, len(list_filter(o[1:step - 1], i -> fails[i])) > 0 as early, len(list_filter(fails, f -> f)) = 1 as alone
+  select part, o, step, n, good, toxic, fails[o[step]] as own, len(list_filter(o[1:step - 1], lambda i: fails[i])) > 0 as early, len(list_filter(fails, lambda f: f)) = 1 as alone
   from counts, orders, (select unnest(range(1, 6)) as step)
 ), summed as (
   select part, o, step, coalesce(sum(n) filter (not early and not own), 0)::bigint as kept, coalesce(sum(n) filter (own and not early), 0)::bigint as removed,

@@ -336,7 +336,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component, that of the smallest key; rows without a key stay only where no row of their component has one."""
-    firsts = classes(docs, key, text).groupBy("component_id").agg(F.count(F.lit(1)).alias("n"))
-    stays = firsts.select(F.col("component_id").alias("__first"))
-    return docs.join(stays, F.col(key).eqNullSafe(F.col("__first")), "left_semi").dropDuplicates([key])
+    """Of each component the row with the smallest key. Rows of one key stay or go together, equal ones stay once; rows without a key stay."""
+    stays = classes(docs, key, text).select(F.col("component_id").alias("__first")).distinct()
+    named = docs.where(F.col(key).isNotNull()).join(stays, F.col(key) == F.col("__first"), "left_semi").dropDuplicates([key, text])
+    return named.unionByName(docs.where(F.col(key).isNull()))
