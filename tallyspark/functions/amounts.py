@@ -25,7 +25,7 @@ def parse_amount(text: Column | str) -> Column:
         credit, debit = t.rlike(r"(?i)\bCr\b"), t.rlike(r"(?i)\bDr\b")
         minus = t.rlike(r"^\(.*\)$") | F.contains(t, F.lit("-"))
         plain = F.regexp_replace(t, r"(?i)Rs\.?|INR|₹|\b(?:Cr|Dr)\b|(?<=\d)(?:CR|DR)$|^[rC](?=\s*\d)|[,()\s-]", "")
-        value = let(plain, lambda p: F.when(p.rlike(r"^\d+(\.\d+)?$"), p)).try_cast("decimal(38,6)").cast(MONEY)
+        value = let(plain, lambda p: F.when(p.rlike(r"^\d+(\.\d+)?$"), p)).try_cast("decimal(38,6)").try_cast(MONEY)  # a longer number is no amount
         return let(value, lambda v: F.when(credit, -F.abs(v)).when(debit, F.abs(v)).when(minus, -v).otherwise(v).cast(MONEY))
 
     return let(F.trim(_col(text)), read)

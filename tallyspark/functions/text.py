@@ -97,6 +97,82 @@ def drop_phrases(text: Column | str, phrases: list[str]) -> Column:
     return drop_blank_lines(out)
 
 
+# Lines that begin another section of a statement.
+BOUNDARIES = (
+    "IMPORTANT INFORMATION", "YOUR TRANSACTIONS", "STATEMENT SUMMARY", "Statement Summary", "MOST IMPORTANT TERMS AND CONDITIONS", "Domestic Transactions", "PREVIOUS STATEMENT DUES",
+    "Past Dues", "Account Summary", "TOTAL AMOUNT DUE", "Statement Date", "Billing Period",
+)
+SHORT_MARKER = 6  # words up to which a marker can be a heading
+CAPITALS = 0.8  # share of a heading's letters
+
+
+def _marker(marker: str, markers: list[str]) -> Column:
+    """A marker as data: the pattern of its words, whether it can be a heading, what ends its section, and the lines between which a long one lies."""
+    words = marker.split()
+    anchor, letters = " ".join(words), [c for c in marker if c.isalpha()]
+    heading = len(words) <= SHORT_MARKER and bool(letters) and sum(c.isupper() for c in letters) >= CAPITALS * len(letters)
+    ends = [anchor, *BOUNDARIES, *(m for m in markers if m != marker and m.strip())]
+    long = len(words) > SHORT_MARKER
+    parts = {
+        "pattern": r"\s+".join(re.escape(w) for w in words),
+        "anchor": anchor,
+        "ends": "|".join(re.escape(e) for e in ends),
+        "first": " ".join([words[0].lstrip("*"), *words[1:5]]) if long else anchor,
+        "last": " ".join(words[-4:]) if long else anchor,
+        "heading": heading,
+    }
+    return F.struct(*(F.lit(v).alias(k) for k, v in parts.items()))
+
+
+def _between(rows: Column, begins: Callable[[Column], Column], ends: Callable[[Column], Column], inclusive: bool) -> Column:
+    """``rows`` without a section, as text; null if it doesn't occur.
+
+    A fold over the lines, whose state is the section's first line and its end: inclusive, the last line from the first one on that ends it; else
+    the next line that begins another section, or the end of the text.
+    """
+    begin = F.struct(F.lit(0).alias("at"), F.lit(-1).alias("first"), F.lit(-1).alias("end"))
+
+    def step(s: Column, x: Column) -> Column:
+        opened = F.when((s["first"] < 0) & begins(x), s["at"]).otherwise(s["first"])
+        closed = (opened >= 0) & ends(x) if inclusive else (s["first"] >= 0) & (s["end"] < 0) & ends(x)
+        return F.struct((s["at"] + 1).alias("at"), opened.alias("first"), F.when(closed, s["at"]).otherwise(s["end"]).alias("end"))
+
+    def cut(s: Column) -> Column:
+        after = s["end"] + 1 if inclusive else F.when(s["end"] < 0, s["at"]).otherwise(s["end"])
+        kept = F.concat(F.slice(rows, 1, s["first"]), F.slice(rows, after + 1, F.greatest(s["at"] - after, F.lit(0))))
+        there = (s["first"] >= 0) & (s["end"] >= 0) if inclusive else s["first"] >= 0
+        return F.when(there, unlines(F.filter(kept, lambda x: F.trim(x) != "")))
+
+    return let(F.aggregate(rows, begin, step), cut)
+
+
+def drop_sections(text: Column | str, markers: list[str]) -> Column:
+    """``text`` without what the markers name, one marker after the other; blank lines go last.
+
+    A short marker in capitals that stands on a line of its own is a heading: it goes with the lines below it, up to a line that holds it again, another
+    marker or one of ``BOUNDARIES``. If that changes nothing, every occurrence of the marker's words goes, whatever white space is between them. If
+    that neither, a long marker is a block of lines, from the first line with its first words to the last with its last words.
+
+    The markers are data of one fold, so the expression doesn't grow with them.
+    """
+    known = [m for m in markers if m.split()]
+    if not known:
+        return drop_blank_lines(text)
+
+    def step(t: Column, m: Column) -> Column:
+        def of(rows: Column) -> Column:
+            shown = F.exists(rows, lambda x: F.upper(F.trim(x)) == F.upper(m["anchor"]))
+            section = F.when(m["heading"] & shown, _between(rows, lambda x: F.contains(x, m["anchor"]), lambda x: F.rlike(x, m["ends"]), False))
+            words = F.regexp_replace(t, m["pattern"], F.lit(""))
+            block = _between(rows, lambda x: F.contains(x, m["first"]), lambda x: F.contains(x, m["last"]), True)
+            changed = lambda c: F.when(c != t, c)
+            return F.coalesce(changed(section), changed(words), changed(block), t)
+
+        return let(lines(t), of)
+
+    return drop_blank_lines(F.aggregate(F.array(*(_marker(m, known) for m in known)), _col(text), step))
+
+
 def label_pattern(label: str) -> str:
     """A pattern for a label whose letters may be doubled by the text layer, blanks between them."""
     words = ["".join(rf"{re.escape(c)}+\s*" for c in w) for w in label.split()]
@@ -225,6 +301,20 @@ def drop_block(text: Column | str, header: str, until: str) -> Column:
     return F.when(begin == 0, _col(text)).otherwise(unlines(F.concat(F.slice(rows, 1, F.greatest(begin - 1, F.lit(0))), tail)))
 
 
+def spans(text: Column | str, pattern: str) -> Column:
+    """(at, size) of every match, ``at`` from 0."""
+    t = _col(text)
+    found, between = F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), F.split(t, pattern)
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,size:int>>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        at = s["at"] + x["gap"]
+        return F.struct((at + x["size"]).alias("at"), F.concat(s["out"], F.array(F.struct(at.alias("at"), x["size"].alias("size")))).alias("out"))
+
+    each = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, gap: F.struct(F.length(gap).alias("gap"), F.length(m).alias("size")))
+    return F.aggregate(each, begin, step)["out"]
+
+
 def is_green(color: Column) -> Column:
     """Whether a glyph's colour (gray, RGB or CMYK parts from 0 to 1) is green, as credits are printed."""
     part = lambda i: F.get(color, F.lit(i))

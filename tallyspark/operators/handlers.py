@@ -326,7 +326,7 @@ def registry(spark: SparkSession) -> DataFrame:
 
 
 def clean(t: Column, name: str) -> Column:
-    """A statement's text as a layout wants it: cut to its markers, without odd characters and phrases that aren't data."""
+    """A statement's text as a layout wants it: cut to its markers, without odd characters and sections that aren't data."""
     rule = LAYOUTS[name]
     if name == "amazon":  # the earnings end the statement unless the spends come after them
         earnings, spends = [F.instr(t, m) for m in rule.trim_end], F.instr(t, "SPENDS OVERVIEW")
@@ -337,7 +337,7 @@ def clean(t: Column, name: str) -> Column:
         cut = F.when(invoice_is_late(t), text.trim_by_markers(t, ["Invoice No :"], list(rule.trim_end))).otherwise(text.trim_by_markers(t, [], list(rule.trim_end)))
     else:
         cut = text.trim_by_markers(t, list(rule.trim_start), list(rule.trim_end))
-    out = text.drop_phrases(text.sanitize(cut), list(rule.drop))
+    out = text.drop_sections(text.sanitize(cut), list(rule.drop))
     return text.label_column(out, rule.labels) if rule.labels else out
 
 

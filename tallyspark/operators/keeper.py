@@ -20,9 +20,9 @@ def source_rank(source: Column) -> Column:
 
 
 def first_of_digest(files: DataFrame, within: list[str], digest: str = "sha256", path: str = "path") -> DataFrame:
-    """Of the files of one content the one with the smallest path."""
-    w = Window.partitionBy(*within, digest).orderBy(path)
-    return files.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """Of the files of one content the one with the smallest path; copies are combined in each task before they meet."""
+    row = F.min_by(F.struct(*files.columns), F.col(path)).alias("row")
+    return files.groupBy(*(F.col(c).alias(f"__{c}") for c in (*within, digest))).agg(row).select("row.*")
 
 
 def collapse_key(files: DataFrame) -> Column:
