@@ -41,4 +41,4 @@ def upsert_statements(statements: DataFrame, path: str, keys: list[str]) -> None
 
 def changed(statements: DataFrame, current: DataFrame, keys: list[str], digest: str = "sha256") -> DataFrame:
     """``statements`` whose content isn't what ``current`` has already."""
-    return statements.join(current.select(*keys, digest), [*keys, digest], "left_anti")
+    return statements.join(current.select(*keys, digest).distinct(), [*keys, digest], "left_anti")
