@@ -65,7 +65,7 @@ def split_signed(amount: Column) -> tuple[Column, Column]:
     return split_direction(F.abs(amount), F.when(amount < 0, "CR").otherwise("DR"))
 
 
-def balances_match(left: Column, right: Column, tolerance: str = TOLERANCE) -> Column:
+def balances_match(left: Column, right: Column, tolerance: str | Column = TOLERANCE) -> Column:
     """Equal within the tolerance, which is included."""
     return F.abs(left - right) <= F.lit(tolerance).cast(MONEY)
 

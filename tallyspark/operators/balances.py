@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.amounts import TOLERANCE, balances_match
 from tallyspark.functions.periods import month_key, months_between
 
 
-def balance_gaps(monthly: DataFrame, annual_months: DataFrame | None = None, account: str = "account", tolerance: str = TOLERANCE) -> DataFrame:
+def balance_gaps(monthly: DataFrame, annual_months: DataFrame | None = None, account: str = "account", tolerance: str | Column = TOLERANCE) -> DataFrame:
     """(account, month, status) from ``monthly`` (account, month: date, opening, closing).
 
     Between neighbours a month apart, balances that differ give two rows, discontinuity, for both months. Months
     missing in between are matched or mismatched by the balances around them; an annual statement that covers one
-    removes it. A missing balance says nothing.
+    removes it. A missing balance says nothing. ``tolerance`` is an amount, or a column of ``monthly`` if accounts differ in it.
     """
     w = Window.partitionBy(account).orderBy("month")
     each = monthly.withColumns({"next_month": F.lead("month").over(w), "next_opening": F.lead("opening").over(w)})

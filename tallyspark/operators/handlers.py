@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -394,6 +395,22 @@ def read(t: Column, name: str, raw: Column | None = None) -> Column:
     return text.let(found, lambda h: text.let(text.let(ready, money), lambda m: both(h, m)))
 
 
+@cache
+def _cleaning(application: str, name: str, into: str) -> Column:
+    """What a layout makes of the column ``into``. Such an expression takes seconds to build and holds no data, so a session builds it once."""
+    return clean(F.col(into), name)
+
+
+@cache
+def _reading(application: str, name: str, into: str, raw: str) -> Column:
+    return read(F.col(into), name, F.col(raw))
+
+
+def reading(spark: SparkSession, name: str, into: str, raw: str) -> Column:
+    """:func:`read` of the columns ``into`` and ``raw``."""
+    return _reading(spark.sparkContext.applicationId, name, into, raw)
+
+
 def metadata(statements: DataFrame, banks: tuple[str, ...] | None = None, into: str = "text") -> tuple[DataFrame, DataFrame]:
     """(read, unread) of ``statements`` (bank, variant, .., text).
 
@@ -406,8 +423,9 @@ def metadata(statements: DataFrame, banks: tuple[str, ...] | None = None, into:
     names = sorted({h.layout for h in HANDLERS if banks is None or h.bank in banks})
     pick = lambda f: F.coalesce(*(F.when(F.col("layout") == n, f(n)) for n in names))
     mine = F.coalesce(F.col("layout").isin(names), F.lit(False))
-    cleaned = ruled.where(mine).withColumn("__raw", F.col(into)).withColumn(into, pick(lambda n: clean(F.col(into), n)))
-    found = cleaned.withColumn("__m", pick(lambda n: read(F.col(into), n, F.col("__raw"))))
+    application = statements.sparkSession.sparkContext.applicationId
+    cleaned = ruled.where(mine).withColumn("__raw", F.col(into)).withColumn(into, pick(lambda n: _cleaning(application, n, into)))
+    found = cleaned.withColumn("__m", pick(lambda n: reading(statements.sparkSession, n, into, "__raw")))
     found = found.withColumns({"tolerance": pick(lambda n: F.lit(LAYOUTS[n].tolerance)).cast("decimal(18,2)"), "fiscal": pick(lambda n: F.lit(LAYOUTS[n].fiscal))})
     columns = {"statement_date": "date", "period_start": "start", "period_end": "end", **{c: c for c in ("estimated", "annual", "opening", "closing", "reference")}}
     return found.withColumns({k: F.col(f"__m.{v}") for k, v in columns.items()}).drop("__m", "__raw"), ruled.where(~mine).drop("layout")

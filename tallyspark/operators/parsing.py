@@ -7,6 +7,7 @@ and projected in one scan; whole-text rules match over line ends instead.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -105,6 +106,12 @@ def first_of_each(rows: DataFrame, within: list[str], by: list[str], order: list
     return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+@cache
+def _by_rule(application: str, rule: str) -> Column:
+    """The CASE over all rules for the columns ``rule`` and line: built once in a session, as it holds no data."""
+    return F.coalesce(*(F.when(F.col(rule) == r.name, parsed(F.col("line"), r)) for r in RULES.values()))
+
+
 def apply_rules(statements: DataFrame, rule: str = "rule", text: str = "text") -> DataFrame:
     """Every statement by the rule that its ``rule`` column names, all in one scan: the rules are branches of a CASE."""
     rows = F.split(F.regexp_replace(F.col(text), r"\r\n?|\f", "\n"), "\n")
@@ -113,5 +120,4 @@ def apply_rules(statements: DataFrame, rule: str = "rule", text: str = "text") -
         if r.stop:
             kept = F.when(F.col(rule) == r.name, _before(rows, r.stop)).otherwise(kept)
     each = statements.select("*", F.posexplode(kept).alias("pos", "line")).drop(text)
-    one = F.coalesce(*(F.when(F.col(rule) == r.name, parsed(F.col("line"), r)) for r in RULES.values()))
-    return each.withColumn("t", one).where("t.date is not null").select("*", "t.*").drop("line", "t")
+    return each.withColumn("t", _by_rule(statements.sparkSession.sparkContext.applicationId, rule)).where("t.date is not null").select("*", "t.*").drop("line", "t")

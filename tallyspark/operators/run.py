@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,32 +10,28 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import amounts, periods
 from tallyspark.functions.text import eligible
-from tallyspark.operators import balances, coverage, handlers, keeper, registry
+from tallyspark.operators import balances, coverage, handlers, keeper, registry, selection
+from tallyspark.operators.stages import Hook, Stage, Stages, fingerprint
 from tallyspark.sources import sectioned
+from tallyspark.sources.shared import shared_dir
 
-#: Called with a step's name and the table it made; raising an error ends the run before the next step.
-Hook = Callable[[str, DataFrame], None]
+WITHIN = ["account", "key"]
+_HEAD = ["statement_date", "period_start", "period_end", "estimated", "annual", "opening", "closing", "reference", "tolerance"]
 
 
 @dataclass
 class Result:
-    """Tables of a run; they are computed when they are read."""
+    """Tables of a run, each of them written."""
 
-    decisions: DataFrame  # account, key, outcome, keeper_path
-    metadata: DataFrame  # one row per kept statement
+    decisions: DataFrame  # account, key, kind, outcome, keeper_path
+    metadata: DataFrame  # one row per period with a kept statement, and its formats
+    selected: DataFrame  # the sources that are parsed: account, key, kind, path
     transactions: DataFrame
     gaps: DataFrame  # account, month, status
     coverage: DataFrame  # account, start, end, segments, count, gaps
     alerts: DataFrame  # account, key, kind, files
-    unread: DataFrame  # kept statements of banks without a reader
-
-
-def read_once(files: DataFrame, read: Callable[[DataFrame], DataFrame], digest: str = "sha256") -> DataFrame:
-    """``files`` with the columns that ``read`` finds by digest: each content is read once, however many files have it."""
-    distinct = files.dropDuplicates([digest])
-    found = read(distinct)
-    new = [c for c in found.columns if c not in files.columns]
-    return files.join(found.select(F.col(digest).alias("__d"), *new), F.col(digest) == F.col("__d"), "left").drop("__d")
+    unread: DataFrame  # selected statements of banks without a reader
+    made: list[str]  # stages that were computed and not found
 
 
 def statement_keys(heads: DataFrame, name: str = "name") -> DataFrame:
@@ -52,7 +48,7 @@ def export_keys(exports: DataFrame, id_: str = "path", text: str = "text", name:
 
     By the content's statement period if it says one; else by the transactions: one billing cycle is a month, several are a fiscal year; else by the name.
     """
-    head = handlers.read(F.col(text), "icici")
+    head = handlers.reading(exports.sparkSession, "icici", text, text)
     said = exports.select(F.col(id_).alias("id"), F.col(name).alias("n"), head.alias("h"))
     rows = sectioned.rows(exports.select(id_, "anchor", text), text)
     cycle = periods.billing_cycle(F.col("date"), F.col("anchor"))
@@ -91,45 +87,126 @@ def annual_reconciliation(on_disk: DataFrame, summaries: DataFrame, account: str
     return joined.select(F.coalesce(account, "__a").alias(account), *(c.alias(n) for n, c in counts.items())).withColumn("agrees", F.col("on_disk") == F.col("visible"))
 
 
-def run(files: DataFrame, banks: tuple[str, ...] | None = None, only: DataFrame | None = None, hook: Hook | None = None) -> Result:
+def _heads(files: DataFrame, banks: tuple[str, ...] | None) -> DataFrame:
+    """(bank, variant, sha256, cleaned, head fields): every content is cleaned and read once for each layout that it is read by."""
+    own = ["bank", "variant", "sha256"]
+    distinct = files.where("kind = 'pdf'").select(*own, "text").dropDuplicates(own).withColumn("raw", F.col("text"))
+    found, _ = handlers.metadata(distinct, banks, into="text")
+    return found.select(*own, F.col("text").alias("cleaned"), *_HEAD)
+
+
+def _keyed(files: DataFrame, heads: DataFrame, anchor: Column) -> DataFrame:
+    """Files without their texts, with key, source, head fields, and what the markers of their account say."""
+    squeeze = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
+    barred = lambda x: F.coalesce(F.exists("text_not_contains", lambda m: (F.trim(m) != "") & F.contains(squeeze(x), squeeze(m))), F.lit(False))
+    h = heads.select(F.col("bank").alias("__b"), F.col("variant").alias("__v"), F.col("sha256").alias("__d"), "cleaned", *_HEAD)
+    same = (F.col("bank") == F.col("__b")) & F.col("variant").eqNullSafe(F.col("__v")) & (F.col("sha256") == F.col("__d"))
+    marked = files.join(h, same, "left").drop("__b", "__v", "__d").withColumns(
+        {
+            "excluded": barred(F.col("text")) | barred(F.col("cleaned")),
+            "has_markers": F.size(F.filter("text_contains", lambda m: m != "")) > 0,
+            "included": F.exists("text_contains", lambda m: (m != "") & F.contains(F.col("text"), m)),
+            "annual": F.coalesce("annual", F.lit(False)),
+            "estimated": F.coalesce("estimated", F.lit(False)),
+        }
+    )
+    pdfs = statement_keys(marked.where("kind = 'pdf'"))
+    csvs = marked.where("kind = 'csv'")
+    said = export_keys(csvs.select("path", "text", "name", anchor.alias("anchor"))).toDF("__id", "__key", "__source", "__start", "__end")
+    manual = periods.upload_period("name")
+    exports = csvs.join(said, F.col("path") == F.col("__id")).withColumns(
+        {"key": F.coalesce(manual, "__key"), "source": F.when(manual.isNotNull(), "manual").otherwise(F.col("__source")), "period_start": F.col("__start"), "period_end": F.col("__end"), "statement_date": F.col("__end"), "annual": F.col("__source") == "annual"}
+    )
+    both = pdfs.unionByName(exports.select(*pdfs.columns))
+    return both.withColumn("manual", F.col("source") == "manual").drop("text", "cleaned", "text_contains", "text_not_contains")
+
+
+def _decided(keyed: DataFrame) -> DataFrame:
+    """(account, key, kind, outcome, keeper_path): PDFs by the rule chain that can be ambiguous, exports by the one that can't."""
+    pdfs = keeper.keep_pdf(keyed.where("kind = 'pdf'"), WITHIN).select(*WITHIN, F.lit("pdf").alias("kind"), "outcome", "keeper_path")
+    csvs = keeper.keep_csv(keyed.where("kind = 'csv'"), WITHIN).select(*WITHIN, F.lit("csv").alias("kind"), F.lit("prepared").alias("outcome"), "keeper_path")
+    return pdfs.unionByName(csvs)
+
+
+def _periods(kept: DataFrame) -> DataFrame:
+    """One row per account and period: the head of the PDF where there is one, else of the export, and the formats of both."""
+    formats = selection.merge_formats(kept.where("kind = 'pdf'").withColumn("has_txt", F.lit(True)), kept.where("kind = 'csv'"), WITHIN)
+    row = F.max_by(F.struct("path", "source", *_HEAD), F.col("kind")).alias("row")  # "pdf" comes after "csv"
+    return kept.groupBy(*WITHIN).agg(row).join(formats, WITHIN).select(*WITHIN, "row.*", "formats")
+
+
+def _selected(kept: DataFrame) -> DataFrame:
+    """What is parsed: no text beside an export of its period, no monthly source inside an annual one of its account."""
+    sources = kept.withColumns({"start": F.col("period_start"), "end": F.col("period_end")})
+    csvs, texts = sources.where("kind = 'csv'"), sources.where("kind = 'pdf'")
+    each = selection.csv_wins(texts, csvs, "account", "key").unionByName(csvs)
+    return selection.all_sources(each.where("annual"), each.where("not annual")).select(*WITHIN, "kind", "path", "bank", "variant", "sha256", "annual")
+
+
+def run(
+    files: DataFrame, banks: tuple[str, ...] | None = None, only: DataFrame | None = None, hook: Hook | None = None, root: str | None = None, anchor: str | None = None
+) -> Result:
     """All steps over staged statements.
 
-    ``files``: account, bank, variant, path, name, sha256, text, mail_date, text_contains and text_not_contains (arrays). With ``only``
-    (path), as after an upload, nothing but the periods of those files is decided anew.
-    """
+    ``files``: account, bank, variant, path, name, sha256, text, mail_date, text_contains and text_not_contains (arrays); a name that ends in .csv is an
+    export, whose billing cycles start on the day that the column ``anchor`` says, on the first without one. With ``only`` (path), as after an upload, nothing
+    but the periods of those files is decided anew.
 
-    def told(name: str, table: DataFrame) -> DataFrame:
-        if hook:
-            hook(name, table)
-        return table
-
-    def heads(distinct: DataFrame) -> DataFrame:
-        return handlers.metadata(distinct.withColumn("raw", F.col("text")), banks, into="text")[0].select(
-            "sha256", F.col("text").alias("cleaned"), "statement_date", "period_start", "period_end", "estimated", "annual", "opening", "closing", "reference"
-        )
-
-    read = read_once(files, heads)
-    keyed = statement_keys(read.withColumn("annual", F.coalesce("annual", F.lit(False))))
-    told("read", keyed)
-    include, exclude = F.col("text_contains"), F.col("text_not_contains")
-    has = lambda items: F.exists(items, lambda m: F.contains(F.col("text"), m))
-    squeezed = lambda items: F.exists(items, lambda m: F.contains(F.regexp_replace("text", r"\s+", " "), F.regexp_replace(m, r"\s+", " ")))
-    candidates = keyed.withColumns({"manual": F.col("source") == "manual", "excluded": squeezed(exclude), "has_markers": F.size(include) > 0, "included": has(include)})
-    within = ["account", "key"]
-    if only is not None:
-        touched = candidates.join(only.select("path"), "path", "left_semi").select(*within).distinct()
-        candidates = candidates.join(touched, within, "left_semi")
-    decisions = told("decided", keeper.keep_pdf(candidates, within))
-    chosen = decisions.where("outcome = 'prepared'").select(F.col("keeper_path").alias("path"), *(F.col(c).alias(f"__{c}") for c in within))
-    kept = candidates.join(chosen, "path").where("account = __account and key = __key").drop("__account", "__key")
-    metadata = told("metadata", kept.select(*within, "path", "source", "statement_date", "period_start", "period_end", "estimated", "annual", "opening", "closing", "reference"))
-    found, unread = registry.read_statements(kept.select(*within, "bank", "variant", F.col("path").alias("source_file"), "text"))
-    told("transactions", found)
-    monthly = metadata.where("not annual").select("account", F.trunc("period_end", "MM").alias("month"), "opening", "closing")
-    years = metadata.where("annual").select("account", F.explode(periods.months_between(F.col("period_start"), F.col("period_end"))).alias("month"))
-    gaps = balances.balance_gaps(monthly.where("month is not null"), years)
-    bounded = metadata.where("period_end is not null").select("account", periods.bounds(F.col("period_start"), F.col("period_end")).alias("b")).select("account", "b.*")
-    return Result(decisions, metadata, found, gaps, coverage.roll_up(bounded), keeper.alerts(candidates, decisions, within), unread)
+    Every stage is written below ``root``, once for the same files: a run that was stopped, by a failure or by ``hook``, goes on from its last stage. Without
+    ``root`` a run keeps its tables in a folder of its own.
+    """
+    spark = files.sparkSession
+    st = Stages(spark, root or f"{shared_dir(spark)}/run-{uuid.uuid4().hex}", hook)
+    known = files.withColumn("kind", F.when(F.endswith(F.lower("name"), F.lit(".csv")), "csv").otherwise("pdf"))
+    day = F.coalesce(F.col(anchor), F.lit(1)) if anchor else F.lit(1)
+    named = [c for c in ("account", "bank", "variant", "path", "name", "sha256", "mail_date", "text_contains", "text_not_contains", anchor) if c]
+    source = Stage(known, fingerprint(known, named))
+    part = fingerprint(only, ["path"]) if only is not None else ""
+
+    heads = st.run("heads", [source], lambda: _heads(known, banks), str(banks))
+    keyed = st.run("keyed", [source, heads], lambda: _keyed(known, heads.table, day), str(anchor))
+
+    def wanted() -> DataFrame:
+        if only is None:
+            return keyed.table
+        touched = keyed.table.join(only.select("path"), "path", "left_semi").select(*WITHIN).distinct()
+        return keyed.table.join(touched, WITHIN, "left_semi")
+
+    decided = st.run("decided", [keyed], lambda: _decided(wanted()), part)
+
+    def kept_rows() -> DataFrame:
+        chosen = decided.table.where("outcome = 'prepared'").select(*WITHIN, "kind", F.col("keeper_path").alias("path"))
+        return keyed.table.join(chosen, [*WITHIN, "kind", "path"], "left_semi")
+
+    kept = st.run("kept", [keyed, decided], kept_rows)
+    metadata = st.run("metadata", [kept], lambda: _periods(kept.table))
+    selected = st.run("selected", [kept], lambda: _selected(kept.table))
+
+    def texts() -> DataFrame:
+        cleaned = heads.table.select(F.col("bank").alias("__b"), F.col("variant").alias("__v"), F.col("sha256").alias("__d"), "cleaned")
+        same = (F.col("bank") == F.col("__b")) & F.col("variant").eqNullSafe(F.col("__v")) & (F.col("sha256") == F.col("__d")) & (F.col("kind") == "pdf")
+        raw = known.select("account", "path", "text")
+        rows = selected.table.join(raw, ["account", "path"]).join(cleaned, same, "left")
+        return rows.select(*WITHIN, "bank", "variant", F.col("path").alias("source_file"), F.coalesce("cleaned", "text").alias("text"))
+
+    transactions = st.run("transactions", [selected, heads], lambda: registry.read_statements(texts())[0])
+    unread = st.run("unread", [selected], lambda: selection.with_fallback(selected.table, registry.readers(spark)).where("rule is null").drop("rule"))
+
+    def broken() -> DataFrame:
+        m = metadata.table
+        monthly = m.where("not annual").select("account", F.trunc("period_end", "MM").alias("month"), "opening", "closing", F.coalesce("tolerance", F.lit(amounts.TOLERANCE).cast(amounts.MONEY)).alias("tolerance"))
+        years = m.where("annual").select("account", F.explode(periods.months_between(F.col("period_start"), F.col("period_end"))).alias("month"))
+        return balances.balance_gaps(monthly.where("month is not null"), years, tolerance=F.col("tolerance"))
+
+    def covered() -> DataFrame:
+        b = periods.bounds(F.col("period_start"), F.col("period_end"))
+        bounded = metadata.table.where("period_end is not null").select("account", b.alias("b"), "estimated")
+        return coverage.roll_up(bounded.select("account", "b.start", "b.end", (F.col("b.approximate") | F.col("estimated")).alias("approximate")))
+
+    gaps = st.run("gaps", [metadata], broken)
+    cover = st.run("coverage", [metadata], covered)
+    alerts = st.run("alerts", [keyed, decided], lambda: keeper.alerts(wanted().where("kind = 'pdf'").drop("kind"), decided.table.where("kind = 'pdf'").drop("kind"), WITHIN), part)
+    return Result(decided.table, metadata.table, selected.table, transactions.table, gaps.table, cover.table, alerts.table, unread.table, st.made)
 
 
 def with_field(document: Column, schema: str, name: str, value: Column) -> Column:

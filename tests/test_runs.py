@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark import settings
 from tallyspark.functions import periods, text
-from tallyspark.operators import handlers, messages, run
+from tallyspark.operators import balances, handlers, messages, run
 from tallyspark.sources import files
 
 
@@ -86,7 +86,7 @@ def test_run(spark):
     table = table.withColumns({"mail_date": F.lit(None).cast("date"), "text_contains": F.array(F.lit("Statement Period")), "text_not_contains": F.array(F.lit("NOT  MINE"))})
     seen = []
     found = run.run(table, ("yes",), hook=lambda name, _: seen.append(name))
-    assert seen == ["read", "decided", "metadata", "transactions"]
+    assert seen == ["heads", "keyed", "decided", "kept", "metadata", "selected", "transactions", "unread", "gaps", "coverage", "alerts"] == found.made
     assert {(r["account"], r["key"], r["outcome"]) for r in found.decisions.collect()} == {("a", "2024-01", "prepared"), ("a", "2024-02", "prepared"), ("a", "2024-04", "rejected"), ("b", "unknown-month", "rejected")}
     assert {(r["description"], str(r["credited"]), str(r["debited"])) for r in found.transactions.collect()} == {("TEA", "0.00", "4.00"), ("BACK", "4.00", "0.00")}
     assert {(r["month"], r["status"]) for r in found.gaps.collect()} == {("2024-01", "discontinuity"), ("2024-02", "discontinuity")}
@@ -109,3 +109,68 @@ def test_theta_join_in_blocks(spark):
     for block in (100, 3):
         assert sorted(r["account"] for r in messages.for_accounts(mail, rules, block).collect()) == list(range(7))
     assert messages.for_accounts(mail, rules.where("false")).count() == 0
+
+
+def _files(spark, rows):
+    """(account, bank, variant, path, text) as staged files; their name is the path's last part."""
+    table = spark.createDataFrame(rows, "account string, bank string, variant string, path string, text string")
+    return table.withColumns({"name": F.element_at(F.split("path", "/"), -1), "sha256": F.sha2("text", 256), "mail_date": F.lit(None).cast("date"), "text_contains": F.array().cast("array<string>"), "text_not_contains": F.array().cast("array<string>")})
+
+
+def _export(*lines, period=""):
+    return f"Card\n{period}Transaction Details:\nDate,Sr.No.,Details,Points,Intl,Amount\n" + "\n".join(lines) + "\nMESSAGE Details:\n"
+
+
+def test_sources_of_a_run_are_selected(spark):
+    rows = [
+        ("a", "icici", None, "a/icici__2024-05-28.pdf", "Statement\n05/05/2024 123456 TEXT SHOP 1 7.00\n"),
+        ("a", "icici", None, "a/2024-05.csv", _export("05/05/2024,1234567,CSV SHOP,0,0,7.00")),
+        ("a", "icici", None, "a/2023-06.csv", _export("05/06/2023,1234567,JUNE,0,0,9.00")),
+        ("a", "icici", None, "a/2024.csv", _export("05/05/2023,1234567,MAY,0,0,1.00", "05/06/2023,1234568,JUNE,0,0,9.00")),
+        ("b", "icici", None, "b/2023-06.csv", _export("05/06/2023,1234567,OWN,0,0,9.00")),
+    ]
+    found = run.run(_files(spark, rows), ("icici",))
+    assert {(r["account"], r["kind"], r["path"]) for r in found.selected.collect()} == {("a", "csv", "a/2024-05.csv"), ("a", "csv", "a/2024.csv"), ("b", "csv", "b/2023-06.csv")}
+    # June of account a is in the year's export and counts once; the text of May 2024 gives way to its export
+    assert sorted((r["account"], r["description"], str(r["debited"])) for r in found.transactions.collect()) == [("a", "CSV SHOP", "7.00"), ("a", "JUNE", "9.00"), ("a", "MAY", "1.00"), ("b", "OWN", "9.00")]
+    assert {(r["account"], r["key"]): r["formats"] for r in found.metadata.collect() if r["key"] == "2024-05"} == {("a", "2024-05"): ["pdf", "txt", "csv"]}
+    assert {r["kind"] for r in found.decisions.collect()} == {"pdf", "csv"}
+
+
+def test_a_content_is_read_by_the_bank_of_its_account(spark):
+    text_ = _head("1.00", "1.00", "01")
+    for order in (1, -1):
+        rows = [("a", "yes", None, "p/yes__2024-01-28.pdf", text_), ("b", "none", None, "q/none__2024-01-28.pdf", text_)][::order]
+        found = run.run(_files(spark, rows), ("yes",))
+        assert {(r["account"], r["opening"] and str(r["opening"])) for r in found.metadata.collect()} == {("a", "1.00"), ("b", None)}
+        assert [r["account"] for r in found.unread.collect()] == ["b"]
+
+
+def test_a_stopped_run_goes_on_from_its_last_stage(spark, tmp_path):
+    rows = [("a", "yes", None, f"p/yes__2024-0{i}-28.pdf", _head("1.00", "5.00", f"0{i}", f"05/0{i}/2024 TEA 4.00 Dr")) for i in (1, 2)]
+    root = f"file://{tmp_path}/run"
+
+    def stop(name, table):
+        if name == "kept":
+            assert table.count() == 2  # it is written when the hook hears of it
+            raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        run.run(_files(spark, rows), ("yes",), hook=stop, root=root)
+    found = run.run(_files(spark, rows[::-1]), ("yes",), root=root)
+    assert found.made == ["metadata", "selected", "transactions", "unread", "gaps", "coverage", "alerts"] and found.transactions.count() == 2
+    (tmp_path / "run" / next(p.name for p in (tmp_path / "run").iterdir() if p.name.startswith("gaps-")) / "_SUCCESS").unlink()  # a job that was lost while it wrote
+    assert run.run(_files(spark, rows), ("yes",), root=root).made == ["gaps"]
+    assert run.run(_files(spark, rows[:1]), ("yes",), root=root).made[0] == "heads"
+
+
+def test_tolerance_and_estimates_of_a_run(spark):
+    """HDFC's statements may differ by 0.99, and those without a start are approximate."""
+    chain = spark.createDataFrame([("h", "2024-01-01", "0.00", "5.00", "0.99"), ("h", "2024-02-01", "5.90", "6.00", "0.99"), ("y", "2024-01-01", "0.00", "5.00", "0.21"), ("y", "2024-02-01", "5.90", "6.00", "0.21")], "account string, month string, opening string, closing string, tolerance string")
+    chain = chain.withColumns({"month": F.to_date("month"), **{c: F.col(c).cast("decimal(18,2)") for c in ("opening", "closing", "tolerance")}})
+    assert {(r["account"], r["month"]) for r in balances.balance_gaps(chain, tolerance=F.col("tolerance")).collect()} == {("y", "2024-01"), ("y", "2024-02")}
+    rows = [("h", "hdfc", "swiggy", "h/1.pdf", "Statement Date 15/01/2024\n"), ("y", "yes", None, "y/1.pdf", _head("1.00", "1.00", "01"))]
+    found = run.run(_files(spark, rows), ("hdfc", "yes"))
+    assert {r["account"]: r["estimated"] for r in found.metadata.collect()} == {"h": True, "y": False}
+    assert {r["account"]: r["n_approximate"] for r in found.coverage.collect()} == {"h": 1, "y": 0}
+    assert {r["account"]: str(r["tolerance"]) for r in found.metadata.collect()} == {"h": "0.99", "y": "0.21"}
