@@ -120,6 +120,7 @@ def _marker(marker: str, markers: list[str]) -> Column:
         "first": " ".join([words[0].lstrip("*"), *words[1:5]]) if long else anchor,
         "last": " ".join(words[-4:]) if long else anchor,
         "heading": heading,
+        "long": long,
     }
     return F.struct(*(F.lit(v).alias(k) for k, v in parts.items()))
 
@@ -164,8 +165,8 @@ def drop_sections(text: Column | str, markers: list[str]) -> Column:
             shown = F.exists(rows, lambda x: F.upper(F.trim(x)) == F.upper(m["anchor"]))
             section = F.when(m["heading"] & shown, _between(rows, lambda x: F.contains(x, m["anchor"]), lambda x: F.rlike(x, m["ends"]), False))
             words = F.regexp_replace(t, m["pattern"], F.lit(""))
-            block = _between(rows, lambda x: F.contains(x, m["first"]), lambda x: F.contains(x, m["last"]), True)
-            changed = lambda c: F.when(c != t, c)
+            block = F.when(m["long"], _between(rows, lambda x: F.contains(x, m["first"]), lambda x: F.contains(x, m["last"]), True))
+            changed = lambda c: let(c, lambda v: F.when(v != t, v))
             return F.coalesce(changed(section), changed(words), changed(block), t)
 
         return let(lines(t), of)
