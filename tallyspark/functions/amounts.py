@@ -11,8 +11,9 @@ MONEY = "decimal(18,2)"
 TOLERANCE = "0.21"
 
 # An amount with its currency prefix and optional marks.
-TOKEN = r"(?i)(?:(?:Rs\.?|INR|₹)\s*)?\(?-?\d[\d,]*(?:\.\d+)?\)?(?:\s*\b(?:Cr|Dr)\b)?"
-DECIMAL_TOKEN = r"(?i)(?:(?:Rs\.?|INR|₹)\s*)?\(?-?\d[\d,]*\.\d{1,2}\)?(?:\s*\b(?:Cr|Dr)\b)?"
+# A minus may be followed by a stray comma.
+TOKEN = r"(?i)(?:(?:Rs\.?|INR|₹)\s*)?\(?(?:-,?)?\d[\d,]*(?:\.\d+)?\)?(?:\s*\b(?:Cr|Dr)\b)?"
+DECIMAL_TOKEN = r"(?i)(?:(?:Rs\.?|INR|₹)\s*)?\(?(?:-,?)?\d[\d,]*\.\d{1,2}\)?(?:\s*\b(?:Cr|Dr)\b)?"
 
 
 def parse_amount(text: Column | str) -> Column:

@@ -65,7 +65,7 @@ def account_date(text: Column | str, today: Column | None = None) -> Column:
 
 def join_split_day(text: Column | str) -> Column:
     """``1 6-MAR-2024`` as ``16-MAR-2024``."""
-    return F.regexp_replace(_col(text), r"(?i)(\d)\s+(\d-[A-Za-z]{3}-\d{4})", "$1$2")
+    return F.regexp_replace(_col(text), r"(?i)(?<!\d)([0-3])\s+(\d-[A-Za-z]{3}-\d{4})", "$1$2")
 
 
 def dates_in(text: Column | str) -> Column:

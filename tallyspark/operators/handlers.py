@@ -34,6 +34,7 @@ class Layout:
     trim_start: tuple[str, ...] = ()
     trim_end: tuple[str, ...] = ()
     drop: tuple[str, ...] = ()
+    phrases: tuple[str, ...] = ()  # that go without what stands below them
     labels: tuple[str, ...] = ()  # of a column of amounts that lacks them
     annual: bool = False  # year-end statements say their own period
     estimate: str = "never"  # whether a missing start is estimated: never, always, or a condition
@@ -84,6 +85,7 @@ STEPS: dict[str, Callable[..., Column]] = {
     "at": dates.date_at_label,
     "label_range": lambda t, label, joiner: dates.both(dates.date_range(text.after_label(t, label, 300), joiner)),
     "near": dates.range_near,
+    "near_split": lambda t, context, joiner: dates.range_near(dates.join_split_day(t), context, joiner),
     "top": lambda t, joiner, n: dates.first_range(F.left(t, F.lit(n)), joiner),
     "two_dates": dates.two_date_line,
     "column": extract.table_column,
@@ -151,6 +153,7 @@ _HDFC = Layout(
     ),
     annual=True, estimate="guideline", tolerance="0.99", fiscal=True,
 )
+_SPENDS_HEADING = "SPENDS OVERVIEW"
 _ICICI_PERIOD = tuple(("label_range", x, _TO) for x in ("Statement period :", "Statement Period:", "Statement Period"))
 _ICICI = Layout(
     date=(("at", "STATEMENT DATE"), *_ICICI_PERIOD),
@@ -161,7 +164,7 @@ _ICICI = Layout(
     trim_end=("MOST IMPORTANT TERMS AND CONDITIONS (MITC)",),
     drop=(
         "For exclusive", "offers, visit", "IMPORTANT MESSAGES", "Download the iMobile Pay app", "CREDIT CARD STATEMENT", "GREAT    OFFERS    ON   YOUR   CARD",
-        "IMPORTANT     INFORMATION      ON  YOUR   CREDIT   CARD", "ICICl Bank Rewards", "SPENDS OVERVIEW", "# International Spends", "Others-100%",
+        "IMPORTANT     INFORMATION      ON  YOUR   CREDIT   CARD", "ICICl Bank Rewards", _SPENDS_HEADING, "# International Spends", "Others-100%",
         "www.icicibank.com/offers", "For any query, you may write to us on customer.care", "T&C apply",
     ),
     fiscal=True,
@@ -203,8 +206,8 @@ _INDUSIND = Layout(
 )
 _MONTH_DUE = "Total Amount Due for Month"
 _PNB = Layout(
-    date=(("beside", "Invoice Date :"), ("at", "Invoice Date :"), *_unless("late_invoice", ("near", "From", _TO))),
-    period=(("near", "From", _TO), *_if("late_invoice", ("two_dates",))),
+    date=(("beside", "Invoice Date :"), ("at", "Invoice Date :"), *_unless("late_invoice", ("near_split", "From", _TO))),
+    period=(("near_split", "From", _TO), *_if("late_invoice", ("two_dates",))),
     opening=(("column", "Account Summary", "Previous Balance"),),
     closing=(("column", "Account Summary", _MONTH_DUE), *_if("late_invoice", ("stacked", _MONTH_DUE), ("stacked", "Total Amount Due")), ("beside_amount", _MONTH_DUE), ("beside_amount", "Total Amount Due :")),
     reference=(("number", "Invoice No :", r"(?i)\d{4}CC\d+"),),
@@ -262,7 +265,7 @@ LAYOUTS: dict[str, Layout] = {
         drop=(*_HDFC.drop, "NeuCoins with Bank Opening NeuCoins", "Eligible for EMI", "CONVERT TO EMI"),
     ),
     "icici": _ICICI,
-    "amazon": replace(_ICICI, trim_end=("Earnings transfered to", "Amazon Pay balance*"), drop=(*_ICICI.drop, "EARNINGS")),
+    "amazon": replace(_ICICI, trim_end=("Earnings transfered to", "Amazon Pay balance*"), drop=(*(d for d in _ICICI.drop if d != _SPENDS_HEADING), "EARNINGS"), phrases=(_SPENDS_HEADING,)),
     "idfc": _IDFC,
     "wow": _WOW,
     "indusind": _INDUSIND,
@@ -330,7 +333,7 @@ def clean(t: Column, name: str) -> Column:
     """A statement's text as a layout wants it: cut to its markers, without odd characters and sections that aren't data."""
     rule = LAYOUTS[name]
     if name == "amazon":  # the earnings end the statement unless the spends come after them
-        earnings, spends = [F.instr(t, m) for m in rule.trim_end], F.instr(t, "SPENDS OVERVIEW")
+        earnings, spends = [F.instr(t, m) for m in rule.trim_end], F.instr(t, _SPENDS_HEADING)
         before = (spends > 0) & ((earnings[0] > 0) & (earnings[0] < spends) | (earnings[1] > 0) & (earnings[1] < spends))
         short = text.trim_by_markers(t, [], list(rule.trim_end))
         cut = F.when(before | ((earnings[0] == 0) & (earnings[1] == 0)), text.trim_by_markers(t, [], list(_ICICI.trim_end))).otherwise(short)
@@ -339,6 +342,8 @@ def clean(t: Column, name: str) -> Column:
     else:
         cut = text.trim_by_markers(t, list(rule.trim_start), list(rule.trim_end))
     out = text.drop_sections(text.sanitize(cut), list(rule.drop))
+    if rule.phrases:
+        out = text.drop_phrases(out, list(rule.phrases))
     return text.label_column(out, rule.labels) if rule.labels else out
 
 
@@ -357,7 +362,7 @@ def read(t: Column, name: str, raw: Column | None = None) -> Column:
     """(date, start, end, estimated, annual, opening, closing, reference) of a cleaned text by a layout; ``raw`` is the text before that."""
     rule = LAYOUTS[name]
     raw = t if raw is None else raw
-    ranges = {"label_range", "near", "top", "two_dates"}
+    ranges = {"label_range", "near", "near_split", "top", "two_dates"}
 
     def kind(step: Step) -> str:
         return kind(step[2]) if step[0] in ("if", "unless") else step[0]

@@ -113,3 +113,16 @@ def test_pages_without_glyphs_stay(spark):
     assert glyphs.mark_pages(texts, none, ["page"]).collect() == texts.collect()
     some = spark.createDataFrame([(None, "Rs.1.00", 1.0, 1.0, [0.1, 0.6, 0.1])], none.schema)
     assert {r["page"]: r["text"] for r in glyphs.mark_pages(texts, some, ["page"]).collect()} == {1: "04 Jan 2021 A Rs. 1.00", None: "04 Jan 2021 B Rs. 1.00 Cr", 3: None}
+
+
+def test_shapes_that_statements_have(spark):
+    """A comma behind the minus, a day whose digits are apart, a heading above transactions that only some cards drop with them."""
+    row = spark.range(1).select(amounts.tokens(F.lit("C-,137.30 C45.80 C460.00"), decimals=True)["amount"].alias("t"), amounts.tokens(F.lit("Total ,12 5"))["pos"].alias("p")).first()
+    assert [str(x) for x in row["t"]] == ["-137.30", "45.80", "460.00"] and row["p"] == [7, 10]
+    pnb = "Invoice Date : 16-MAR-2024\nFrom 17-FEB-2024 To 1 6-MAR-2024\nAccount Summary\n"
+    head = spark.createDataFrame([(pnb,)], "t string").select(handlers.read(F.col("t"), "pnb").alias("h")).first()["h"]
+    assert (str(head["start"]), str(head["end"])) == ("2024-02-17", "2024-03-16")
+    shown = "Total Amount due\n420.00\nSPENDS OVERVIEW\n10/04/2024 1000000001 SHOP 50 420.00\nEarnings transfered to\n"
+    table = spark.createDataFrame([(shown,)], "t string")
+    assert table.select(handlers.clean(F.col("t"), "amazon")).first()[0] == "Total Amount due\n420.00\n10/04/2024 1000000001 SHOP 50 420.00\nEarnings transfered to"
+    assert "SHOP" not in table.select(handlers.clean(F.col("t"), "icici")).first()[0]
