@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import hashlib
+import importlib.util
+import pkgutil
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import tallyspark
 from tallyspark.sources import storage
 
+_MAKERS = tuple(f"tallyspark.{x}" for x in ("functions", "operators", "sources"))
+
 #: Called with a stage's name and its table once that is written; raising an error ends the run before the next stage.
 Hook = Callable[[str, DataFrame], None]
 
@@ -30,6 +36,14 @@ def fingerprint(table: DataFrame, columns: list[str]) -> str:
     return hashlib.sha256(str(tuple(table.agg(F.count(F.lit(1)), *hashes).first())).encode()).hexdigest()
 
 
+@cache
+def code() -> str:
+    """A digest of the modules that make stages: other code makes other stages."""
+    found = sorted(m.name for m in pkgutil.walk_packages(tallyspark.__path__, "tallyspark.", onerror=lambda _: None) if m.name.startswith(_MAKERS))
+    sources = [importlib.util.find_spec(name).loader.get_source(name) or "" for name in found]
+    return hashlib.sha256("\0".join(sources).encode()).hexdigest()
+
+
 class Stages:
     """Tables below ``root``, a folder that all executors share."""
 
@@ -41,11 +55,11 @@ class Stages:
         return f"{self.root}/{name}-{digest[:32]}"
 
     def run(self, name: str, inputs: list[Stage], build: Callable[[], DataFrame], settings: str = "") -> Stage:
-        """The stage ``name``: read if it was written for these inputs and settings, else built and written.
+        """The stage ``name``: read if it was written for these inputs and settings by this code, else built and written.
 
         A stage that a failed job left half written has no success mark and is written anew.
         """
-        digest = hashlib.sha256("|".join([name, settings, *(i.digest for i in inputs)]).encode()).hexdigest()
+        digest = hashlib.sha256("|".join([name, settings, code(), *(i.digest for i in inputs)]).encode()).hexdigest()
         path = self.path(name, digest)
         if not storage.exists(self.spark, f"{path}/_SUCCESS"):
             build().write.mode("overwrite").option("compression", "zstd").parquet(path)

@@ -11,6 +11,7 @@ from tallyspark.operators import run
 from tallyspark.plans.catalogue import MONTHLY_SQL, ORDERS_SQL, monthly, orders, query
 from tallyspark.plans.parse_queries import render
 from tallyspark.sources import files as listing
+from tallyspark.sources.shared import shared_dir
 
 
 def _staged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,13 +34,44 @@ def _staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _run(spark: SparkSession, sf_dir: str) -> run.Result:
+    """One run for all queries that ask for a part of it: the second finds the stages of the first."""
+    return run.run(_staged(spark, sf_dir), ("yes",), root=f"{shared_dir(spark)}/runs")
+
+
+@query(f"""with {MONTHLY_SQL}, nxt as (
+  select *, lead(month) over w as next_month, lead(opening) over w as next_opening from monthly window w as (partition by account order by month)
+), said as (
+  select account, unnest([month, next_month]) as m, 'discontinuity' as status from nxt where next_month = month + interval 1 month and abs(closing - next_opening) > 0.21
+  union all
+  select account, unnest(generate_series(month + interval 1 month, next_month - interval 1 month, interval 1 month))::date,
+         case when abs(closing - next_opening) <= 0.21 then 'matched' else 'mismatched' end from nxt where next_month > month + interval 1 month
+)
+select account::varchar as account, strftime(m, '%Y-%m') as month, status from said""")
+def run_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Breaks in the balances and missing months of staged statements, by their handler's tolerance."""
+    return _run(spark, sf_dir).gaps.select("account", "month", "status")
+
+
+@query(f"""with {MONTHLY_SQL}, marked as (
+  select account, month, coalesce(lag(month) over (partition by account order by month) = month - interval 1 month, false) as goes_on from monthly
+)
+select account::varchar as account, min(month) as "start", last_day(max(month)) as "end", count(*) filter (not goes_on) as n_segments, (count(*) filter (not goes_on) - 1)::bigint as n_gaps, count(*) as n_months, 0::bigint as n_approximate
+from marked group by account""")
+def run_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What staged statements cover; none of their periods is estimated."""
+    n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    found = _run(spark, sf_dir).coverage.withColumn("gaps", F.coalesce("gaps", F.array().cast("array<struct<start:date,end:date>>")))
+    return found.select("account", "start", "end", n("segments").alias("n_segments"), n("gaps").alias("n_gaps"), n("months").alias("n_months"), "n_approximate")
+
+
 @query(f"""with {ORDERS_SQL}
 select account::varchar as account, strftime(day, '%Y-%m') as key, day as date, 'N' || ref as description,
        (case when mark = 'CR' then amount else 0 end)::decimal(18,2) as credited, (case when mark = 'CR' then 0 else amount end)::decimal(18,2) as debited
 from orders_t""")
 def run_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Staged statements to the transactions of the kept ones."""
-    return run.run(_staged(spark, sf_dir), ("yes",)).transactions.select("account", "key", "date", "description", "credited", "debited")
+    return _run(spark, sf_dir).transactions.select("account", "key", "date", "description", "credited", "debited")
 
 
 @query(f"""with {MONTHLY_SQL}
@@ -47,7 +79,7 @@ select account::varchar as account, strftime(month, '%Y-%m') as key, account ||
        last_day(month) as period_end, opening, closing from monthly""")
 def run_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kept statement of each period with its head; equal contents are read once, and the smallest path of them stays."""
-    kept = run.run(_staged(spark, sf_dir), ("yes",)).metadata
+    kept = _run(spark, sf_dir).metadata
     # the copy's name has a blank where the kept one has a full stop, so the copy sorts first
     return kept.select("account", "key", F.col("path").alias("other_path"), "statement_date", "period_start", "period_end", "opening", "closing")
 
