@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyspark.functions.text import _col
+from tallyspark.functions.text import _col, let
 
 UNKNOWN = "unknown-month"
 
@@ -86,6 +86,18 @@ def months_between(start: Column, end: Column) -> Column:
     return F.when(a <= b, F.sequence(a, b, F.expr("interval 1 month"))).otherwise(none)
 
 
+def year_sections(start: Column, end: Column, fiscal: bool = True) -> Column:
+    """The months from start's to end's by year, fiscal or calendar: an array of (year_key, months), the newest year and in it the newest month first."""
+    months = F.reverse(months_between(F.trunc(start, "MM"), end))
+    year = lambda m: fiscal_key(m) if fiscal else F.date_format(m, "yyyy")
+
+    def sections(ms: Column) -> Column:
+        within = lambda k: F.transform(F.filter(ms, lambda m: year(m) == k), month_key)
+        return F.transform(F.array_distinct(F.transform(ms, year)), lambda k: F.struct(k.alias("year_key"), within(k).alias("months")))
+
+    return let(months, sections)
+
+
 def covered_month(key: Column | str) -> Column:
     """The month that a statement keyed by month covers: the one before."""
     return month_key(F.add_months(key_bounds(key)["start"], -1))
@@ -132,5 +144,6 @@ def key_of_path(path: Column | str) -> Column:
 
 
 def upload_period(name: Column | str) -> Column:
-    """The month in ``manual__yyyy-MM-dd.ext``."""
-    return F.nullif(F.regexp_extract(_col(name), r"^manual__(\d{4}-\d{2})-\d{2}(?: \(\d+\))?\.[A-Za-z]+$", 1), F.lit(""))
+    """The key in ``manual__{key}.pdf`` or ``.csv``: a month, a fiscal or a calendar year. A month may be followed by a day."""
+    key = r"(\d{4}-\d{2}(?=[.-])|FY\d{2}-\d{4}(?=\.)|\d{4}(?=\.))"
+    return F.nullif(F.upper(F.regexp_extract(_col(name), rf"(?i)^manual__{key}(?:-\d{{2}}(?: \(\d+\))?)?\.(?:pdf|csv)$", 1)), F.lit(""))
