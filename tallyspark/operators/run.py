@@ -24,7 +24,7 @@ class Result:
     """Tables of a run, each of them written."""
 
     decisions: DataFrame  # account, key, kind, outcome, keeper_path
-    metadata: DataFrame  # one row per period with a kept statement, and its formats
+    metadata: DataFrame  # one row per period with a kept statement: its head, formats, granularity, year_key, covered_months
     selected: DataFrame  # the sources that are parsed: account, key, kind, path
     transactions: DataFrame
     gaps: DataFrame  # account, month, status
@@ -118,7 +118,16 @@ def _keyed(files: DataFrame, heads: DataFrame, anchor: Column) -> DataFrame:
         {"key": F.coalesce(manual, "__key"), "source": F.when(manual.isNotNull(), "manual").otherwise(F.col("__source")), "period_start": F.col("__start"), "period_end": F.col("__end"), "statement_date": F.col("__end"), "annual": F.col("__source") == "annual"}
     )
     both = pdfs.unionByName(exports.select(*pdfs.columns))
-    return both.withColumn("manual", F.col("source") == "manual").drop("text", "cleaned", "text_contains", "text_not_contains")
+    start, end = F.col("period_start"), F.col("period_end")
+    known = F.when(end.isNotNull(), periods.bounds(start, end))
+    sound = {
+        "manual": F.col("source") == "manual",
+        "annual": F.coalesce("annual", F.lit(False)) | periods.key_kind("key").isin("fiscal", "calendar"),  # an upload is annual by its name
+        "estimated": F.col("estimated") | (start.isNull() & end.isNotNull()),
+        "period_start": known["start"],
+        "period_end": known["end"],
+    }
+    return both.withColumns(sound).drop("text", "cleaned", "text_contains", "text_not_contains")
 
 
 def _decided(keyed: DataFrame) -> DataFrame:
@@ -129,10 +138,27 @@ def _decided(keyed: DataFrame) -> DataFrame:
 
 
 def _periods(kept: DataFrame) -> DataFrame:
-    """One row per account and period: the head of the PDF where there is one, else of the export, and the formats of both."""
+    """One row per account and period: the head of the PDF where there is one, else of the export, and the formats of both.
+
+    A year's bounds are those that its key says, and it has year_key and the months that it covers.
+    """
     formats = selection.merge_formats(kept.where("kind = 'pdf'").withColumn("has_txt", F.lit(True)), kept.where("kind = 'csv'"), WITHIN)
     row = F.max_by(F.struct("path", "source", *_HEAD), F.col("kind")).alias("row")  # "pdf" comes after "csv"
-    return kept.groupBy(*WITHIN).agg(row).join(formats, WITHIN).select(*WITHIN, "row.*", "formats")
+    found = kept.groupBy(*WITHIN).agg(row).join(formats, WITHIN).select(*WITHIN, "row.*", "formats")
+    year = F.when(periods.key_kind("key").isin("fiscal", "calendar"), periods.key_bounds("key"))
+    annual = F.coalesce(year["start"].isNotNull(), F.lit(False))
+    months = F.transform(periods.months_between(year["start"], year["end"]), periods.month_key)
+    return found.withColumns(
+        {
+            "annual": annual,
+            "estimated": F.col("estimated") & ~annual,
+            "period_start": F.coalesce(year["start"], "period_start"),
+            "period_end": F.coalesce(year["end"], "period_end"),
+            "granularity": F.when(annual, "annual").otherwise("monthly"),
+            "year_key": F.when(annual, F.col("key")),
+            "covered_months": F.coalesce(months, F.array().cast("array<string>")),
+        }
+    )
 
 
 def _selected(kept: DataFrame) -> DataFrame:

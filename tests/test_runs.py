@@ -174,3 +174,25 @@ def test_tolerance_and_estimates_of_a_run(spark):
     assert {r["account"]: r["estimated"] for r in found.metadata.collect()} == {"h": True, "y": False}
     assert {r["account"]: r["n_approximate"] for r in found.coverage.collect()} == {"h": 1, "y": 0}
     assert {r["account"]: str(r["tolerance"]) for r in found.metadata.collect()} == {"h": "0.99", "y": "0.21"}
+
+
+def test_estimated_months_inside_a_year_and_years_by_name(spark):
+    """A statement that only says its end is inside a year's export all the same; an upload is a year's by its name; a year's metadata has the year's bounds."""
+    late = "STATEMENT DATE\nJune 15, 2023\n05/06/2023 123456 SHOP 1 7.00\n"
+    year = _export("05/05/2023,1234567,MAY,0,0,1.00", "05/06/2023,1234568,JUNE,0,0,9.00")
+    rows = [
+        ("a", "icici", None, "a/icici__2023-06-15.pdf", late), ("a", "icici", None, "a/2023.csv", year), ("b", "icici", None, "b/icici__2023-06-15.pdf", late),
+        ("c", "icici", None, "c/manual__FY23-2024.csv", _export("05/06/2023,1234567,JUNE,0,0,9.00")), ("c", "icici", None, "c/manual__2023-07.pdf", late),
+    ]
+    found = run.run(_files(spark, rows), ("icici",))
+    assert sorted(r["path"] for r in found.selected.collect()) == ["a/2023.csv", "b/icici__2023-06-15.pdf", "c/manual__2023-07.pdf", "c/manual__FY23-2024.csv"]
+    m = {(r["account"], r["key"]): r for r in found.metadata.collect()}
+    assert {k: (str(r["period_start"]), str(r["period_end"]), r["estimated"], r["granularity"], r["year_key"]) for k, r in m.items()} == {
+        ("a", "2023-06"): ("2023-05-16", "2023-06-15", True, "monthly", None),
+        ("b", "2023-06"): ("2023-05-16", "2023-06-15", True, "monthly", None),
+        ("c", "2023-07"): ("2023-05-16", "2023-06-15", True, "monthly", None),
+        ("a", "FY23-2024"): ("2023-04-01", "2024-03-31", False, "annual", "FY23-2024"),
+        ("c", "FY23-2024"): ("2023-04-01", "2024-03-31", False, "annual", "FY23-2024"),
+    }
+    months = m[("a", "FY23-2024")]["covered_months"]
+    assert (months[0], months[-1], len(months)) == ("2023-04", "2024-03", 12) and m[("b", "2023-06")]["covered_months"] == []
