@@ -226,6 +226,14 @@ def distinct_words(items: Column) -> Column:
     return F.filter(clean, lambda x, i: F.array_position(lower, F.lower(x)) == i + 1)
 
 
+def senders(items: Column) -> Column:
+    """Addresses or domains, trimmed, in lower case, each once; one with white space inside or a broken address fails the read."""
+    clean = distinct_words(F.transform(items, lambda x: F.lower(x)))
+    broken = lambda x: x.rlike(r"\s") | F.contains(x, F.lit("@")) & ~x.rlike(r"^[^@]+@[^@]+$")
+    bad = F.filter(clean, broken)
+    return F.when(F.size(bad) > 0, F.raise_error(F.concat(F.lit("no sender: "), F.get(bad, F.lit(0)))).cast("array<string>")).otherwise(clean)
+
+
 def join_detached_marks(text: Column | str) -> Column:
     """A line that only says CR or DR goes to the end of the line before it."""
     rows = lines(text)

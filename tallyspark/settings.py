@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions.dates import account_date
-from tallyspark.functions.text import distinct_words
+from tallyspark.functions.text import distinct_words, senders
 from tallyspark.operators import accounts as dimension
 from tallyspark.operators import handlers
 
@@ -73,18 +73,24 @@ def _words(items: Column) -> Column:
     return distinct_words(F.coalesce(items, F.array().cast("array<string>")))
 
 
+def account_type(name: Column | str) -> Column:
+    """``credit_card``, also for none, or ``bank_account``, in any case and with blanks; another type fails the read."""
+    plain = F.replace(F.lower(F.trim(F.coalesce(F.col(name) if isinstance(name, str) else name, F.lit("")))), F.lit(" "), F.lit("_"))
+    return F.when(plain == "", "credit_card").when(plain.isin("credit_card", "bank_account"), plain).otherwise(F.raise_error(F.concat(F.lit("no type of account: "), plain)).cast("string"))
+
+
 def resolve(raw: DataFrame, today: Column | None = None) -> DataFrame:
     """``raw`` accounts with their handler's defaults: bank, variant, account_number, type, opening, closing, passwords, subjects,
     body_contains, senders, text_contains, text_not_contains, fiscal, tolerance.
 
     An account's own subjects, body markers and senders replace the handler's, its text markers join them. A number that several
-    banks have, or an empty one, fails the read.
+    banks have, or an empty one, fails the read, and so do a type or a sender that can't be.
     """
     own = raw.select(
         F.lower(F.trim("bank")).alias("bank"), F.coalesce(F.lower(F.trim("variant")), F.lit("default")).alias("variant"), F.trim("account_number").alias("account_number"),
-        F.coalesce("type", F.lit("credit_card")).alias("type"), account_date("opening_date", today).alias("opening"), account_date("closing_date", today).alias("closing"),
+        account_type("type").alias("type"), account_date("opening_date", today).alias("opening"), account_date("closing_date", today).alias("closing"),
         F.coalesce("passwords", F.array().cast("array<string>")).alias("passwords"), _words(F.col("mail.subjects")).alias("own_subjects"), _words(F.col("mail.body_contains")).alias("own_body"),
-        _words(F.col("mail.from")).alias("senders"), _words(F.col("statement.text_contains")).alias("text_contains"), _words(F.col("statement.text_not_contains")).alias("own_exclude"),
+        senders(F.coalesce(F.col("mail.from"), F.array().cast("array<string>"))).alias("senders"), _words(F.col("statement.text_contains")).alias("text_contains"), _words(F.col("statement.text_not_contains")).alias("own_exclude"),
     )
     known = handlers.registry(raw.sparkSession)
     from tallyspark.operators.selection import with_fallback
