@@ -3,7 +3,7 @@
 Every run of ``WORDS`` words that occurs more than once in the corpus is to be found. Words are what white space sets apart and are compared
 byte by byte; the white space between them doesn't count. Of each window of ``WORDS`` words the gram of ``GRAM`` words with the
 smallest hash is the anchor, and equal windows have it at the same place. An anchor's context is all that its windows cover. Anchors whose gram
-occurs elsewhere are looked at: equal contexts repeat as a whole, and of the others all windows are hashed and counted. So the
+occurs elsewhere, as the logarithmic family of suffix indexes of ``suffix_dedup`` finds them, are looked at: equal contexts repeat as a whole, and of the others all windows are hashed and counted. So the
 result is exact while an entry is kept for about every 18th word and a row for a window only where a passage begins or ends.
 
 Defined results: a null text stays null; texts of fewer than ``WORDS`` words lose nothing; equal texts of ``WORDS`` words or more lose
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.llm import rolling
 from tallyspark.llm.store import Workspace
-from tallyspark.llm.suffix_dedup import distinct_texts, merged
+from tallyspark.llm.suffix_dedup import SuffixIndex, distinct_texts, merged
 
 WORDS = 51
 GRAM = 16
@@ -122,16 +122,21 @@ def _joint(lists: DataFrame) -> DataFrame:
     return lists.mapInArrow(run, "id long, spans array<struct<start:bigint,end:bigint>>")
 
 
-def repeated(docs: DataFrame, text: str = "text", words: int = WORDS) -> DataFrame:
-    """(digest, spans): for each different text that holds repeated passages, the (start, end) bytes of these, in order and apart."""
+def repeated(docs: DataFrame, text: str = "text", words: int = WORDS, batches: int = 3) -> DataFrame:
+    """(digest, spans): for each different text that holds repeated passages, the (start, end) bytes of these, in order and apart.
+
+    The suffix index has the texts' suffixes that begin at an anchor, added in ``batches``.
+    """
     work = Workspace(docs.sparkSession, "passages")
     # the table is read by digest; inside, texts have short numbers, which keep the rows of windows narrow
     numbered = distinct_texts(docs, text, 2 * words - 1).withColumn("id", F.monotonically_increasing_id())
     texts = work.save_bucketed(numbered, "texts", "digest", dealt=True)
-    array = work.save(entries(texts, words), "anchors")
-    grams = work.save(array.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp"), "grams")
-    rows = work.save(array.join(grams, "fp", "left_semi"), "repeated")
-    work.drop("anchors", "grams")
+    index = SuffixIndex(work, words, entries)
+    batch = F.pmod(F.xxhash64("digest"), F.lit(batches))
+    for i in range(batches):
+        index.add(texts.where(batch == i))
+    rows = work.save(index.repeated(), "repeated")
+    index.drop()
     contexts = work.save(rows.groupBy("fp", "ctx").agg(F.count(F.lit(1)).alias("alike"), F.min(F.struct("digest", "start", "n")).alias("one")), "contexts")
     twice = contexts.where("alike > 1").select("fp", "ctx")
     whole = rows.join(twice, ["fp", "ctx"], "left_semi").select("digest", "start", "end")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import decontaminate, filter_audit, html_text, importance, langid, mixing, near_dup, ogg, preference, quality, simhash, suffix_dedup, unit_dedup
+from tallyspark.llm import decontaminate, filter_audit, html_text, importance, langid, mixing, near_dup, ogg, passages, preference, quality, simhash, suffix_dedup, unit_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,9 +22,16 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """The contract's columns, and passage_bytes: what a second index, whose suffixes count in words, finds in repeats of over 50 words."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = suffix_dedup.dedup(docs)
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    return found.select("doc_id", n_bytes.alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    columns = ("doc_id", n_bytes.alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    size = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    repeats = passages.repeated(docs).select(F.col("digest").alias("__found"), size.alias("passage_bytes"))
+    keyed = found.select(*columns, F.unhex(F.md5("text")).alias("__digest"))
+    joined = keyed.join(repeats.hint("merge"), F.col("__digest") == F.col("__found"), "left")
+    return joined.withColumn("passage_bytes", F.coalesce("passage_bytes", F.lit(0).cast("long"))).drop("__digest", "__found")
 
 
 def op3_preference(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ spans or kept are replaced, others stay; empty tables give empty tables.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -104,10 +104,13 @@ class Level:
 
 
 class SuffixIndex:
-    """Suffix arrays of the batches so far, in levels of growing size."""
+    """Suffix arrays of the batches so far, in levels of growing size.
 
-    def __init__(self, work: Workspace, length: int = LENGTH):
-        self.work, self.length = work, length
+    ``make`` makes the entries of texts: rows with the gram ``fp`` that a suffix begins with. Those of :func:`entries` count in bytes, those of ``passages`` in words.
+    """
+
+    def __init__(self, work: Workspace, length: int = LENGTH, make: Callable[[DataFrame, int], DataFrame] = entries):
+        self.work, self.length, self.make = work, length, make
         self.levels: list[Level] = []
         self.repeats: list[DataFrame] = []  # (fp) of grams found more than once
         self.batches = 0
@@ -116,7 +119,7 @@ class SuffixIndex:
         """Index a batch of ``texts`` (digest, text), none of which has been indexed before."""
         self.merge()
         name = f"array{self.batches}"
-        array = self.work.save(entries(texts, self.length), name)
+        array = self.work.save(self.make(texts, self.length), name)
         directory = self.work.save(array.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), f"{name}_grams")
         found = directory.where("n > 1").select("fp")
         for level in self.levels:

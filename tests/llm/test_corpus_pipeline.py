@@ -72,3 +72,30 @@ def test_stage_finds_passages_of_51_short_words(spark, docs):
     rows = [(i, f"{prose(40, rng)} {passage} {prose(40, rng)}", "en", "s") for i in range(2)]
     out = corpus_pipeline.repeated_passages(spark, docs(rows, extra=False), "").collect()
     assert len(passage) == 101 and all(passage not in r["text"] and len(r["text"].split()) == 80 for r in out)
+
+
+def test_stage_goes_by_the_suffix_indexes(spark, docs, monkeypatch):
+    from tallyspark.llm import passages, suffix_dedup
+
+    added = []
+    monkeypatch.setattr(suffix_dedup.SuffixIndex, "add", lambda self, texts, add=suffix_dedup.SuffixIndex.add: (add(self, texts), added.append([x.size for x in self.levels])))
+    rng = random.Random(7)
+    passage = " ".join(rng.choice("abcdefghijklmnopqrstuvw") for _ in range(51))
+    rows = [(i, f"{prose(40, rng)} {passage if i % 5 == 0 else prose(51, rng)} {prose(40, rng)}", "en", "s") for i in range(30)]
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.repeated_passages(spark, docs(rows, extra=False), "").collect()}
+    assert len(added) == 3 and all(a >= 2 * b for sizes in added for a, b in zip(sizes[:-2], sizes[1:-1]))
+    assert {i for i in out if len(out[i].split()) == 80} == set(range(0, 30, 5))
+    again = passages.strip(docs(rows, extra=False)).collect()
+    assert {r["doc_id"]: r["text"] for r in again} == out
+
+
+def test_suffix_query_tells_passages_by_words(spark, docs, tmp_path):
+    from tallyspark.llm import queries
+
+    rng = random.Random(9)
+    passage = " ".join(rng.choice("abcdefghijklmnopqrstuvw") for _ in range(51))
+    rows = [(i, f"{prose(40, rng)} {passage if i < 2 else prose(51, rng)} {prose(40, rng)}", "en", "s") for i in range(6)] + [(9, None, "en", "s")]
+    docs(rows, extra=False).write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r["doc_id"]: r for r in queries.op2_suffixes(spark, str(tmp_path)).collect()}
+    assert {i: r["passage_bytes"] for i, r in out.items()} == {i: 101 if i < 2 else 0 for i in (*range(6), 9)}
+    assert all(r["n_removed"] == 0 for r in out.values())  # shorter than 400 bytes
