@@ -11,9 +11,9 @@ MONEY = "decimal(18,2)"
 TOLERANCE = "0.21"
 
 # An amount with its currency prefix and optional marks.
-# A minus may be followed by a stray comma.
-TOKEN = r"(?i)(?:(?:Rs\.?|INR|₹)\s*)?\(?(?:-,?)?\d[\d,]*(?:\.\d+)?\)?(?:\s*\b(?:Cr|Dr)\b)?"
-DECIMAL_TOKEN = r"(?i)(?:(?:Rs\.?|INR|₹)\s*)?\(?(?:-,?)?\d[\d,]*\.\d{1,2}\)?(?:\s*\b(?:Cr|Dr)\b)?"
+# A minus may be followed by a stray comma. The look ahead leaves the places early where no amount can begin.
+TOKEN = r"(?i)(?=[RI₹(\-\d])(?:(?:Rs\.?|INR|₹)\s*)?\(?(?:-,?)?\d[\d,]*(?:\.\d+)?\)?(?:\s*\b(?:Cr|Dr)\b)?"
+DECIMAL_TOKEN = r"(?i)(?=[RI₹(\-\d])(?:(?:Rs\.?|INR|₹)\s*)?\(?(?:-,?)?\d[\d,]*\.\d{1,2}\)?(?:\s*\b(?:Cr|Dr)\b)?"
 
 
 def parse_amount(text: Column | str) -> Column:
@@ -38,15 +38,39 @@ def tokens(text: Column | str, decimals: bool = False) -> Column:
     empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<pos:int,raw:string>>").alias("out"))
 
     def placed(t: Column) -> Column:
-        found, between = F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), F.split(t, pattern)
-        step = let(found, lambda f: F.zip_with(f, F.slice(between, 1, F.size(f)), lambda m, gap: F.struct(F.length(gap).alias("gap"), F.length(m).alias("size"), m.alias("raw"))))
+        found, upto = F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), F.regexp_extract_all(t, F.lit(f"(?s).*?{pattern}"), F.lit(0))
+        step = F.zip_with(found, upto, lambda m, x: F.struct((F.length(x) - F.length(m)).alias("gap"), F.length(m).alias("size"), m.alias("raw")))
         return F.aggregate(
             step,
             empty,
             lambda acc, x: F.struct((acc["at"] + x["gap"] + x["size"]).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("pos"), x["raw"].alias("raw")))).alias("out")),
         )["out"]
 
-    return F.transform(let(F.regexp_replace(_col(text), r"\(cid:\d+\)", ""), placed), lambda x: F.struct(x["pos"].alias("pos"), x["raw"].alias("raw"), parse_amount(x["raw"]).alias("amount")))
+    return F.transform(let(_plain(text), placed), lambda x: F.struct(x["pos"].alias("pos"), x["raw"].alias("raw"), parse_amount(x["raw"]).alias("amount")))
+
+
+def _plain(text: Column | str) -> Column:
+    return F.regexp_replace(_col(text), r"\(cid:\d+\)", "")
+
+
+def count_tokens(text: Column | str, decimals: bool = False) -> Column:
+    """How many :func:`tokens` a line has."""
+    return F.regexp_count(_plain(text), F.lit(DECIMAL_TOKEN if decimals else TOKEN))
+
+
+def first_token(text: Column | str, decimals: bool = False) -> Column:
+    """What the first of :func:`tokens` is written like, null without one."""
+    return F.nullif(F.regexp_extract(_plain(text), DECIMAL_TOKEN if decimals else TOKEN, 0), F.lit(""))
+
+
+def first_amount(text: Column | str, decimals: bool = False) -> Column:
+    """The amount of the first of :func:`tokens`; the others aren't parsed."""
+    return parse_amount(first_token(text, decimals))
+
+
+def last_amount(text: Column | str, decimals: bool = False) -> Column:
+    """The amount of the last of :func:`tokens`."""
+    return parse_amount(F.try_element_at(F.regexp_extract_all(_plain(text), F.lit(DECIMAL_TOKEN if decimals else TOKEN), F.lit(0)), F.lit(-1)))
 
 
 def nearest(items: Column, position: Column) -> Column:

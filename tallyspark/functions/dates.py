@@ -109,8 +109,8 @@ def date_beside_label(text: Column | str, label: str) -> Column:
 
 def date_at_label(text: Column | str, label: str) -> Column:
     """The same, else the first date on the lines below."""
-    below = let(lines(after_label(text, label, 4000)), lambda rows: F.array_join(F.slice(rows, 2, F.size(rows)), "\n"))
-    return F.coalesce(date_beside_label(text, label), first_date(below))
+    below = lambda t: F.regexp_extract(t, r"(?s)^[^\n]*\n(.*)", 1)
+    return let(after_label(text, label, 4000), lambda t: F.coalesce(date_range(F.substring_index(t, "\n", 1))["end"], first_date(below(t))))
 
 
 def first_range(text: Column | str, joiner: str, near: int = 80) -> Column:

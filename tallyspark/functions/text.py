@@ -31,8 +31,14 @@ def unlines(rows: Column) -> Column:
 
 def sanitize(text: Column | str) -> Column:
     """Characters outside the allow-list become blanks; line ends are trimmed on the right."""
-    plain = F.regexp_replace(_col(text), f"[^{ALLOWED}]", " ")
-    return unlines(F.transform(lines(plain), lambda x: F.rtrim(x)))
+
+    def trimmed(t: Column) -> Column:
+        loose = F.contains(t, F.lit(" \n")) | F.endswith(t, F.lit(" "))
+        return F.when(loose, unlines(F.transform(lines(t), lambda x: F.rtrim(x)))).otherwise(t)
+
+    # one loop over the characters says of most texts that there is nothing to replace
+    plain = lambda t: F.when(t.rlike(rf"\A[{ALLOWED}]*+\z"), t).otherwise(F.regexp_replace(t, f"[^{ALLOWED}]", " "))
+    return let(_col(text), lambda t: let(plain(t), trimmed))
 
 
 def squeeze(text: Column | str) -> Column:
@@ -58,7 +64,8 @@ def trim_by_markers(text: Column | str, start: list[str], end: list[str]) -> Col
         last = F.coalesce(F.try_element_at(at(rows, end), F.lit(-1)), F.size(rows)) if end else F.size(rows)
         return let(F.struct(first.alias("a"), last.alias("b")), lambda p: unlines(F.slice(rows, p["a"], F.greatest(p["b"] - p["a"] + 1, F.lit(0)))))
 
-    return let(lines(text), cut)
+    t = _col(text)
+    return F.when(_any(t, [*start, *end]), let(lines(t), cut)).otherwise(t)
 
 
 def _any(text: Column, markers: list[str]) -> Column:
@@ -114,6 +121,7 @@ def _marker(marker: str, markers: list[str]) -> Column:
     ends = [anchor, *BOUNDARIES, *(m for m in markers if m != marker and m.strip())]
     long = len(words) > SHORT_MARKER
     parts = {
+        "key": max(words[1:5] if long else words, key=len),
         "pattern": r"\s+".join(re.escape(w) for w in words),
         "anchor": anchor,
         "ends": "|".join(re.escape(e) for e in ends),
@@ -154,7 +162,8 @@ def drop_sections(text: Column | str, markers: list[str]) -> Column:
     marker or one of ``BOUNDARIES``. If that changes nothing, every occurrence of the marker's words goes, whatever white space is between them. If
     that neither, a long marker is a block of lines, from the first line with its first words to the last with its last words.
 
-    The markers are data of one fold, so the expression doesn't grow with them.
+    The markers are data of one fold, so the expression doesn't grow with them. A marker is only looked for where its longest word is: most texts hold few markers,
+    and a pattern that is data is compiled anew for each row.
     """
     known = [m for m in markers if m.split()]
     if not known:
@@ -169,7 +178,7 @@ def drop_sections(text: Column | str, markers: list[str]) -> Column:
             changed = lambda c: let(c, lambda v: F.when(v != t, v))
             return F.coalesce(changed(section), changed(words), changed(block), t)
 
-        return let(lines(t), of)
+        return F.when(F.contains(t, m["key"]), let(lines(t), of)).otherwise(t)
 
     return drop_blank_lines(F.aggregate(F.array(*(_marker(m, known) for m in known)), _col(text), step))
 
@@ -182,15 +191,17 @@ def label_pattern(label: str) -> str:
 
 def after_label(text: Column | str, label: str, width: int = 400) -> Column:
     """What stands behind the label's first occurrence, at most ``width`` characters; null without the label."""
-    parts = F.split(_col(text), label_pattern(label), 2)
-    return F.left(F.get(parts, F.lit(1)), F.lit(width))
+    return _once(text, label_pattern(label) + rf"(?s)(.{{0,{width}}})")
 
 
 def from_label(text: Column | str, label: str, width: int = 400) -> Column:
     """The same with the label itself."""
-    t = _col(text)
-    at = F.regexp_instr(t, F.lit(label_pattern(label)))
-    return F.when(at > 0, F.substring(t, at, F.lit(width)))
+    return _once(text, rf"(?={label_pattern(label)})(?s)(.{{0,{width}}})")
+
+
+def _once(text: Column | str, pattern: str) -> Column:
+    """The first group of the first match, null without one. Spark keeps the compiled pattern from row to row, which ``split`` doesn't."""
+    return F.get(F.regexp_extract_all(_col(text), F.lit(f"{pattern}.*"), F.lit(1)), F.lit(0))
 
 
 def has_label(text: Column | str, label: str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyspark.functions.amounts import nearest, parse_amount, tokens
+from tallyspark.functions.amounts import count_tokens, first_amount, first_token, last_amount, nearest, parse_amount, tokens
 from tallyspark.functions.dates import first_date
 from tallyspark.functions.text import _col, after_label, first_where, from_label, label_pattern, let, lines
 
@@ -31,21 +31,20 @@ def _after_line(text: Column | str, pattern: str) -> Column:
 def amount_beside_label(text: Column | str, label: str, width: int = 400) -> Column:
     """The first amount with decimals behind the label, lines that only say a date left out."""
     rest = F.filter(lines(after_label(text, label, width)), lambda x: ~x.rlike(r"^\s*\d{1,2}[/-][\dA-Za-z]{2,3}[/-]\d{2,4}\s*$"))
-    return _first(tokens(F.array_join(rest, "\n"), decimals=True))["amount"]
+    return first_amount(F.array_join(rest, "\n"), decimals=True)
 
 
 def amount_below_label(text: Column | str, label: str, within: int = 5) -> Column:
     """The first amount on one of the lines below the label's line; one with a currency sign is preferred."""
     below = F.array_join(F.slice(_after_line(text, label_pattern(label)), 1, within), "\n")
     signed = F.regexp_extract(below, r"(?i)(?:Rs\.?|INR|₹)\s*-?[\d,]+(?:\.\d+)?(?:\s*\b(?:Cr|Dr)\b)?", 0)
-    return F.coalesce(parse_amount(F.nullif(signed, F.lit(""))), _first(tokens(below, decimals=True))["amount"])
+    return F.coalesce(parse_amount(F.nullif(signed, F.lit(""))), first_amount(below, decimals=True))
 
 
 def nth_row_after(text: Column | str, anchor: str, n: int = 1, least: int = 1, last: bool = True) -> Column:
     """The last (or first) amount of the n-th line below the anchor that has at least ``least`` amounts."""
-    rows = F.filter(F.transform(_after_line(text, label_pattern(anchor)), lambda x: tokens(x, decimals=True)), lambda t: F.size(t) >= least)
-    row = F.get(rows, F.lit(n - 1))
-    return (_last(row) if last else _first(row))["amount"]
+    rows = F.filter(_after_line(text, label_pattern(anchor)), lambda x: count_tokens(x, decimals=True) >= least)
+    return (last_amount if last else first_amount)(F.get(rows, F.lit(n - 1)), decimals=True)
 
 
 def lone_amount_after(text: Column | str, anchor: str) -> Column:
@@ -57,9 +56,9 @@ def lone_amount_after(text: Column | str, anchor: str) -> Column:
 def section_total(text: Column | str, anchor: str, total: str = "Total") -> Column:
     """In the section below the anchor the last line that is one amount, else the last amount of the total's line."""
     rest = _after_line(text, label_pattern(anchor))
-    single = F.filter(F.transform(rest, lambda x: tokens(x, decimals=True)), lambda t: F.size(t) == 1)
+    single = F.filter(rest, lambda x: count_tokens(x, decimals=True) == 1)
     line = _first(F.filter(rest, lambda x: x.rlike(rf"(?i)^\s*{total}\b")))
-    return F.coalesce(_last(tokens(line, decimals=True))["amount"], _first(_last(single))["amount"])
+    return F.coalesce(last_amount(line, decimals=True), first_amount(_last(single), decimals=True))
 
 
 def column_below_header(text: Column | str, header: str, column: str, least: int = 3) -> Column:
@@ -68,8 +67,8 @@ def column_below_header(text: Column | str, header: str, column: str, least: int
     pattern = label_pattern(header)
     head = _first(F.filter(rows, lambda x: x.rlike(pattern)))
     position = F.regexp_instr(head, F.lit(label_pattern(column))) - 1
-    found = _first(F.filter(F.transform(_after_line(text, pattern), lambda x: tokens(x, decimals=True)), lambda t: F.size(t) >= least))
-    return F.when(position >= 0, nearest(found, position))
+    found = tokens(_first(F.filter(_after_line(text, pattern), lambda x: count_tokens(x, decimals=True) >= least)), decimals=True)
+    return let(position, lambda p: F.when(p >= 0, nearest(found, p)))
 
 
 def unlabelled_opening(text: Column | str) -> Column:
@@ -92,10 +91,6 @@ def _all(x: Column) -> Column:
     return tokens(x)
 
 
-def _decimals(x: Column) -> Column:
-    return tokens(x, decimals=True)
-
-
 def _shown(window: Column) -> Column:
     """The lines that aren't blank and don't only say a date."""
     return F.filter(lines(window), lambda x: (F.trim(x) != "") & ~x.rlike(_DATE_ONLY))
@@ -108,7 +103,7 @@ def table_rows(window: Column) -> Column:
 
     def parted(rows: Column) -> Column:
         head = first_where(rows, lambda x: x.rlike(_HEADER))
-        at = let(head, lambda h: h + 1 + first_where(F.slice(rows, h + 2, F.size(rows)), lambda x: F.size(_all(x)) >= 3))
+        at = let(head, lambda h: h + 1 + first_where(F.slice(rows, h + 2, F.size(rows)), lambda x: count_tokens(x) >= 3))
         return let(at, lambda n: F.when(n.isNotNull(), F.struct(F.slice(rows, 1, n).alias("head"), F.slice(rows, n + 1, F.size(rows)).alias("data"))))
 
     return let(let(_shown(window), before), parted)
@@ -134,35 +129,32 @@ def table_column(text: Column | str, context: str, column: str, width: int = 200
 
 def row_after(text: Column | str, anchor: str, n: int = 1, last: bool = True, least: int = 3, width: int = 1200, decimals: bool = True) -> Column:
     """The last (or first) amount of the n-th line behind the anchor, the rest of its own included, that has ``least`` amounts."""
-    read = _decimals if decimals else _all
-    rows = F.filter(F.transform(lines(after_label(text, anchor, width)), read), lambda t: F.size(t) >= least)
-    row = F.get(rows, F.lit(n - 1))
-    return (_last(row) if last else _first(row))["amount"]
+    rows = F.filter(lines(after_label(text, anchor, width)), lambda x: count_tokens(x, decimals) >= least)
+    return (last_amount if last else first_amount)(F.get(rows, F.lit(n - 1)), decimals)
 
 
 def next_line_amount(text: Column | str, label: str, width: int = 400) -> Column:
     """The first amount on the lines below the label's line; on a line one with decimals is preferred."""
     below = let(lines(after_label(text, label, width)), lambda rows: F.slice(rows, 2, F.size(rows)))
-    each = F.transform(below, lambda x: F.coalesce(_first(_decimals(x)), _first(_all(x)))["amount"])
+    each = F.transform(below, lambda x: parse_amount(F.coalesce(first_token(x, decimals=True), first_token(x))))
     return _first(F.filter(each, lambda a: a.isNotNull()))
 
 
 def single_amount_after(text: Column | str, anchor: str, width: int = 500) -> Column:
     """The amount of the first line behind the anchor that has just one."""
-    one = F.filter(F.transform(lines(after_label(text, anchor, width)), _all), lambda t: F.size(t) == 1)
-    return _first(_first(one))["amount"]
+    return first_amount(_first(F.filter(lines(after_label(text, anchor, width)), lambda x: count_tokens(x) == 1)))
 
 
 def equation_after(text: Column | str, anchor: str, width: int = 600) -> Column:
     """The first amount of the first line behind the anchor that has an equals sign."""
-    rows = F.filter(lines(after_label(text, anchor, width)), lambda x: F.contains(x, F.lit("=")) & (F.size(_all(x)) > 0))
-    return _first(_all(_first(rows)))["amount"]
+    rows = F.filter(lines(after_label(text, anchor, width)), lambda x: F.contains(x, F.lit("=")) & (count_tokens(x) > 0))
+    return first_amount(_first(rows))
 
 
 def inline_amount(text: Column | str, label: str) -> Column:
     """The first amount on the label's line."""
     row = _first(F.filter(lines(text), lambda x: x.rlike(label_pattern(label))))
-    return _first(_all(row))["amount"]
+    return first_amount(row)
 
 
 def edge_opening(text: Column | str) -> Column:
@@ -184,9 +176,9 @@ def outstanding(text: Column | str, anchor: str = "Total Outstanding") -> Column
         return let(end, lambda n: F.when(n.isNull(), rows).otherwise(F.slice(rows, 1, n)))
 
     def read(rows: Column) -> Column:
-        single = F.filter(F.transform(rows, _decimals), lambda t: F.size(t) == 1)
-        total = F.filter(rows, lambda x: x.rlike(r"(?i)^\s*Total\b") & (F.size(_decimals(x)) > 1))
-        return F.coalesce(_first(_last(single))["amount"], _last(_decimals(_last(total)))["amount"])
+        single = F.filter(rows, lambda x: count_tokens(x, decimals=True) == 1)
+        total = F.filter(rows, lambda x: x.rlike(r"(?i)^\s*Total\b") & (count_tokens(x, decimals=True) > 1))
+        return F.coalesce(first_amount(_last(single), decimals=True), last_amount(_last(total), decimals=True))
 
     below = let(lines(after_label(text, anchor, 600)), lambda rows: F.filter(F.slice(rows, 2, F.size(rows)), lambda x: F.trim(x) != ""))
     return let(let(below, upto), read)
@@ -194,8 +186,8 @@ def outstanding(text: Column | str, anchor: str = "Total Outstanding") -> Column
 
 def due_line(text: Column | str, label: str = "Payment Due Date", width: int = 400) -> Column:
     """The first amount of the first line behind the label that has a date and, the date's digits apart, two amounts."""
-    rows = F.filter(lines(after_label(text, label, width)), lambda x: first_date(x).isNotNull() & (F.size(_decimals(x)) >= 2))
-    return _first(_decimals(_first(rows)))["amount"]
+    rows = F.filter(lines(after_label(text, label, width)), lambda x: (count_tokens(x, decimals=True) >= 2) & first_date(x).isNotNull())
+    return first_amount(_first(rows), decimals=True)
 
 
 def stacked_amount(text: Column | str, label: str, begin: str = "Invoice No :") -> Column:
@@ -205,7 +197,7 @@ def stacked_amount(text: Column | str, label: str, begin: str = "Invoice No :")
     def read(rest: Column, n: Column) -> Column:
         at = first_where(F.slice(rest, 1, n), lambda x: x.rlike(label_pattern(label)))
         values = F.slice(rest, n + 1, F.size(rest))
-        return let(values, lambda v: _first(_all(F.get(v, first_where(v, lambda x: x.rlike(value)) + at)))["amount"])
+        return let(values, lambda v: first_amount(F.get(v, first_where(v, lambda x: x.rlike(value)) + at)))
 
     def behind(rows: Column) -> Column:
         return let(first_where(rows, lambda x: F.contains(x, F.lit(begin))), lambda start: F.slice(rows, start + 1, F.size(rows)))

@@ -139,7 +139,7 @@ _EDGE = Layout(date=(("top", _DASH, 2000),), period=(("top", _DASH, 2000),), ope
 _EDGE_LABELS = ("Opening Balance", "Spends", "Cash Advances", "Fees & Charges", "Interest Charges", "Repayments & Refunds", "Paid via points", "Total Amount Due")
 _EDGE_END = ("-" * 48 + " End of Transactions " + "-" * 48,)
 _HDFC = Layout(
-    date=(("beside", "Statement Date"), ("at", "Statement Date"), ("at", "Address"), ("near", "Billing Period", _DASH)),
+    date=(("at", "Statement Date"), ("at", "Address"), ("near", "Billing Period", _DASH)),
     period=(("near", "Billing Period", _DASH),),
     opening=(*_if("guideline", _SUMMARY["opening"]), *_unless("guideline", ("column", "Account Summary", "Opening Balance"), ("row", "Account Summary", 1, False))),
     closing=(*_if("guideline", _SUMMARY["closing"], ("due_line",)), *_unless("guideline", ("column", "Account Summary", "Total Dues"), ("row", "Account Summary", 1, True))),
@@ -206,7 +206,7 @@ _INDUSIND = Layout(
 )
 _MONTH_DUE = "Total Amount Due for Month"
 _PNB = Layout(
-    date=(("beside", "Invoice Date :"), ("at", "Invoice Date :"), *_unless("late_invoice", ("near_split", "From", _TO))),
+    date=(("at", "Invoice Date :"), *_unless("late_invoice", ("near_split", "From", _TO))),
     period=(("near_split", "From", _TO), *_if("late_invoice", ("two_dates",))),
     opening=(("column", "Account Summary", "Previous Balance"),),
     closing=(("column", "Account Summary", _MONTH_DUE), *_if("late_invoice", ("stacked", _MONTH_DUE), ("stacked", "Total Amount Due")), ("beside_amount", _MONTH_DUE), ("beside_amount", "Total Amount Due :")),
@@ -347,17 +347,44 @@ def clean(t: Column, name: str) -> Column:
     return text.label_column(out, rule.labels) if rule.labels else out
 
 
-def _chain(t: Column, steps: tuple[Step, ...], raw: Column) -> list[Column]:
+def _chain(t: Column, steps: tuple[Step, ...], said: Column | None = None) -> list[Column]:
+    """The columns of ``steps``; ``said`` has what :func:`_said` found in ``t``."""
+
     def one(step: Step) -> Column:
         kind, *args = step
         if kind in ("if", "unless"):
-            test = CONDITIONS[args[0]](raw if args[0] in _BEFORE_CLEANING else t)
-            return F.when(test if kind == "if" else ~test, one(args[1]))
-        return STEPS[kind](t, *args)
+            return F.when(said[args[0]] if kind == "if" else ~said[args[0]], one(args[1]))
+        return STEPS[kind](said["parts"] if kind in idfc.OF_PARTS else t, *args)
 
     return [one(s) for s in steps]
 
 
+def _asked(steps: tuple[Step, ...]) -> set[str]:
+    """The conditions that ``steps`` depend on, and "parts" where one reads these."""
+    found = set()
+    for step in steps:
+        while step[0] in ("if", "unless"):
+            found.add(step[1])
+            step = step[2]
+        if step[0] in idfc.OF_PARTS:
+            found.add("parts")
+    return found
+
+
+def _said(t: Column, steps: tuple[Step, ...], raw: Column, body: Callable[[Column | None], Column]) -> Column:
+    """``body`` of what several of ``steps`` ask of the text, each found once."""
+    asked = _asked(steps)
+    if not asked:
+        return body(None)
+
+    def conditions(parts: Column | None) -> Column:
+        args = lambda n: (t, parts) if n == "classic" else (raw if n in _BEFORE_CLEANING else t,)
+        found = [F.coalesce(CONDITIONS[n](*args(n)), F.lit(False)).alias(n) for n in sorted(asked - {"parts"})]
+        return text.let(F.struct(*found, *([parts.alias("parts")] if parts is not None else [])), body)
+
+    return text.let(idfc.parts(t), conditions) if asked & {"parts", "classic"} else conditions(None)
+
+
 def read(t: Column, name: str, raw: Column | None = None) -> Column:
     """(date, start, end, estimated, annual, opening, closing, reference) of a cleaned text by a layout; ``raw`` is the text before that."""
     rule = LAYOUTS[name]
@@ -367,11 +394,21 @@ def read(t: Column, name: str, raw: Column | None = None) -> Column:
     def kind(step: Step) -> str:
         return kind(step[2]) if step[0] in ("if", "unless") else step[0]
 
-    def amount(x: Column, steps: tuple[Step, ...]) -> Column:
-        return F.coalesce(*_chain(x, steps, raw), F.lit(None).cast("decimal(18,2)"))
+    def amount(x: Column, steps: tuple[Step, ...], asked: Column | None) -> Column:
+        return F.coalesce(*_chain(x, steps, asked), F.lit(None).cast("decimal(18,2)"))
+
+    def days(asked: Column | None) -> Column:
+        """The day and the period; steps of the day that are those of the period aren't taken again."""
+        n, steps = len(rule.period), rule.date
+        at = next((i for i in range(len(steps) - n + 1) if n and steps[i : i + n] == rule.period), None)
+
+        def day(p: Column) -> Column:
+            each = lambda own: [c["end"] if kind(s) in ranges else c for s, c in zip(own, _chain(t, own, asked), strict=True)]
+            found = each(steps) if at is None else [*each(steps[:at]), p["end"], *each(steps[at + n :])]
+            return F.struct(F.coalesce(*found, F.lit(None).cast("date")).alias("day"), p.alias("period"), F.when(said, year).alias("year"))
+
+        return text.let(F.coalesce(*_chain(t, rule.period, asked), F.lit(None).cast("struct<start:date,end:date>")), day)
 
-    day = F.coalesce(*(c["end"] if kind(s) in ranges else c for s, c in zip(rule.date, _chain(t, rule.date, raw), strict=True)), F.lit(None).cast("date"))
-    period = F.coalesce(*_chain(t, rule.period, raw), F.lit(None).cast("struct<start:date,end:date>"))
     year = dates.year_end_range(t) if rule.annual else F.lit(None).cast("struct<start:date,end:date>")
     said = F.contains(F.lower(t), F.lit("year end statement")) | F.contains(F.lower(t), F.lit("account summary"))
     may = {"never": F.lit(False), "always": F.lit(True)}.get(rule.estimate)
@@ -385,16 +422,16 @@ def read(t: Column, name: str, raw: Column | None = None) -> Column:
         )
 
     def money(x: Column) -> Column:
-        return F.struct(amount(x, rule.opening).alias("opening"), amount(x, rule.closing).alias("closing"))
+        return _said(x, (*rule.opening, *rule.closing), raw, lambda asked: F.struct(amount(x, rule.opening, asked).alias("opening"), amount(x, rule.closing, asked).alias("closing")))
 
-    found = text.let(text.let(F.struct(day.alias("day"), period.alias("period"), F.when(said, year).alias("year")), head), lambda h: F.struct(h.alias("h"), (h["start"].isNull() & h["end"].isNotNull() & may).alias("estimated")))
+    found = text.let(text.let(_said(t, (*rule.date, *rule.period), raw, days), head), lambda h: F.struct(h.alias("h"), (h["start"].isNull() & h["end"].isNotNull() & may).alias("estimated")))
     ready = text.merge_marks(text.join_detached_marks(t)) if rule.prepare == "marks" else t
 
     def both(h: Column, m: Column) -> Column:
         start = F.when(h["estimated"], periods.approximate_start(h["h"]["end"])).otherwise(h["h"]["start"])
         return F.struct(
             h["h"]["date"].alias("date"), start.alias("start"), h["h"]["end"].alias("end"), h["estimated"].alias("estimated"), h["h"]["annual"].alias("annual"),
-            m["opening"].alias("opening"), m["closing"].alias("closing"), F.coalesce(*_chain(t, rule.reference, raw), F.lit(None).cast("string")).alias("reference"),
+            m["opening"].alias("opening"), m["closing"].alias("closing"), F.coalesce(*_chain(t, rule.reference), F.lit(None).cast("string")).alias("reference"),
         )
 
     return text.let(found, lambda h: text.let(text.let(ready, money), lambda m: both(h, m)))

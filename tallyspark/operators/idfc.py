@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyspark.functions.amounts import nearest, tokens
+from tallyspark.functions.amounts import count_tokens, first_amount, nearest, tokens
 from tallyspark.functions.text import after_label, first_where, from_label, label_pattern, let, lines
 from tallyspark.operators.extract import _DATE_ONLY, table_rows
 
@@ -13,9 +13,14 @@ _INLINE = r"(?i)Total Amount Due.*Minimum Amount Due.*Credit Limit"
 _RUPEE = r"(?i)(?:^|\s)r\s*-?\d[\d,]*(?:\.\d+)?"
 
 
+def _unsigned(x: Column) -> Column:
+    """A line without an r for the rupee sign."""
+    return F.regexp_replace(x, r"(?i)(^|\s)r\s*(?=-?\d)", "$1")
+
+
 def _amounts(x: Column) -> Column:
     """Amounts of a line, those written with an r for the rupee sign included."""
-    return tokens(F.regexp_replace(x, r"(?i)(^|\s)r\s*(?=-?\d)", "$1"))
+    return tokens(_unsigned(x))
 
 
 def _get(items: Column, i: int) -> Column:
@@ -39,18 +44,30 @@ def _block(t: Column) -> Column:
     return let(before, lambda b: table_rows(upper(b)))
 
 
-def is_classic(t: Column) -> Column:
-    return ~is_inline(t) & (F.coalesce(F.size(_summary(t)) >= 4, F.lit(False)) | _block(t).isNotNull())
+#: Steps that read the parts of a text instead of the text.
+OF_PARTS = frozenset(["classic", "header_block", "leading_stack", "stack", "stack_after"])
+
+
+def parts(t: Column) -> Column:
+    """What several steps read: the summary row, the table, and the lines and amounts of both stacks."""
+    before = F.get(F.split(t, label_pattern("YOUR TRANSACTIONS"), 2), F.lit(0))
+    stacks = lambda rows: F.struct(_money(rows["leading"]).alias("leading"), _money(rows["below"]).alias("stack"), rows["below"].alias("below"))
+    found = F.struct(_until(lines(before)).alias("leading"), _until(lines(from_label(t, "Statement Summary", 2500))).alias("below"))
+    return let(let(found, stacks), lambda s: F.struct(_summary(t).alias("summary"), _block(t).alias("block"), s.alias("stacks")))
+
+
+def is_classic(t: Column, found: Column) -> Column:
+    return ~is_inline(t) & (F.coalesce(F.size(found["summary"]) >= 4, F.lit(False)) | found["block"].isNotNull())
 
 
-def classic(t: Column, last: bool) -> Column:
+def classic(found: Column, last: bool) -> Column:
     """Opening is the second amount of the summary row, unless it is zero; closing the last."""
     if last:
-        return F.try_element_at(_summary(t), F.lit(-1))["amount"]
-    return let(_get(_summary(t), 1), lambda a: F.when(a != 0, a))
+        return F.try_element_at(found["summary"], F.lit(-1))["amount"]
+    return let(_get(found["summary"], 1), lambda a: F.when(a != 0, a))
 
 
-def header_block(t: Column, column: str) -> Column:
+def header_block(found: Column, column: str) -> Column:
     """In a table whose data is broken over lines the third amount of the last (opening) or first line; else by column."""
     opening = column == "Opening Balance"
 
@@ -62,20 +79,20 @@ def header_block(t: Column, column: str) -> Column:
         return F.coalesce(split, let(at, lambda p: F.when(p.isNotNull(), nearest(_amounts(F.array_join(data, " ")), p))))
 
     def rows(found: Column) -> Column:
-        n = F.coalesce(first_where(found["data"], lambda x: F.size(_amounts(x)) < 2), F.size(found["data"]))
+        n = F.coalesce(first_where(found["data"], lambda x: count_tokens(_unsigned(x)) < 2), F.size(found["data"]))
         return let(F.slice(found["data"], 1, n), lambda data: read(found, data))
 
-    return let(_block(t), rows)
+    return rows(found["block"])
 
 
 def sidecar_opening(t: Column) -> Column:
     """The amount on the line above a line that only says Opening Balance, if that is of the summary."""
 
     def above(rows: Column) -> Column:
-        return let(first_where(rows, lambda x: x.rlike(label_pattern("Opening Balance")) & (F.size(tokens(x)) == 0)), lambda at: F.when(at > 0, F.get(rows, at - 1)))
+        return let(first_where(rows, lambda x: x.rlike(label_pattern("Opening Balance")) & (count_tokens(x) == 0)), lambda at: F.when(at > 0, F.get(rows, at - 1)))
 
     line = let(F.filter(lines(t), lambda x: F.trim(x) != ""), above)
-    return let(line, lambda x: F.when(x.rlike(r"(?i)^\s*r|Rewards\s+Summary"), _get(_amounts(x), 0)))
+    return let(line, lambda x: F.when(x.rlike(r"(?i)^\s*r|Rewards\s+Summary"), first_amount(_unsigned(x))))
 
 
 def _until(rows: Column) -> Column:
@@ -90,7 +107,7 @@ def _until(rows: Column) -> Column:
 def _money(rows: Column) -> Column:
     """The amounts of lines that are a rupee amount or have decimals."""
     kept = F.filter(rows, lambda x: ~x.rlike(_DATE_ONLY) & (x.rlike(r"(?i)^\s*r\s*-?\d") | x.rlike(r"[\d,]+\.\d{2}")))
-    return F.filter(F.transform(kept, lambda x: _get(_amounts(x), 0)), lambda a: a.isNotNull())
+    return F.filter(F.transform(kept, lambda x: first_amount(_unsigned(x))), lambda a: a.isNotNull())
 
 
 def _pick(found: Column, last: bool) -> Column:
@@ -100,20 +117,18 @@ def _pick(found: Column, last: bool) -> Column:
     return let(found, lambda f: F.coalesce(F.get(F.filter(f, lambda a: a != 0), F.lit(0)), F.get(f, F.lit(0))))
 
 
-def leading_stack(t: Column, last: bool) -> Column:
+def leading_stack(found: Column, last: bool) -> Column:
     """In the lines from the top to the first sign, before the transactions."""
-    before = F.get(F.split(t, label_pattern("YOUR TRANSACTIONS")), F.lit(0))
-    return _pick(_money(_until(lines(before))), last)
+    return _pick(found["stacks"]["leading"], last)
 
 
-def stack(t: Column, last: bool) -> Column:
+def stack(found: Column, last: bool) -> Column:
     """The same from the heading Statement Summary on."""
-    return _pick(_money(_until(lines(from_label(t, "Statement Summary", 2500)))), last)
+    return _pick(found["stacks"]["stack"], last)
 
 
-def stack_after(t: Column, label: str) -> Column:
+def stack_after(found: Column, label: str) -> Column:
     """The same behind the label in that stack."""
-    rows = _until(lines(from_label(t, "Statement Summary", 2500)))
-    rest = after_label(F.array_join(rows, "\n"), label, 2500)
-    found = F.filter(F.transform(F.filter(lines(rest), lambda x: ~x.rlike(_DATE_ONLY)), lambda x: _get(_amounts(x), 0)), lambda a: a.isNotNull())
-    return _pick(found, label == "Total Amount Due")
+    rest = after_label(F.array_join(found["stacks"]["below"], "\n"), label, 2500)
+    amounts = F.filter(F.transform(F.filter(lines(rest), lambda x: ~x.rlike(_DATE_ONLY)), lambda x: first_amount(_unsigned(x))), lambda a: a.isNotNull())
+    return _pick(amounts, label == "Total Amount Due")

@@ -32,8 +32,11 @@ def _range(label: str, pattern: str, joiner: str) -> Column:
 
 
 def _read(spark: SparkSession, sf_dir: str, bank: str, variants: dict[str, Column]) -> DataFrame:
-    """Orders dealt over the variants by number, each rendered in its layout, and read."""
-    o = orders(spark, sf_dir)
+    """Orders dealt over the variants by number, each rendered in its layout, and read.
+
+    Reading takes far longer than an order's few bytes suggest, so they are dealt over the cores first, however few row groups hold them.
+    """
+    o = orders(spark, sf_dir).select("ref", "day", "amount").repartition(4 * spark.sparkContext.defaultParallelism, "ref")
     names = list(variants)
     kind = F.col("ref") % len(names)
     pick = lambda values: F.coalesce(*(F.when(kind == i, v) for i, v in enumerate(values)))
