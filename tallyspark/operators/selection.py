@@ -37,11 +37,12 @@ def orphans(left: DataFrame, right: DataFrame, keys: list[str], names: tuple[str
 def with_fallback(accounts: DataFrame, rules: DataFrame, bank: str = "bank", variant: str = "variant") -> DataFrame:
     """``accounts`` with the rule of their bank and variant, else the bank's default, else null.
 
-    ``rules`` (bank, variant, rule) is a registry of a few dozen rows in code, so Spark's own size check broadcasts it.
+    ``rules`` (bank, variant, rule) is a registry of a few dozen rows in code. Spark doesn't know the size of such a frame, and to deal statements out by
+    their bank is to send all of one bank to one task, so it is broadcast by name.
     """
     exact = rules.select(F.col("bank").alias("__b"), F.col("variant").alias("__v"), F.col("rule").alias("__exact"))
     default = rules.where("variant = 'default'").select(F.col("bank").alias("__d"), F.col("rule").alias("__default"))
-    joined = accounts.join(exact, (F.col(bank) == F.col("__b")) & (F.col(variant) == F.col("__v")), "left").join(default, F.col(bank) == F.col("__d"), "left")
+    joined = accounts.join(F.broadcast(exact), (F.col(bank) == F.col("__b")) & (F.col(variant) == F.col("__v")), "left").join(F.broadcast(default), F.col(bank) == F.col("__d"), "left")
     return joined.withColumn("rule", F.coalesce("__exact", "__default")).drop("__b", "__v", "__exact", "__d", "__default")
 
 

@@ -40,6 +40,11 @@ def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dealt(rows: DataFrame, key: str = "ref") -> DataFrame:
+    """``rows`` dealt over the cores by a key that few share: what is done with an order takes far longer than its few bytes suggest, and few row groups may hold them."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 #: The same for SQL, to stand after WITH.
 ORDERS_SQL = """
 orders_t as (

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.operators import extract, registry
-from tallyspark.plans.catalogue import ORDERS_SQL, orders, query
+from tallyspark.plans.catalogue import ORDERS_SQL, dealt, orders, query
 
 _HEAD_SQL = f"with {ORDERS_SQL} select ref, amount as opening, (amount + 1)::decimal(18,2) as closing, (amount + 2)::decimal(18,2) as due, (amount + 3)::decimal(18,2) as total, 'AAN' || (1000000 + ref) as reference from orders_t"
 
@@ -47,7 +47,7 @@ select ref, day as date, note as description, (case when mark = 'CR' then amount
 from orders_t where account % 5 < 4""")
 def read_by_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements of four banks and of one without a reader, each written in its bank's layout."""
-    o, kind = orders(spark, sf_dir), F.col("account") % 5
+    o, kind = dealt(orders(spark, sf_dir)), F.col("account") % 5
     day, money = F.date_format("day", "dd/MM/yyyy"), F.format_number("amount", 2)
     line = (
         F.when(kind == 0, F.concat_ws(" ", day, F.lit("R9"), F.col("note"), money, F.col("mark")))
