@@ -55,5 +55,8 @@ class _StatementLines:
 
 
 def register(spark: SparkSession) -> None:
-    """Make ``statement_lines(text, bank, variant)`` known to the session: (pos, day, description, amount, mark, ref_no) of each transaction line."""
-    spark.udtf.register("statement_lines", udtf(_StatementLines, useArrow=True))
+    """Make ``statement_lines(text, bank, variant)`` known to the session: (pos, day, description, amount, mark, ref_no) of each transaction line.
+
+    Rows go to Python and back pickled: with Arrow each statement's few lines would be a table of their own, which takes longer than to find them.
+    """
+    spark.udtf.register("statement_lines", udtf(_StatementLines, useArrow=False))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tallyspark.functions import tables
 from tallyspark.operators import registry, run, selection
 
 
@@ -14,3 +15,11 @@ def test_statements_are_not_dealt_out_by_their_bank(spark):
     found = selection.with_fallback(statements, registry.readers(spark))
     assert "SortMergeJoin" not in _plan(found) and "hashpartitioning(bank" not in _plan(found)
     assert {r["rule"] for r in found.collect()} == {"marked"}
+
+
+def test_lines_of_a_table_function_come_without_a_table_for_each_statement(spark):
+    tables.register(spark)
+    texts = spark.createDataFrame([("05/01/2024 TEA 4.00 Dr\nx\n06/01/2024 BACK 5.00 Cr",), ("",), (None,)], "text string")
+    found = spark.sql("SELECT t.* FROM {texts} s, LATERAL statement_lines(s.text, 'yes', 'ace') t", texts=texts)
+    assert "ArrowEvalPythonUDTF" not in _plan(found)
+    assert [tuple(r) for r in found.collect()] == [(0, "05/01/2024", "TEA", "4.00", "DR", None), (2, "06/01/2024", "BACK", "5.00", "CR", None)]
