@@ -453,6 +453,17 @@ def reading(spark: SparkSession, name: str, into: str, raw: str) -> Column:
     return _reading(spark.sparkContext.applicationId, name, into, raw)
 
 
+def layout_names(banks: tuple[str, ...] | None) -> list[str]:
+    """The layouts of ``banks``, of all without them."""
+    return sorted({h.layout for h in HANDLERS if banks is None or h.bank in banks})
+
+
+def with_layout(statements: DataFrame) -> DataFrame:
+    """``statements`` (bank, variant, ..) with the layout that reads each; a variant without a handler is read by its bank's default, and null is none."""
+    known = registry(statements.sparkSession).select("bank", "variant", F.col("layout").alias("rule"))
+    return with_fallback(statements, known).withColumnRenamed("rule", "layout")
+
+
 def metadata(statements: DataFrame, banks: tuple[str, ...] | None = None, into: str = "text") -> tuple[DataFrame, DataFrame]:
     """(read, unread) of ``statements`` (bank, variant, .., text).
 
@@ -460,9 +471,7 @@ def metadata(statements: DataFrame, banks: tuple[str, ...] | None = None, into:
     opening, closing and reference. A variant without a handler is read by its bank's default. ``banks`` names those that can occur,
     which keeps the plan small.
     """
-    known = registry(statements.sparkSession).select("bank", "variant", F.col("layout").alias("rule"))
-    ruled = with_fallback(statements, known).withColumnRenamed("rule", "layout")
-    names = sorted({h.layout for h in HANDLERS if banks is None or h.bank in banks})
+    ruled, names = with_layout(statements), layout_names(banks)
     pick = lambda f: F.coalesce(*(F.when(F.col("layout") == n, f(n)) for n in names))
     mine = F.coalesce(F.col("layout").isin(names), F.lit(False))
     application = statements.sparkSession.sparkContext.applicationId

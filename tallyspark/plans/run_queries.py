@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import inspect
+import sys
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark import settings
 from tallyspark.functions import dates, periods, text
 from tallyspark.operators import run
+from tallyspark.operators.stages import Stage, Stages, fingerprint
 from tallyspark.plans.catalogue import MONTHLY_SQL, ORDERS_SQL, monthly, orders, query
 from tallyspark.plans.parse_queries import render
 from tallyspark.sources import files as listing
@@ -34,9 +38,11 @@ def _staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _run(spark: SparkSession, sf_dir: str) -> run.Result:
-    """One run for all queries that ask for a part of it: the second finds the stages of the first."""
-    return run.run(_staged(spark, sf_dir), ("yes",), root=f"{shared_dir(spark)}/runs")
+def _run(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
+    """A table of one run for all queries that ask for a part of it: the second finds the stages of the first. The files are written once, as a run reads them several times."""
+    root, o = f"{shared_dir(spark)}/runs", orders(spark, sf_dir)
+    files = Stages(spark, root).run("files", [Stage(o, fingerprint(o, o.columns))], lambda: _staged(spark, sf_dir), inspect.getsource(sys.modules[__name__]))
+    return getattr(run.run(files.table, ("yes",), root=root, parts=(part,)), part)
 
 
 @query(f"""with {MONTHLY_SQL}, nxt as (
@@ -50,7 +56,7 @@ def _run(spark: SparkSession, sf_dir: str) -> run.Result:
 select account::varchar as account, strftime(m, '%Y-%m') as month, status from said""")
 def run_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Breaks in the balances and missing months of staged statements, by their handler's tolerance."""
-    return _run(spark, sf_dir).gaps.select("account", "month", "status")
+    return _run(spark, sf_dir, "gaps").select("account", "month", "status")
 
 
 @query(f"""with {MONTHLY_SQL}, marked as (
@@ -61,7 +67,7 @@ from marked group by account""")
 def run_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What staged statements cover; none of their periods is estimated."""
     n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    found = _run(spark, sf_dir).coverage.withColumn("gaps", F.coalesce("gaps", F.array().cast("array<struct<start:date,end:date>>")))
+    found = _run(spark, sf_dir, "coverage").withColumn("gaps", F.coalesce("gaps", F.array().cast("array<struct<start:date,end:date>>")))
     return found.select("account", "start", "end", n("segments").alias("n_segments"), n("gaps").alias("n_gaps"), n("months").alias("n_months"), "n_approximate")
 
 
@@ -71,7 +77,7 @@ select account::varchar as account, strftime(day, '%Y-%m') as key, day as date,
 from orders_t""")
 def run_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Staged statements to the transactions of the kept ones."""
-    return _run(spark, sf_dir).transactions.select("account", "key", "date", "description", "credited", "debited")
+    return _run(spark, sf_dir, "transactions").select("account", "key", "date", "description", "credited", "debited")
 
 
 @query(f"""with {MONTHLY_SQL}
@@ -79,7 +85,7 @@ select account::varchar as account, strftime(month, '%Y-%m') as key, account ||
        last_day(month) as period_end, opening, closing from monthly""")
 def run_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kept statement of each period with its head; equal contents are read once, and the smallest path of them stays."""
-    kept = _run(spark, sf_dir).metadata
+    kept = _run(spark, sf_dir, "metadata")
     # the copy's name has a blank where the kept one has a full stop, so the copy sorts first
     return kept.select("account", "key", F.col("path").alias("other_path"), "statement_date", "period_start", "period_end", "opening", "closing")
 

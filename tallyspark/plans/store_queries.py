@@ -58,4 +58,4 @@ def run_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("account").cast("string").alias("account"), F.lit("icici").alias("bank"), F.lit(None).cast("string").alias("variant"), F.concat_ws("/", "account", F.concat("name", F.lit(".csv"))).alias("path"),
         F.concat("name", F.lit(".csv")).alias("name"), F.sha2(F.concat_ws("/", "account", "text"), 256).alias("sha256"), "text", F.lit(None).cast("date").alias("mail_date"), none.alias("text_contains"), none.alias("text_not_contains"),
     )
-    return run.run(files, ("icici",)).selected.select("account", "key", "kind")
+    return run.run(files, ("icici",), parts=("selected",)).selected.select("account", "key", "kind")

@@ -23,3 +23,19 @@ def test_lines_of_a_table_function_come_without_a_table_for_each_statement(spark
     found = spark.sql("SELECT t.* FROM {texts} s, LATERAL statement_lines(s.text, 'yes', 'ace') t", texts=texts)
     assert "ArrowEvalPythonUDTF" not in _plan(found)
     assert [tuple(r) for r in found.collect()] == [(0, "05/01/2024", "TEA", "4.00", "DR", None), (2, "06/01/2024", "BACK", "5.00", "CR", None)]
+
+
+def _files(spark, rows):
+    table = spark.createDataFrame(rows, "account string, path string, text string, text_not_contains array<string>")
+    return table.withColumns({"bank": F.lit("yes"), "variant": F.lit(None).cast("string"), "name": F.col("path"), "sha256": F.sha2("text", 256), "mail_date": F.lit(None).cast("date"), "text_contains": F.array().cast("array<string>")})
+
+
+def test_a_run_makes_what_it_is_asked_for_and_judges_cleaned_texts_by_their_heads(spark, tmp_path):
+    text = "Statement Period : 01/01/2024 To 31/01/2024\nPrevious Balance :\nRs. 1.00\nTotal Amount Due:\nRs. 2.00\nNOT~MINE"
+    rows = [("a", "a.pdf", text, ["NOT  MINE"]), ("b", "b.pdf", text, ["OTHER"]), ("c", "c.pdf", text, [" "]), ("d", "d.pdf", text, None), ("e", "e.pdf", text, ["NOT~MINE"])]
+    root = f"file://{tmp_path}/run"
+    found = run.run(_files(spark, rows), ("yes",), root=root, parts=("metadata",))
+    assert found.made == ["heads", "keyed", "decided", "kept", "metadata"] and found.gaps is None
+    # cleaning makes a blank of the tilde, so the text that a marker bars is the cleaned one for a, the one as it stands for e
+    assert sorted(r["account"] for r in found.metadata.collect()) == ["b", "c", "d"]
+    assert run.run(_files(spark, rows), ("yes",), root=root, parts=("gaps",)).made == ["gaps"]
