@@ -31,18 +31,23 @@ def key_kind(key: Column | str) -> Column:
 
 def key_bounds(key: Column | str) -> Column:
     """(start, end) of a key's days; null for keys that name no period."""
-    k = _col(key)
-    end_year = F.regexp_extract(k, r"^FY\d{2}-(\d{4})$", 1).try_cast("int")
-    short = F.regexp_extract(k, r"^FY(\d{2})-\d{4}$", 1).try_cast("int")
-    same = F.floor(end_year / 100) * 100 + short
-    start_year = F.when(same >= end_year, same - 100).otherwise(same)
-    year = F.regexp_extract(k, r"^(\d{4})$", 1).try_cast("int")
-    month = F.to_date(F.try_to_timestamp(F.when(k.rlike(r"^\d{4}-\d{2}$"), F.concat(k, F.lit("-01"))), F.lit("yyyy-MM-dd")))
-    return (
-        F.when(end_year.isNotNull(), F.struct(_month_of(start_year, 4).alias("start"), _month_of(end_year, 3, 31).alias("end")))
-        .when(year.isNotNull(), F.struct(_month_of(year, 1).alias("start"), _month_of(year, 12, 31).alias("end")))
-        .when(month.isNotNull(), F.struct(month.alias("start"), F.last_day(month).alias("end")))
-    )
+
+    def read(k: Column) -> Column:
+        end_year = F.regexp_extract(k, r"^FY\d{2}-(\d{4})$", 1).try_cast("int")
+        short = F.regexp_extract(k, r"^FY(\d{2})-\d{4}$", 1).try_cast("int")
+        same = F.floor(end_year / 100) * 100 + short
+        start_year = F.when(same >= end_year, same - 100).otherwise(same)
+        year = F.regexp_extract(k, r"^(\d{4})$", 1).try_cast("int")
+        # a month that there isn't is told by its digits: to parse it would be an exception for each row
+        is_month = k.rlike(r"^\d{4}-(?:0[1-9]|1[0-2])\z")
+        month = F.when(is_month, F.make_date(F.substring(k, 1, 4).try_cast("int"), F.substring(k, 6, 2).try_cast("int"), F.lit(1)))
+        return (
+            F.when(is_month, F.struct(month.alias("start"), F.last_day(month).alias("end")))
+            .when(end_year.isNotNull(), F.struct(_month_of(start_year, 4).alias("start"), _month_of(end_year, 3, 31).alias("end")))
+            .when(year.isNotNull(), F.struct(_month_of(year, 1).alias("start"), _month_of(year, 12, 31).alias("end")))
+        )
+
+    return let(_col(key), read)
 
 
 def key_label(key: Column | str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import periods
 from tallyspark.operators import run
-from tallyspark.plans.catalogue import ORDERS_SQL, orders, query, table
+from tallyspark.plans.catalogue import ORDERS_SQL, dealt, orders, query, table
 from tallyspark.sources import metadata_files, uploads
 
 _FISCAL = "'FY' || lpad((year(day - interval 3 month) % 100)::varchar, 2, '0') || '-' || (year(day - interval 3 month) + 1)"
@@ -27,7 +27,7 @@ def uploads_planned(spark: SparkSession, sf_dir: str) -> DataFrame:
     day, ref = F.col("day"), F.col("ref")
     kind = F.when(ref % 2 == 0, "pdf").otherwise("csv")
     key = F.when(ref % 5 == 0, periods.fiscal_key(day)).when(ref % 5 == 1, F.concat(F.year(day), F.lit("-13"))).otherwise(periods.month_key(day))
-    o = orders(spark, sf_dir).withColumn("account", F.col("account").cast("string"))
+    o = dealt(orders(spark, sf_dir)).withColumn("account", F.col("account").cast("string"))
     canonical = o.where("ref % 7 = 0").select("account", kind.alias("kind"), periods.month_key(day).alias("key"))
     given = o.select("account", F.lit("card").alias("account_type"), kind.alias("kind"), key.alias("key"), "ref")
     return uploads.plan(given, canonical, "/data", "/in", order="ref").select("ref", "outcome", "target")
@@ -67,7 +67,7 @@ def metadata_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata per customer: from a document where there is a sound one, computed where there is none or one without statements."""
     day, kind = F.col("day"), F.col("account") % 7
     o = orders(spark, sf_dir)
-    accounts = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("account"))
+    accounts = dealt(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("account")), "account")
 
     def payload(dates: str, granularity: str) -> Column:
         one = lambda d: F.struct(d.alias("statement_date"), F.array(F.lit("pdf")).alias("formats"), F.lit(granularity).alias("granularity"), F.array(F.substring(d, 1, 7)).alias("covered_months"))

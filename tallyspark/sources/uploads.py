@@ -32,7 +32,8 @@ def plan(uploads: DataFrame, canonical: DataFrame, root: str, staging: str, orde
     """
     valid = is_period("key") & F.col("kind").isin("pdf", "csv") & F.col("account").isNotNull()
     there = canonical.select(*PERIOD).distinct().withColumn("__there", F.lit(True))
-    bounds = uploads.where(valid).groupBy(*PERIOD).agg(F.min(order).alias("__first"), F.max(order).alias("__last"))
+    # invalid ones have bounds too, which nothing reads: to leave them out would be to look at every key twice
+    bounds = uploads.groupBy(*PERIOD).agg(F.min(order).alias("__first"), F.max(order).alias("__last"))
     joined = uploads.join(there, PERIOD, "left").join(bounds, PERIOD, "left")
     outcome = (
         F.when(~F.coalesce(valid, F.lit(False)), "invalid")
