@@ -385,8 +385,11 @@ def _said(t: Column, steps: tuple[Step, ...], raw: Column, body: Callable[[Colum
     return text.let(idfc.parts(t), conditions) if asked & {"parts", "classic"} else conditions(None)
 
 
-def read(t: Column, name: str, raw: Column | None = None) -> Column:
-    """(date, start, end, estimated, annual, opening, closing, reference) of a cleaned text by a layout; ``raw`` is the text before that."""
+def read(t: Column, name: str, raw: Column | None = None, balances: bool = True) -> Column:
+    """(date, start, end, estimated, annual, opening, closing, reference) of a cleaned text by a layout; ``raw`` is the text before that.
+
+    Without ``balances`` the last three aren't looked for and aren't there.
+    """
     rule = LAYOUTS[name]
     raw = t if raw is None else raw
     ranges = {"label_range", "near", "near_split", "top", "two_dates"}
@@ -427,11 +430,16 @@ def read(t: Column, name: str, raw: Column | None = None) -> Column:
     found = text.let(text.let(_said(t, (*rule.date, *rule.period), raw, days), head), lambda h: F.struct(h.alias("h"), (h["start"].isNull() & h["end"].isNotNull() & may).alias("estimated")))
     ready = text.merge_marks(text.join_detached_marks(t)) if rule.prepare == "marks" else t
 
-    def both(h: Column, m: Column) -> Column:
+    def dated(h: Column) -> list[Column]:
         start = F.when(h["estimated"], periods.approximate_start(h["h"]["end"])).otherwise(h["h"]["start"])
+        return [h["h"]["date"].alias("date"), start.alias("start"), h["h"]["end"].alias("end"), h["estimated"].alias("estimated"), h["h"]["annual"].alias("annual")]
+
+    if not balances:
+        return text.let(found, lambda h: F.struct(*dated(h)))
+
+    def both(h: Column, m: Column) -> Column:
         return F.struct(
-            h["h"]["date"].alias("date"), start.alias("start"), h["h"]["end"].alias("end"), h["estimated"].alias("estimated"), h["h"]["annual"].alias("annual"),
-            m["opening"].alias("opening"), m["closing"].alias("closing"), F.coalesce(*_chain(t, rule.reference), F.lit(None).cast("string")).alias("reference"),
+            *dated(h), m["opening"].alias("opening"), m["closing"].alias("closing"), F.coalesce(*_chain(t, rule.reference), F.lit(None).cast("string")).alias("reference"),
         )
 
     return text.let(found, lambda h: text.let(text.let(ready, money), lambda m: both(h, m)))
@@ -444,13 +452,13 @@ def _cleaning(application: str, name: str, into: str) -> Column:
 
 
 @cache
-def _reading(application: str, name: str, into: str, raw: str) -> Column:
-    return read(F.col(into), name, F.col(raw))
+def _reading(application: str, name: str, into: str, raw: str, balances: bool) -> Column:
+    return read(F.col(into), name, F.col(raw), balances)
 
 
-def reading(spark: SparkSession, name: str, into: str, raw: str) -> Column:
+def reading(spark: SparkSession, name: str, into: str, raw: str, balances: bool = True) -> Column:
     """:func:`read` of the columns ``into`` and ``raw``."""
-    return _reading(spark.sparkContext.applicationId, name, into, raw)
+    return _reading(spark.sparkContext.applicationId, name, into, raw, balances)
 
 
 def layout_names(banks: tuple[str, ...] | None) -> list[str]:

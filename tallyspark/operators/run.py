@@ -49,7 +49,7 @@ def export_keys(exports: DataFrame, id_: str = "path", text: str = "text", name:
 
     By the content's statement period if it says one; else by the transactions: one billing cycle is a month, several are a fiscal year; else by the name.
     """
-    head = handlers.reading(exports.sparkSession, "icici", text, text)
+    head = handlers.reading(exports.sparkSession, "icici", text, text, balances=False)
     said = exports.select(F.col(id_).alias("id"), F.col(name).alias("n"), head.alias("h"))
     rows = sectioned.rows(exports.select(id_, "anchor", text), text)
     cycle = periods.billing_cycle(F.col("date"), F.col("anchor"))
