@@ -117,7 +117,7 @@ def checked(docs: DataFrame, document: str = "document", strict: bool = False) -
     missing statement_count is the number of statement_dates; numbers stand for texts, but not for flags, nor texts for either. With ``strict`` a problem fails the read.
     """
     read = docs.withColumn("__v", F.try_parse_json(document)).drop(document)
-    bare = (_kind(F.col("__v"), "$") == "OBJECT") & ~F.array_contains(F.coalesce(F.json_object_keys(F.to_json("__v")), F.array().cast("array<string>")), "statements")
+    bare = (_kind(F.col("__v"), "$") == "OBJECT") & _get(F.col("__v"), "$.statements", "variant").isNull()  # JSON's null would be a variant
     marked = read.withColumn("problem", F.when(~F.coalesce(bare, F.lit(False)), problem(F.col("__v"))))
     if strict:
         marked = marked.withColumn("problem", F.when(F.col("problem").isNotNull(), F.raise_error(F.col("problem")).cast("string")))
